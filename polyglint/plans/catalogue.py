@@ -1,14 +1,365 @@
-"""The queries of the engine's own operators over the driver's tables, and their SQL."""
+"""The queries of the engine's own operators over the driver's tables, and their SQL.
+
+Each query is an operator applied to an adapter view. Where SQL can't say it, ORACLE_SQL has no entry and the
+tests hold it against cases by hand.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import formats, hygiene, text
+from ..functions import plural as P
+from ..operators import baseline, consistency, coverage, diff, membership, resolve, writes
+from . import adapters as A
+from . import render
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
 
+    return add
+
+
+@query("""with k as (select distinct source as catalog, doc_id::varchar as key from documents where regexp_matches(text, '[\\p{L}\\p{M}]')),
+l as (select distinct source as catalog, lang as language from documents),
+x as (select k.catalog, l.language, d.text from k join l using (catalog) left join documents d on d.source = k.catalog and d.doc_id::varchar = k.key and d.lang = l.language)
+select catalog, language, count(*) as translatable, count(*) filter (language = 'en' or text <> '') as translated, count(*) filter (language <> 'en' and text is null) as missing,
+count(*) filter (language <> 'en' and text = '') as empty, 0::bigint as needs_review, floor(100.0 * count(*) filter (language = 'en' or text <> '') / count(*) + 0.5)::int as percent from x group by 1, 2""")
 def coverage_by_language(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy(F.col("source").alias("catalog"), F.col("lang").alias("language")).agg(F.count("*").alias("translated"))
+    u = A.units(spark, sf_dir)
+    keys = u.where(text.is_translatable(F.col("value"))).select("catalog", "key").distinct()
+    languages = u.select("catalog", "language").distinct()
+    sources = u.select("catalog").distinct().withColumn("source_language", F.lit("en"))
+    return coverage.coverage(keys, languages, coverage.status(u), sources)
+
+
+@query("""with p as (select distinct p_brand as catalog, p_size::varchar as language from part)
+select language, count(*) as catalogs from p group by 1 having count(*) * 2 > (select count(distinct catalog) from p)""")
+def language_frequency_majority(spark, sf_dir):
+    return coverage.shipped_languages(A.brand_sizes(spark, sf_dir))
+
+
+@query("""with p as (select distinct p_brand as catalog, p_size::varchar as language from part), s as (select language from p group by 1 having count(*) * 2 > (select count(distinct catalog) from p))
+select c.catalog, string_agg(s.language, ',' order by s.language) as missing, count(*) as n_missing from (select distinct catalog from p) c cross join s left join p on p.catalog = c.catalog and p.language = s.language where p.catalog is null group by 1""")
+def language_coverage_gap(spark, sf_dir):
+    return coverage.coverage_gaps(A.brand_sizes(spark, sf_dir))
+
+
+@query("""with k as (select p_brand as catalog, case when p_partkey % 2 = 0 then upper(p_name) else p_name end as key, bool_or(p_size > 48) as manual from part group by 1, 2)
+select catalog, lower(key) as lowered, count(*) as n, string_agg(key, chr(10) order by key) as keys, count(*) filter (manual) as n_manual, count(*) filter (manual) > 1 as breaking from k group by 1, 2 having count(*) > 1""")
+def case_duplicates(spark, sf_dir):
+    p = A.parts(spark, sf_dir)
+    key = F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name"))
+    return consistency.case_duplicates(p.groupBy(F.col("p_brand").alias("catalog"), key.alias("key")).agg(F.max(F.col("p_size") > 48).alias("manual")))
+
+
+_FOLD = "translate(regexp_replace({0}, '^\\s+|\\s+$', '', 'g'), chr(160) || chr(8239) || chr(8217) || chr(8216), '  ''''')"
+
+
+@query(f"select 'part' as catalog, {_FOLD.format('p_name')} as folded, count(*) as n from part where regexp_matches(p_name, '[\\p{{L}}\\p{{M}}]') group by 2 having count(*) > 1")
+def duplicate_sources(spark, sf_dir):
+    return consistency.duplicate_sources(A.part_texts(spark, sf_dir))
+
+
+@query(f"""with d as (select *, {_FOLD.format('text')} as folded from documents)
+select source as catalog, folded, count(*) as n from d where regexp_matches(folded, '[\\p{{L}}\\p{{M}}]') group by 1, 2 having count(*) > 1""")
+def duplicate_documents(spark, sf_dir):
+    return consistency.duplicate_sources(A.units(spark, sf_dir).select("catalog", "key", F.col("value").alias("text")))
+
+
+@query("""select 'part' as catalog, p_name as folded, p_brand as language, count(distinct p_type) as renderings from part group by 2, 3 having count(distinct p_partkey) > 1 and count(distinct p_type) > 1""")
+def divergent_renderings(spark, sf_dir):
+    t = A.part_texts(spark, sf_dir)
+    return consistency.divergent_renderings(t.select("catalog", "key", "text"), t.select("catalog", "key", "language", "value"))
+
+
+_WORD_PERCENT = "round(100.0 * (greatest(len({0}), len({1})) - levenshtein({0}, {1})) / greatest(len({0}), len({1})))"
+
+
+@query(f"""with n as (select distinct p_name as t from part where len(p_name) >= 6), p as (select a.t as a, b.t as b, levenshtein(a.t, b.t) as e, len(b.t) as m, string_split(a.t, ' ') as x, string_split(b.t, ' ') as y
+from n a join n b on (len(a.t) < len(b.t) or (len(a.t) = len(b.t) and a.t < b.t)) where len(b.t) <= len(a.t) * 100 // 70),
+q as (select *, list_filter(list_zip(x, y), lambda z: z[1] is distinct from z[2]) as w from p where e <= round(m * 30 / 100.0))
+select a, b, round((m - e) * 100.0 / m)::int as percent from q where round((m - e) * 100.0 / m) >= 70
+and not (len(x) = len(y) and len(x) > 1 and len(w) = 1 and {_WORD_PERCENT.format('w[1][1]', 'w[1][2]')} < 60)""")
+def near_duplicates(spark, sf_dir):
+    names = A.parts(spark, sf_dir).select(F.col("p_name").alias("key"), F.col("p_name").alias("text")).distinct()
+    return consistency.near_duplicates(names, 70)
+
+
+@query("""with a as (select conv_id, turn, text from conversations where role = 'user'), b as (select conv_id, turn - 1 as turn, text from conversations where role = 'assistant')
+select concat_ws(':', conv_id, turn) as key from a join b using (conv_id, turn) where len(a.text) - len(replace(a.text, chr(10), '')) <> len(b.text) - len(replace(b.text, chr(10), ''))""")
+def hygiene_newline_count(spark, sf_dir):
+    return A.turns(spark, sf_dir).where(hygiene.newline_count(F.col("source"), F.col("translation"))).select("key")
+
+
+_TAIL = "regexp_replace({0}, '[ \\x{{A0}}\\n\"''”’»)\\]}}」』]*$', '')"
+_MARK = "case when right({0}, 1) in ('.', '。') then '.' when right({0}, 1) in ('?', '？', '؟') then '?' when right({0}, 1) in ('!', '！') then '!' when right({0}, 1) in (':', '：') then ':' when right({0}, 1) in (';', '；') then ';' when right({0}, 1) = '…' then '…' when regexp_matches(right({0}, 1), '[\\p{{P}}\\p{{S}}]') then 'other' else '' end"
+_NEAR = "(select a.doc_id::varchar as key, b.lang as language, a.text as s, b.text as t from documents a join documents b on b.doc_id = a.doc_id + 1)"
+
+
+@query(f"""with n as (select key, {_TAIL.format('s')} as x, {_TAIL.format('t')} as y, s, t from {_NEAR}), m as (select key, {_MARK.format('x')} as a, {_MARK.format('y')} as b, s, t from n)
+select key from m where a not in ('', 'other') and a <> b and not (a = '…' and t like '%...') and not (a = '.' and s like '%...' and t like '%…')""")
+def hygiene_end_punctuation(spark, sf_dir):
+    n = A.neighbours(spark, sf_dir)
+    return n.where(hygiene.end_punctuation(F.col("source"), F.col("translation"), F.col("language"))).select("key")
+
+
+_MAY = ", ".join(f"'{w}'" for w in hygiene.MAY_REPEAT)
+
+
+@query(f"""with w as (select doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') as w from documents), p as (select doc_id, unnest(w) as a, unnest(w[2:]) as b from w where len(w) > 1)
+select distinct doc_id::varchar as key from p where regexp_full_match(a, '[\\p{{L}}\\p{{M}}]+') and len(a) >= 3 and lower(a) = lower(b) and lower(a) not in ({_MAY})""")
+def hygiene_doubled_word(spark, sf_dir):
+    return A.units(spark, sf_dir).where(hygiene.has_doubled_word(F.col("value"))).select("key")
+
+
+_RUNS = "regexp_extract_all({0}, '\\*+')"
+_ODD = "(({s}) > 0 and ({s}) % 2 = 0 and ({t}) % 2 = 1)"
+
+
+def _odd(count: str) -> str:
+    return _ODD.format(s=count.replace("{0}", "s"), t=count.replace("{0}", "t"))
+
+
+_LINKS = "(len({0}) - len(replace(replace({0}, '](inflect:', ''), '](', ''))  - (len({0}) - len(replace({0}, '](inflect:', ''))))"
+_MARKDOWN = " or ".join([
+    _odd("coalesce(list_sum(list_transform(regexp_extract_all({0}, '\\*+'), lambda r: len(r) // 2)), 0)"), _odd("len(list_filter(regexp_extract_all({0}, '\\*+'), lambda r: len(r) = 1))"),
+    _odd("len({0}) - len(replace({0}, '_', ''))"), _odd("len({0}) - len(replace({0}, '`', ''))"),
+    f"({_LINKS.replace('{0}', 's')} > 0 and {_LINKS.replace('{0}', 's')} <> {_LINKS.replace('{0}', 't')})",
+])
+
+
+@query(f"select key from {_NEAR} where {_MARKDOWN}")
+def hygiene_markdown(spark, sf_dir):
+    return A.neighbours(spark, sf_dir).where(hygiene.markdown(F.col("source"), F.col("translation"))).select("key")
+
+
+@query("select doc_id::varchar as key from documents where lang = 'fr' and regexp_matches(text, '(?:[^\\p{Zs}\\s]| )[!?;:](?:[\\s\\p{Zs}]|$)')")
+def hygiene_french_spacing(spark, sf_dir):
+    return A.units(spark, sf_dir).where(hygiene.punctuation_spacing(F.col("value"), F.col("language"))).select("key")
+
+
+@query()
+def hygiene_findings(spark, sf_dir):
+    """All translation-side rules at once."""
+    return hygiene.findings(A.neighbours(spark, sf_dir)).select("key", "language", "rule", "level")
+
+
+@query(f"""with r as (select key, language, 'newline-count' as rule, 'error' as level from {_NEAR} where len(s) - len(replace(s, chr(10), '')) <> len(t) - len(replace(t, chr(10), ''))
+union all select key, language, 'markdown', 'error' from {_NEAR} where {_MARKDOWN}
+union all select key, language, 'punctuation-spacing', 'warning' from {_NEAR} where language = 'fr' and regexp_matches(t, '(?:[^\\p{{Zs}}\\s]| )[!?;:](?:[\\s\\p{{Zs}}]|$)'))
+select count(*) filter (level = 'error') as failures, count(*) filter (level <> 'error') as advisories from r""")
+def hygiene_severity_rollup(spark, sf_dir):
+    f = hygiene.findings(A.neighbours(spark, sf_dir)).where(F.col("rule").isin("newline-count", "markdown", "punctuation-spacing"))
+    return baseline.severity(f)
+
+
+@query("""with u as (select p_name as key, ['zero', 'one', 'two', 'few', 'many', 'other'][p_partkey % 6 + 1] as c, min(p_size) // 4 as v from part group by 1, 2)
+select 'part' as catalog, key, 'ar' as language, count(*) as n from u group by key having count(*) >= 3 and count(distinct v) = 1""")
+def same_plurals(spark, sf_dir):
+    category = F.element_at(F.array(*[F.lit(c) for c in P.ORDER]), (F.col("p_partkey") % 6 + 1).cast("int"))
+    u = A.parts(spark, sf_dir).groupBy(F.lit("part").alias("catalog"), F.col("p_name").alias("key"), F.lit("ar").alias("language"), F.concat(F.lit("plural."), category).alias("path")).agg(F.floor(F.min("p_size") / 4).cast("string").alias("value"))
+    return hygiene.same_plurals(u, P.required_categories(F.col("language")))
+
+
+_FORMS = ["'%2$@: %1$lld'", "'%@ %lld'", "'%lld'", "'%d of %@ 100%'", "'%1$lld %lld'", "'%3$@'"]
+_CASE = "case c_custkey % 6 " + " ".join(f"when {k} then {f}" for k, f in enumerate(_FORMS)) + " end"
+_SPEC = "regexp_extract_all({0}, '%(?:\\d+\\$)?[-+#0]*\\d*(?:\\.\\d+)?(?:hh|ll|[hlqztjL])?[@dDiuUxXoOfFeEgGcCsS]')"
+_KIND = "list_transform({0}, lambda r: case when right(r, 1) = '@' then 'object' when contains('dDiuUxXoO', right(r, 1)) then 'integer' else 'float' end)"
+
+
+@query(f"""with c as (select c_custkey::varchar as key, {_SPEC.format("c_name || ' %lld of %@'")} as s, {_SPEC.format("c_name || ' ' || " + _CASE)} as t from customer),
+k as (select *, {_KIND.format('s')} as ks, {_KIND.format('t')} as kt, list_transform(t, lambda r: try_cast(regexp_extract(r, '^%(\\d+)\\$', 1) as int)) as pos from c),
+v as (select key, case when len(list_filter(pos, lambda p: p is not null)) > 0
+  then len(list_filter(list_zip(pos, kt), lambda z: z[1] is null or z[1] < 1 or z[1] > len(ks) or ks[z[1]] <> z[2])) > 0
+  else len(ks) <> len(kt) or len(list_filter(list_zip(ks, kt), lambda z: z[1] <> z[2])) > 0 end as bad from k)
+select key from v where bad""")
+def format_mismatch(spark, sf_dir):
+    c = A.table(spark, sf_dir, "customer")
+    t = c.select(F.col("c_custkey").cast("string").alias("key"), F.concat("c_name", F.lit(" %lld of %@")).alias("source"), F.concat("c_name", F.lit(" "), F.expr(_CASE)).alias("translation"))
+    return t.where(formats.mismatch(F.col("source"), F.col("translation")).isNotNull()).select("key")
+
+
+@query("""with r as (select unnest(['zero', 'one', 'two', 'few', 'many', 'other']) as c), u as (select distinct p_name as key, ['zero', 'one', 'two', 'few', 'many', 'other'][p_size % 6 + 1] as c from part),
+m as (select k.key, r.c, case r.c when 'zero' then 1 when 'one' then 2 when 'two' then 3 when 'few' then 4 when 'many' then 5 else 6 end as o from (select distinct key from u) k cross join r left join u on u.key = k.key and u.c = r.c where u.key is null)
+select 'part' as "table", key, 'ar' as language, string_agg(c, ',' order by o) as missing from m group by key""")
+def plural_required_missing(spark, sf_dir):
+    category = F.element_at(F.array(*[F.lit(c) for c in P.ORDER]), (F.col("p_size") % 6 + 1).cast("int"))
+    u = A.parts(spark, sf_dir).select(F.lit("part").alias("table"), F.col("p_name").alias("key"), F.lit("ar").alias("language"), category.alias("category"), F.col("p_type").alias("target"))
+    return membership.bundle_plurals(u)
+
+
+@query("""select 'benchmark' as catalog, b.text as key, count(*) as at_risk from benchmark b join documents d on d.doc_id % 40 = b.item_id % 40 where len(list_filter(string_split_regex(b.text, '\\s+'), lambda w: w <> '')) >= 5 and d.text <> '' group by 2""")
+def sentence_keys(spark, sf_dir):
+    b = A.table(spark, sf_dir, "benchmark").select(F.lit("benchmark").alias("catalog"), F.col("text").alias("key"), F.col("item_id"))
+    d = A.table(spark, sf_dir, "documents").select((F.col("doc_id") % 40).alias("m"), F.col("lang").alias("language"), F.col("text").alias("value"))
+    values = b.join(d, F.col("item_id") % 40 == F.col("m")).select("catalog", "key", "language", "value")
+    return consistency.sentence_keys(b.select("catalog", "key").distinct(), values)
+
+
+GLOSSARY = [("the", "en", "the"), ("der", "de", "der"), ("the", "*", "THE"), ("and", "en", "with")]
+
+
+@query("""with g(term, rendering) as (values ('the', 'the'), ('and', 'with')), n as (select a.doc_id::varchar as key, b.lang as language, a.text as s, b.text as t from documents a join documents b on b.doc_id = a.doc_id + 1),
+u as (select key, language, term, rendering, s, t from n join g on language = 'en' union all select key, language, 'der', 'der', s, t from n where language = 'de' union all select key, language, 'the', 'THE', s, t from n where language <> 'en')
+select key, language, term, rendering from u where regexp_matches(lower(s), '(?:^|[^\\p{L}\\p{N}])' || term || '(?:[^\\p{L}\\p{N}]|$)') and t <> '' and not contains(t, rendering)""")
+def glossary_violations(spark, sf_dir):
+    g = spark.createDataFrame(GLOSSARY, "term string, language string, rendering string")
+    return consistency.glossary_violations(A.neighbours(spark, sf_dir), g)
+
+
+@query("select item_id as id from benchmark b where not exists (select 1 from documents d where contains(d.text, b.text))")
+def orphan_contains(spark, sf_dir):
+    keys = A.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("key"))
+    return resolve.orphans(keys, A.table(spark, sf_dir, "documents").select("text")).select("id")
+
+
+@query("select p_partkey::varchar as key from part p where not exists (select 1 from lineitem l where l.l_partkey = p.p_partkey and l_returnflag = 'R' and l_quantity > 45)")
+def orphan_exact(spark, sf_dir):
+    used = A.table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity > 45").select(F.col("l_partkey").cast("string").alias("value"))
+    return resolve.unreferenced(A.parts(spark, sf_dir).select(F.col("p_partkey").cast("string").alias("key")), used)
+
+
+_URGENT = "o_orderpriority like '1%' and o_totalprice > 400000"
+
+
+@query(f"""with b as (select distinct 'customer' as "table", 'c' || o_custkey as key from orders where {_URGENT}), p as (select 'customer' as "table", 'c' || c_custkey as key from customer where c_nationkey < 20)
+select 'unknown-key' as rule, * from b where key not in (select key from p) union all select 'missing-from-bundle', * from p where key not in (select key from b)""")
+def bundle_membership(spark, sf_dir):
+    name = lambda c: F.concat(F.lit("c"), F.col(c).cast("string")).alias("key")
+    b = A.table(spark, sf_dir, "orders").where(_URGENT).select(F.lit("customer").alias("table"), name("o_custkey"))
+    return membership.bundle_against_project(b, A.table(spark, sf_dir, "customer").where("c_nationkey < 20").select(F.lit("customer").alias("table"), name("c_custkey")))
+
+
+@query("""with k as (select distinct p_brand as catalog, p_name as value, case p_brand when 'Brand#7' then 0 else right(p_brand, 2)::varchar::int end as ord from (select *, case when len(p_brand) = 7 then p_brand else p_brand end as b from part) where regexp_matches(p_brand, '#\\d\\d$') or p_brand = 'Brand#7')
+select v.value, arg_min(k.catalog, k.ord) as catalog from (select distinct p_name as value from part) v left join k using (value) group by 1""")
+def resolve_first_reachable(spark, sf_dir):
+    """Strings against catalogs of several brands: the target's own order says which answers."""
+    p = A.parts(spark, sf_dir)
+    own = p.where("p_brand rlike '#[0-9][0-9]$' or p_brand = 'Brand#7'").select(F.lit("app").alias("target"), F.col("p_brand").alias("catalog"), F.when(F.col("p_brand") == "Brand#7", 0).otherwise(F.right("p_brand", F.lit(2)).try_cast("int")).alias("ord")).distinct()
+    targets = spark.createDataFrame([("app", False)], "target string, inferred boolean")
+    tables = p.select(F.col("p_brand").alias("catalog"), F.lit("Localizable").alias("table_name")).distinct()
+    found = p.select(F.lit("app").alias("target"), F.lit("Localizable").alias("table_name"), F.col("p_name").alias("value"))
+    keys = p.select(F.col("p_brand").alias("catalog"), F.col("p_name").alias("key")).distinct()
+    return resolve.resolve(found, resolve.reachable(own, targets, tables), keys).select("value", "catalog")
+
+
+_VERSIONS = """e as (select user_id::varchar as key, event_type as language, ts < timestamp '2024-01-16' as old, arg_max(floor(value / 10)::bigint::varchar, struct_pack(t := ts, i := event_id)) as value from events group by 1, 2, 3),
+a as (select key, language, value from e where old), b as (select key, language, value from e where not old)"""
+
+
+@query(f"""with {_VERSIONS}, x as (select key || language || value as key from a), y as (select key || language || value as key from b)
+select key, 'added' as change from (select key from y except select key from x) union all select key, 'removed' from (select key from x except select key from y)""")
+def diff_keys(spark, sf_dir):
+    a, b = (v.select(F.concat("key", "language", "value").alias("key")) for v in A.versions(spark, sf_dir))
+    return diff.key_changes(a, b)
+
+
+@query(f"with {_VERSIONS} select a.key, '' as path, a.value as old, b.value as new from a join b using (key, language) where language = 'view' and a.value is distinct from b.value")
+def diff_source_changes(spark, sf_dir):
+    a, b = A.versions(spark, sf_dir)
+    return diff.source_changes(a, b, "view")
+
+
+@query(f"""with {_VERSIONS}, c as (select a.key from a join b using (key, language) where language = 'view' and a.value is distinct from b.value)
+select key, language, case when a.value is distinct from b.value then 'updated' else 'stale' end as fate from a join b using (key, language) where language <> 'view' and key in (select key from c)""")
+def diff_stranded(spark, sf_dir):
+    a, b = A.versions(spark, sf_dir)
+    return diff.translations_of_changes(a, b, "view")
+
+
+def _known(spark, sf_dir):
+    f = A.turns(spark, sf_dir).where(hygiene.newline_count(F.col("source"), F.col("translation"))).select(F.lit("newline-count").alias("rule"), F.lit("conversations").alias("file"), "key", F.lit("de").alias("language"))
+    n = F.substring_index("key", ":", 1).cast("int")
+    old = f.where(n % 2 == 0).unionByName(f.where(n % 5 == 0).withColumn("key", F.concat(F.lit("gone-"), "key")))
+    return f, old
+
+
+_FOUND = """f as (select concat_ws(':', a.conv_id, a.turn) as key, a.conv_id as n from conversations a join conversations b on a.conv_id = b.conv_id and b.turn = a.turn + 1 where a.role = 'user' and b.role = 'assistant'
+and len(a.text) - len(replace(a.text, chr(10), '')) <> len(b.text) - len(replace(b.text, chr(10), ''))), o as (select key from f where n % 2 = 0 union all select 'gone-' || key from f where n % 5 = 0)"""
+
+
+@query(f"with {_FOUND} select key from f where key not in (select key from o)")
+def baseline_reported(spark, sf_dir):
+    return baseline.reported(*_known(spark, sf_dir)).select("key")
+
+
+@query(f"with {_FOUND} select key from f where key in (select key from o)")
+def baseline_suppressed(spark, sf_dir):
+    return baseline.suppressed(*_known(spark, sf_dir)).select("key")
+
+
+@query(f"with {_FOUND} select distinct key from o where key not in (select key from f)")
+def baseline_stale(spark, sf_dir):
+    return baseline.stale(*_known(spark, sf_dir)).select("key")
+
+
+_ASKED = "(values ('red'), ('blue bolt'), ('grene widget'), ('SMALL RING')) as q(query)"
+
+
+@query(f"""with k as (select distinct p_brand as catalog, p_name as key from part), q as (select * from {_ASKED}), e as (select query, catalog, key, case when key = query then 0 else 1 end as t from k join q on lower(key) = lower(query)),
+b as (select query, catalog, min(t) as t from e group by 1, 2), r as (select k.catalog, k.key, q.query from k cross join q left join b on b.query = q.query and b.catalog = k.catalog where b.query is null),
+s as (select *, round((greatest(len(key), len(query)) - levenshtein(lower(key), lower(query))) * 100.0 / greatest(len(key), len(query)))::int as p from r)
+select query, catalog, case e.t when 0 then 'exact' else 'case' end as tier, key, row_number() over (partition by query, catalog order by key)::int as rank from e semi join b using (query, catalog, t)
+union all select query, catalog, 'contains', key, n::int from (select *, row_number() over (partition by query, catalog order by len(key), key) as n from r where contains(lower(key), lower(query))) where n <= 10
+union all select query, catalog, 'similar', key, n::int from (select *, row_number() over (partition by query, catalog order by p desc, key) as n from s where p >= 60 and not contains(lower(key), lower(query))) where n <= 8""")
+def lookup_cascade(spark, sf_dir):
+    asked = spark.createDataFrame([("red",), ("blue bolt",), ("grene widget",), ("SMALL RING",)], "query string")
+    return resolve.lookup(asked, A.parts(spark, sf_dir).select(F.col("p_brand").alias("catalog"), F.col("p_name").alias("key")))
+
+
+@query("""with l as (select url as file, unnest(string_split_regex(html, '\\r\\n|\\n')) as content, unnest(generate_series(1, len(string_split_regex(html, '\\r\\n|\\n')))) as line from pages), h as (select file, line, regexp_extract(content, '<title>([^<]*)</title>', 1) as key from l)
+select file, key, min(line)::int as line from h where key <> '' group by 1, 2""")
+def line_index_first(spark, sf_dir):
+    return resolve.line_index(A.table(spark, sf_dir, "pages").select(F.col("url").alias("file"), F.col("html").alias("text")), r"<title>([^<]*)</title>")
+
+
+@query("""select o_orderkey, case when o_orderpriority like '%mt%' then 'needs_review' when o_orderstatus = 'F' then 'translated' when o_orderstatus = 'O' then 'new' else 'needs_review' end as state from orders""")
+def xliff_state_mapping(spark, sf_dir):
+    state = F.when(F.col("o_orderstatus") == "F", "final").when(F.col("o_orderstatus") == "O", "needs-translation").otherwise("needs-l10n")
+    return A.table(spark, sf_dir, "orders").select("o_orderkey", text.catalog_state(state, F.col("o_orderpriority")).alias("state"))
+
+
+@query("""select p_partkey, p_name as key, case p_partkey % 5 when 0 then 'simple' when 1 then 'plural' when 2 then 'device' when 3 then 'substitution' else 'unsupported' end as kind, case p_partkey % 5 when 2 then p_type when 3 then p_type end as name, case p_partkey % 5 when 1 then 'few' when 3 then 'other' end as category from part""")
+def trans_unit_parse(spark, sf_dir):
+    tail = F.expr("case p_partkey % 5 when 0 then '' when 1 then '|==|plural.few' when 2 then concat('|==|device.', p_type) when 3 then concat('|==|substitutions.', p_type, '.plural.other') else '|==|plural.lots' end")
+    i = A.parts(spark, sf_dir).select("p_partkey", F.concat("p_name", tail).alias("id"))
+    c = text.unit_config(F.col("id"))
+    return i.select("p_partkey", text.unit_key(F.col("id")).alias("key"), c["kind"].alias("kind"), c["name"].alias("name"), c["category"].alias("category"))
+
+
+@query("""with u as (select p_brand as catalog, p_name as key, min(p_partkey) as low from part group by 1, 2), d as (select * from u where low % 10 = 0 and catalog <> 'Brand#1'), r as (select (select count(*) from d) * 1.0 / (select count(*) from u) as r)
+select catalog, key from u where (select r from r) > 0.25 or not exists (select 1 from d where d.catalog = u.catalog and d.key = u.key)""")
+def write_prune(spark, sf_dir):
+    keys = A.parts(spark, sf_dir).groupBy(F.col("p_brand").alias("catalog"), F.col("p_name").alias("key")).agg(F.min("p_partkey").alias("low"))
+    orphans = keys.where("low % 10 = 0 and catalog <> 'Brand#1'").select("catalog", "key")
+    return writes.prune(keys.select("catalog", "key"), orphans)
+
+
+@query("""with u as (select p_brand as catalog, p_name as key, min(p_type) as value from part group by 1, 2), e as (select catalog, key, case when len(key) % 2 = 0 then value when len(key) % 3 = 0 then 'TODO' else value || '!' end as new from u)
+select action, count(*) as n from (select case when new = 'TODO' then 'refused: todo' when new = value then 'unchanged' else 'updated' end as action from u join e using (catalog, key)) group by 1""")
+def write_add(spark, sf_dir):
+    u = A.parts(spark, sf_dir).groupBy(F.col("p_brand").alias("catalog"), F.col("p_name").alias("key")).agg(F.min("p_type").alias("value")).select("catalog", "key", F.lit("de").alias("language"), F.lit("").alias("path"), "value", F.lit("translated").alias("state"))
+    n = F.char_length("key")
+    edits = u.withColumn("value", F.when(n % 2 == 0, F.col("value")).when(n % 3 == 0, F.lit("TODO")).otherwise(F.concat("value", F.lit("!")))).drop("state")
+    return writes.counts(writes.plan_add(edits, u, u.select("catalog", "key")))
+
+
+@query()
+def render_annotations(spark, sf_dir):
+    f = hygiene.findings(A.neighbours(spark, sf_dir))
+    return render.annotations(f.select("rule", "level", F.concat_ws(" ", "rule", "language").alias("message"), F.col("catalog").alias("file"), F.lit(None).cast("int").alias("line"), "key", "language"))
 
 
-QUERIES = {"coverage_by_language": coverage_by_language}
-ORACLE_SQL = {"coverage_by_language": "select source as catalog, lang as language, count(*) as translated from documents group by 1, 2"}
+@query()
+def render_report(spark, sf_dir):
+    f = hygiene.findings(A.neighbours(spark, sf_dir))
+    return render.report_json(f.select("rule", "level", F.col("rule").alias("message"), F.col("catalog").alias("file"), F.lit(None).cast("int").alias("line"), "key", "language"))
