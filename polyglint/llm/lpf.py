@@ -14,9 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import U64, id_and_text, mix, n_blocks, runs, slices, spread, to_blocks, tokenize
+from .recompress import window_prints
 from .spans import HITS, K, ROW, hits, rows_by_block, segments, union_spans
 
 GRAM = 4
+PIECE = 400_000  # tokens whose suffixes are sorted at once; bounds memory, not the input
 
 
 def least_gram(tok: np.ndarray, k: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -73,12 +75,13 @@ def smaller_before(key: np.ndarray, group: np.ndarray) -> np.ndarray:
     return before
 
 
-def longest_previous(symbols: np.ndarray, suffixes: np.ndarray, place: np.ndarray, k: int):
+def longest_previous(symbols: np.ndarray, suffixes: np.ndarray, place: np.ndarray, k: int, depth: int | None = None):
     """LPF of the given suffixes: (length, 0 below k; the earliest suffix sharing k symbols). place: each suffix's order in the corpus.
 
-    symbols: texts end to end, each closed by a symbol of its own.
+    symbols: texts end to end, each closed by a symbol of its own. Suffixes are sorted by `depth` symbols, k
+    rounded up to a power of two by default; a factor longer than that may be told shorter, by no less than depth.
     """
-    depth = 1 << (k - 1).bit_length()
+    depth = depth or 1 << (k - 1).bit_length()
     rank = ranks(symbols, depth)
     order = np.lexsort((place, rank[depth][suffixes]))
     s, p = suffixes[order], place[order]
@@ -114,7 +117,7 @@ def find_copies(docs: DataFrame, k: int = K) -> DataFrame:
 
     def cut(batches):
         codec = pa.Codec("zstd", 1)
-        for b in slices(batches):
+        for b in slices(batches, 4 << 20):
             tok, doc = tokenize(b.column(1))
             if len(tok) < k:
                 continue
@@ -144,30 +147,70 @@ def find_copies(docs: DataFrame, k: int = K) -> DataFrame:
             return
         anchor, doc, start, count, flag, content = map(np.concatenate, (anchor, doc, start, count, flag, content))
         count = count.astype(np.int64)
+        size = count + k - 1
+        begins = np.cumsum(size) - size
         order = np.argsort(anchor, kind="stable")
-        _, lengths = runs(anchor[order])
-        kept = np.sort(order[np.repeat(lengths > 1, lengths) | (flag[order] > 0)])
-        if not len(kept):
-            return
+        at, lengths = runs(anchor[order])
+        kept = np.repeat(lengths > 1, lengths) | (flag[order] > 0)
+        order, group = order[kept], np.repeat(np.arange(len(at)), lengths)[kept]
+        # whole anchors at a time, about PIECE tokens
+        piece = (np.cumsum(size[order]) // PIECE).astype(np.int64)
+        head, members = runs(group)
+        piece = np.repeat(piece[head], members) if len(order) else piece
+        for a, n in zip(*runs(piece)):
+            part = np.sort(order[a : a + n])
+            yield arrange(doc[part], start[part], count[part], content[spread(begins[part], size[part])])
+
+    def arrange(doc, start, count, tokens):
+        """Hits of one piece. Windows whose fingerprint is alone in it are trimmed off, what is left is told apart by
+        content, and the different contents' suffixes are sorted: a hot passage is sorted once however often it is there."""
         size = count + k - 1
-        begins = (np.cumsum(size) - size)[kept]
-        doc, start, count, size = doc[kept], start[kept], count[kept], size[kept]
-        # each segment's tokens, closed by a symbol that no other has
-        at = np.cumsum(size + 1) - (size + 1)
-        symbols = np.zeros(int((size + 1).sum()), np.int64)
-        symbols[spread(at, size)] = content[spread(begins, size)]
-        symbols[at + size] = (np.int64(1) << 32) + np.arange(len(size))
-        del content
-        suffixes = spread(at, count)
+        at = np.cumsum(size) - size
+        windows = spread(at, count)
+        prints = window_prints(mix(tokens.astype(U64)), k)[windows]
+        order = np.argsort(prints, kind="stable")
+        _, lengths = runs(prints[order])
+        often = np.zeros(len(windows), bool)
+        often[order[np.repeat(lengths > 1, lengths)]] = True
         segment = np.repeat(np.arange(len(count), dtype=np.int64), count)
-        place = start[segment] + suffixes - at[segment]
-        by = np.lexsort((place, doc[segment]))
+        w = np.flatnonzero(often)
+        new = np.concatenate([[True], (np.diff(w) != 1) | (segment[w[1:]] != segment[w[:-1]])]) if len(w) else np.zeros(0, bool)
+        head = np.flatnonzero(new)
+        n = np.diff(np.append(head, len(w)))
+        first = w[head]
+        begin, sub_doc = windows[first], doc[segment[first]]
+        sub_start = start[segment[first]] + begin - at[segment[first]]
+        with np.errstate(over="ignore"):
+            nth = np.arange(len(w)) - np.repeat(head, n)
+            name = np.add.reduceat(mix(prints[w] + mix(nth.astype(U64) + U64(1))), head) if len(head) else np.zeros(0, U64)
+        by = np.lexsort((sub_start, sub_doc, n, name))
+        other = np.concatenate([[True], (name[by][1:] != name[by][:-1]) | (n[by][1:] != n[by][:-1])]) if len(by) else np.zeros(0, bool)
+        lead = by[other]  # of each content the earliest place
+        of = np.empty(len(by), np.int64)
+        of[by] = np.cumsum(other) - 1
+        size = n[lead] + k - 1
+        to = np.cumsum(size + 1) - (size + 1)
+        symbols = np.zeros(int((size + 1).sum()), np.int64)
+        symbols[spread(to, size)] = tokens[spread(begin[lead], size)]
+        symbols[to + size] = (np.int64(1) << 32) + np.arange(len(size))
+        suffixes = spread(to, n[lead])
+        own = np.repeat(np.arange(len(lead)), n[lead])
+        place = sub_start[lead][own] + suffixes - to[own]
+        d = sub_doc[lead][own]
+        by = np.lexsort((place, d))
         turn = np.empty(len(by), np.int64)  # rows of one id at one position have one turn
-        d, p = doc[segment][by], place[by]
-        turn[by] = np.cumsum(np.concatenate([[False], (d[1:] != d[:-1]) | (p[1:] != p[:-1])]))
+        turn[by] = np.cumsum(np.concatenate([[False], (d[by][1:] != d[by][:-1]) | (place[by][1:] != place[by][:-1])])) if len(by) else by
         length, source = longest_previous(symbols, suffixes, turn, k)
-        of = np.searchsorted(at, source, side="right") - 1
-        yield hits(doc[segment], place, length >= k, segment, doc[of], start[of] + source - at[of], length)
+        src = np.searchsorted(to, source, side="right") - 1
+        first_doc, first_start = sub_doc[lead][src], sub_start[lead][src] + source - to[src]
+        # back to all places: a copy of an earlier lead is repeated to its end
+        offset = np.cumsum(n[lead]) - n[lead]
+        at_lead = np.repeat(offset[of], n) + nth
+        copy = (sub_doc != sub_doc[lead[of]]) | (sub_start != sub_start[lead[of]])
+        rest = np.repeat(n, n) - nth + k - 1
+        got = np.where(np.repeat(copy, n), np.maximum(rest, length[at_lead] if len(at_lead) else 0), length[at_lead] if len(at_lead) else 0)
+        sub = np.repeat(np.arange(len(n), dtype=np.int64), n)
+        return hits(sub_doc[sub], sub_start[sub] + nth, got >= k, sub, first_doc[at_lead], first_start[at_lead], got)
 
     packed = id_and_text(docs).mapInArrow(cut, ROW)
     return union_spans(to_blocks(packed).mapInArrow(meet, HITS))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import U64, block_of, spread
+from .common import U64, block_of, mix, spread
 
 K = 50
 HITS = "doc_id long, start long, stop long, first_doc_id long, first_start long"
@@ -34,8 +34,9 @@ def segments(anchor: np.ndarray, windows: np.ndarray, doc: np.ndarray) -> tuple[
 
 def rows_by_block(blocks: int, anchor, doc_id, start, windows, flag, content, size, codec=None):
     """A packed row for each block. content: array whose pieces of `size` elements belong to the segments, in order."""
-    order = np.argsort(anchor, kind="stable")
-    edges = np.searchsorted(block_of(anchor[order], blocks), np.arange(blocks + 1, dtype=U64))
+    route = mix(anchor)  # anchors are minima, so small; blocks must be even
+    order = np.argsort(route, kind="stable")
+    edges = np.searchsorted(block_of(route[order], blocks), np.arange(blocks + 1, dtype=U64))
     offsets = np.concatenate([[0], np.cumsum(size)])
     out = {k: [] for k in ROW_SCHEMA.names}
     for k in np.flatnonzero(np.diff(edges)):
