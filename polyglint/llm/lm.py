@@ -22,11 +22,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_batch, id_and_text, mix, shared_table, slices, spread
+from .common import as_batch, id_and_text, mix, runs, shared_table, slices, spread
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 WINDOW, STRIDE, WIDTH, CLASSES, HASHED = 32, 24, 16, 64, 4096
-WINDOWS_EVERY, ROUNDS, RATE, BATCH = 2048, 3, 0.01, 64
+WINDOWS_EVERY, ROUNDS, RATE, BATCH, SCORED = 2048, 3, 0.01, 64, 96
+SHARD = 64  # batches of training windows that one copy of the model sees in a round
 _PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
@@ -47,10 +48,12 @@ def subwords(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     per_text = np.diff(np.asarray(split.offsets))
     coded = split.flatten().dictionary_encode()
     # one call for all words, each closed by a line feed, which is always a subword of its own here
-    enc = encoder(path)
-    flat = np.array(enc.encode_ordinary("".join(f" {w}\n" for w in coded.dictionary.to_pylist())), np.int32)
+    enc, words = encoder(path), coded.dictionary.to_pylist()
+    full = np.fromiter(map(bool, words), bool, len(words))  # splitting leaves empty words at a text's ends
+    flat = np.array(enc.encode_ordinary("".join(f" {w}\n" for w in words if w)), np.int32)
     stops = flat == enc.encode_single_token(b"\n")
-    size = np.diff(np.concatenate([[-1], np.flatnonzero(stops)])) - 1
+    size = np.zeros(len(words), np.int64)
+    size[full] = np.diff(np.concatenate([[-1], np.flatnonzero(stops)])) - 1
     flat = flat[~stops]
     begin = np.cumsum(size) - size
     codes = np.asarray(coded.indices).astype(np.int64)
@@ -80,6 +83,7 @@ class Classes:
 
 SHAPES = {"token": (HASHED, WIDTH), "class": (CLASSES + 1, WIDTH), "place": (WINDOW, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "o": (WIDTH, WIDTH), "up": (WIDTH, 2 * WIDTH), "down": (2 * WIDTH, WIDTH), "out": (WIDTH, CLASSES), "bias": (1, CLASSES)}
 SIZE = sum(a * b for a, b in SHAPES.values())
+_LOWER = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 _MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
 
 
@@ -148,8 +152,11 @@ def gradient(w: dict, before: np.ndarray, classes: np.ndarray, target: np.ndarra
     dx = dh + dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T
     for name, d in (("q", dq), ("k", dk), ("v", dv)):
         g[name][:] = two(x).T @ two(d)
-    np.add.at(g["token"], before % HASHED, dx)
-    np.add.at(g["class"], classes, dx)
+    for name, index in (("token", before % HASHED), ("class", classes)):
+        order = np.argsort(index, axis=None, kind="stable")
+        value = index.ravel()[order]
+        head, _ = runs(value)
+        g[name][value[head]] = np.add.reduceat(two(dx)[order], head)
     g["place"][: before.shape[1]] = dx.sum(0)
     return loss, flat
 
@@ -172,23 +179,29 @@ def train_windows(ids: np.ndarray, count: np.ndarray, doc_ids: np.ndarray) -> np
     return np.where(inside, ids[np.minimum(begin[:, None] + np.maximum(at, 0), max(0, len(ids) - 1))] if len(ids) else -1, -1).astype(np.int32)
 
 
-def gather(docs: DataFrame, path: str) -> tuple[np.ndarray, DataFrame]:
-    """(counts of every id over all documents, table of training windows)."""
+def gather(docs: DataFrame, path: str) -> tuple[np.ndarray, DataFrame, DataFrame]:
+    """(counts of every id over all documents, table of training windows, table of the documents' ids: docs, count, data).
+
+    Texts are cut into subwords once. Training windows are dealt to the shards at random, as averaging wants.
+    """
     size = vocabulary_size(path)
-    schema = pa.schema([("part", pa.int32()), ("data", pa.binary())])
+    kind = np.uint16 if size <= 1 << 16 else np.uint32
+    schema = pa.schema([("part", pa.int32()), ("docs", pa.binary()), ("count", pa.binary()), ("data", pa.binary())])
 
     def work(batches):
         total = np.zeros(size, np.int64)
         for b in slices(batches):
+            doc_ids = np.asarray(b.column(0)).astype(np.int64)
             ids, count = subwords(b.column(1), path)
             total += np.bincount(ids, minlength=size)
-            windows = train_windows(ids, count, np.asarray(b.column(0)))
-            if len(windows):
-                yield as_batch(schema, part=[0], data=[windows.tobytes()])
+            yield as_batch(schema, part=[2], docs=[doc_ids.tobytes()], count=[count.tobytes()], data=[ids.astype(kind).tobytes()])
+            windows = train_windows(ids, count, doc_ids)
+            for at in range(0, len(windows), BATCH):
+                yield as_batch(schema, part=[0], docs=[None], count=[None], data=[windows[at : at + BATCH].tobytes()])
         if total.any():
-            yield as_batch(schema, part=[1], data=[total.tobytes()])
+            yield as_batch(schema, part=[1], docs=[None], count=[None], data=[total.tobytes()])
 
-    made = shared_table(id_and_text(docs).mapInArrow(work, "part int, data binary"), "lm")
+    made = shared_table(id_and_text(docs).mapInArrow(work, "part int, docs binary, count binary, data binary"), "lm")
 
     def add(t: pa.Table) -> pa.Table:
         total = np.zeros(size, np.int64)
@@ -199,7 +212,9 @@ def gather(docs: DataFrame, path: str) -> tuple[np.ndarray, DataFrame]:
     # two steps, so that no task adds up more than the square root of all tables
     counts = made.where("part = 1").select(F.pmod(F.xxhash64("data"), F.lit(64)).alias("g"), "data").groupBy("g").applyInArrow(add, "data binary")
     rows = counts.withColumn("g", F.lit(0)).groupBy("g").applyInArrow(add, "data binary").collect()
-    return (np.frombuffer(rows[0]["data"], np.int64) if rows else np.zeros(size, np.int64)), made.where("part = 0").select("data")
+    windows = made.where("part = 0").select("data")
+    windows = windows.repartition(max(1, -(-windows.count() // SHARD)), F.xxhash64("data"))
+    return (np.frombuffer(rows[0]["data"], np.int64) if rows else np.zeros(size, np.int64)), shared_table(windows, "windows"), made.where("part = 2").select("docs", "count", "data")
 
 
 def train(windows: DataFrame, classes: Classes, rounds: int = ROUNDS, rate: float = RATE) -> np.ndarray:
@@ -243,29 +258,69 @@ def train(windows: DataFrame, classes: Classes, rounds: int = ROUNDS, rate: floa
     return weights
 
 
+def target_log_probs(w: dict, before: np.ndarray, classes: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """log P(target class) at each place: forward() without what only training needs, as few passes over memory as will do."""
+    windows, length = before.shape
+    x = w["token"].take((before & (HASHED - 1)).ravel(), 0)
+    x += w["class"].take(classes.ravel(), 0)
+    x.reshape(windows, length, WIDTH)[:] += w["place"][:length]
+    qkv = (x @ w["qkv"]).reshape(windows, length, 3, WIDTH)
+    a = qkv[:, :, 0] @ qkv[:, :, 1].transpose(0, 2, 1)  # q was scaled with its weights
+    np.minimum(a, 30, out=a)
+    np.exp(a, out=a)
+    a *= _LOWER[:length, :length]
+    mixed = a @ qkv[:, :, 2]
+    mixed /= a.sum(2, keepdims=True)
+    h = mixed.reshape(-1, WIDTH) @ w["o"]
+    h += x
+    f = h @ w["up"]
+    np.maximum(f, 0, out=f)
+    z = f @ w["down"]
+    z += h
+    logits = z @ w["out"]
+    logits += w["bias"]
+    hit = logits[np.arange(len(logits)), target.ravel()]
+    top = logits.max()
+    if top > 60:  # far from any trained model; keeps exp finite all the same
+        logits -= logits.max(1, keepdims=True) - 60
+        hit = logits[np.arange(len(logits)), target.ravel()]
+    np.exp(logits, out=logits)
+    return (hit - np.log(logits.sum(1))).reshape(windows, length)
+
+
+def for_scoring(w: dict) -> dict:
+    """The weights with q, k and v side by side, q scaled."""
+    return {**w, "qkv": np.concatenate([w["q"] / np.float32(np.sqrt(WIDTH)), w["k"], w["v"]], 1)}
+
+
 def score_texts(ids: np.ndarray, count: np.ndarray, w: dict, classes: Classes) -> np.ndarray:
-    """Sum of log P(token | before) of each text, each token scored once."""
+    """Sum of log P(token | before) of each text, each token scored once. w: for_scoring()'s."""
+    if not len(ids):
+        return np.zeros(len(count))
     context = WINDOW - STRIDE
     n_windows = np.where(count > 0, 1 + np.maximum(0, -(-(count - WINDOW) // STRIDE)), 0)
     text = np.repeat(np.arange(len(count)), n_windows)
     nth = spread(np.zeros(len(count), np.int64), n_windows)
-    begin = (np.cumsum(count) - count)[text]
-    total = np.zeros(len(count))
+    first = (np.cumsum(count) - count)[text]
+    left = count[text] - nth * STRIDE  # tokens from the window's start to the text's end
+    begin = first + nth * STRIDE
+    cls = classes.of.astype(np.int32)[ids]
+    value = classes.within[ids].astype(np.float64)
     steps = np.arange(WINDOW)
-    of = np.append(classes.of, CLASSES)  # of id -1
-    for a in range(0, len(text), BATCH):
-        part = slice(a, a + BATCH)
-        place = (nth[part] * STRIDE)[:, None] + steps
-        size = count[text[part]][:, None]
-        inside = place < size
-        at = begin[part][:, None] + np.minimum(place, size - 1)
-        target = ids[at]
-        before = np.where(place > 0, ids[np.maximum(at - 1, 0)], -1).astype(np.int64)
-        before[~inside] = -1
-        _, logp = forward(w, before, of[before])
-        value = np.take_along_axis(logp, of[target][:, :, None], 2)[:, :, 0] + classes.within[target]
-        new = inside & ((steps >= context) | (nth[part][:, None] == 0))
-        total += np.bincount(text[part], weights=(value * new).sum(1), minlength=len(count))
+    for a in range(0, len(text), SCORED):
+        part = slice(a, a + SCORED)
+        at = np.minimum(begin[part, None] + steps, len(ids) - 1)
+        inside = steps < left[part, None]
+        earlier = np.maximum(at - 1, 0)
+        before, kind = ids[earlier], cls[earlier]
+        head = nth[part] == 0
+        before[head, 0], kind[head, 0] = -1, CLASSES  # nothing is before a text's first token
+        new = inside & ((steps >= context) | head[:, None])
+        logp = target_log_probs(w, before, kind, cls[at])
+        value[at[new]] += logp[new]
+    some = np.flatnonzero(count > 0)
+    total = np.zeros(len(count))
+    total[some] = np.add.reduceat(value, (np.cumsum(count) - count)[some])
     return total
 
 
@@ -276,7 +331,8 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, rounds: int = ROUNDS) -
     scored one by one and alike. An empty table gives no rows. Extra columns aren't read.
     """
     spark = docs.sparkSession
-    counts, windows = gather(docs, vocabulary)
+    counts, windows, tokens = gather(docs, vocabulary)
+    kind = np.uint16 if len(counts) <= 1 << 16 else np.uint32
     classes = Classes(counts)
     weights = train(windows, classes, rounds)
     sent = spark.sparkContext.broadcast((weights, classes.of.astype(np.int64), classes.within))
@@ -284,12 +340,13 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, rounds: int = ROUNDS) -
 
     def work(batches):
         flat, of, within = sent.value
-        w, classes = parts(flat), Classes.__new__(Classes)
+        w, classes = for_scoring(parts(flat)), Classes.__new__(Classes)
         classes.of, classes.within = of, within
-        for b in slices(batches, 2 << 20):
-            ids, count = subwords(b.column(1), vocabulary)
-            total = score_texts(ids, count, w, classes)
-            perplexity = pa.array(np.exp(np.minimum(700, -total / np.maximum(1, count))), mask=count == 0)
-            yield as_batch(schema, doc_id=b.column(0), n_tokens=count, log_prob=total, perplexity=perplexity)
+        for b in batches:
+            for d, n, i in zip(*(b.column(k) for k in range(3))):
+                ids, count = np.frombuffer(i.as_buffer(), kind).astype(np.int32), np.frombuffer(n.as_buffer(), np.int64)
+                total = score_texts(ids, count, w, classes)
+                perplexity = pa.array(np.exp(np.minimum(700, -total / np.maximum(1, count))), mask=count == 0)
+                yield as_batch(schema, doc_id=np.frombuffer(d.as_buffer(), np.int64), n_tokens=count, log_prob=total, perplexity=perplexity)
 
-    return id_and_text(docs).mapInArrow(work, "doc_id long, n_tokens long, log_prob double, perplexity double")
+    return tokens.mapInArrow(work, "doc_id long, n_tokens long, log_prob double, perplexity double")
