@@ -67,6 +67,14 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
 
 
+def join_checked(big: DataFrame, small: DataFrame, on, how: str, most_rows: int = 500_000) -> DataFrame:
+    """Join a table of texts with a narrow one. The narrow side is stored and counted; up to most_rows it is broadcast, so
+    texts stay where they are; beyond that both sides are shuffled and merged. The result is the same."""
+    small = checkpointed(small)
+    n = small.limit(most_rows + 1).count()
+    return big.join(F.broadcast(small) if n <= most_rows else small.hint("merge"), on(small) if callable(on) else on, how)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finalizer of splitmix64, over an array."""
     with np.errstate(over="ignore"):
@@ -93,7 +101,7 @@ def slices(batches, max_bytes: int = SLICE_BYTES):
         start = 0
         while start < batch.num_rows:
             base = total[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(total, base + max_bytes, side="right")))
+            stop = min(max(start + 1, int(np.searchsorted(total, base + max_bytes, side="right"))), start + 65_535)
             yield batch.slice(start, stop - start)
             start = stop
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, as_batch, id_and_text, runs, shared_table, slices, spread, tokenize
+from .common import U64, as_batch, id_and_text, join_checked, runs, shared_table, slices, spread, tokenize
 
 COVERAGE, SLACK = 0.75, 3
 ITEMS_AT_ONCE = 20_000  # items that are sent to the segments at once; more are taken in turns
@@ -122,11 +122,11 @@ def answer(items: Items, docs, starts, terms, ends, positions, coverage: float,
     text = np.searchsorted(starts, where, side="right") - 1
     start = (start[:, None] + np.arange(-slack, slack + 1)).ravel()
     item, text = np.repeat(item, 2 * slack + 1), np.repeat(text, 2 * slack + 1)
-    order = np.lexsort((start, item))
+    order = np.lexsort((start, text, item))
     item, text, start = item[order], text[order], start[order]
     if not len(item):
         return none
-    new = np.concatenate([[True], (item[1:] != item[:-1]) | (start[1:] != start[:-1])])
+    new = np.concatenate([[True], (item[1:] != item[:-1]) | (text[1:] != text[:-1]) | (start[1:] != start[:-1])])
     item, text, start = item[new], text[new], start[new]
     ends_of = np.append(starts[1:], np.int64(1) << 32)
     # meet the terms from the rarest; a candidate that has lost too many is dropped
@@ -195,4 +195,4 @@ def find(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, slac
 def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, slack: int = SLACK) -> DataFrame:
     """The rows of docs, all columns, without the documents that match a test item."""
     hit = find(docs, benchmark, coverage, slack).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, F.col("doc_id").cast("long") == F.col("_hit"), "left_anti")
+    return join_checked(docs, hit, F.col("doc_id").cast("long") == F.col("_hit"), "left_anti")
