@@ -1,0 +1,346 @@
+"""Operators against brute force on a small corpus with the awkward cases in it."""
+
+import re
+
+import pytest
+
+from polyglint.llm import crf, decontam, exact, jaccard, license, lpf, mixing, recompress, warc
+from tests_llm_helpers import corpus_rows, rows_of, tokens
+
+
+def texts():
+    """doc_id -> distinct texts."""
+    out = {}
+    for r in corpus_rows():
+        if r[0] is not None and r[1] is not None:
+            out.setdefault(r[0], r[1])
+    return out
+
+
+def grams(text, n=3):
+    w = tokens(text)
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
+
+
+def brute_pairs(t=0.5, n=3):
+    sets = {d: grams(x, n) for d, x in texts().items()}
+    sets = {d: s for d, s in sets.items() if s}
+    ids = sorted(sets)
+    out = {}
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            o = len(sets[a] & sets[b])
+            u = len(sets[a] | sets[b])
+            if o >= t * u:
+                out[a, b] = (o, u)
+    return out
+
+
+@pytest.mark.parametrize("threshold,n", [(0.5, 3), (0.8, 2), (0.3, 1)])
+def test_jaccard_is_exact(docs, threshold, n):
+    got = {(r.doc_a, r.doc_b): (r.overlap, r.n_union) for r in jaccard.ngram_jaccard_join(docs, n, threshold).collect()}
+    assert got == brute_pairs(threshold, n)
+
+
+def test_jaccard_groups_keep_one(docs, clashing, empty):
+    parent = {d: d for d in texts()}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in brute_pairs():
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    want = {d: find(d) for d in parent if find(d) != d}
+    for frame in (docs, clashing):
+        assert {r.doc_id: r.root for r in jaccard.near_duplicate_ids(frame).collect()} == want
+    assert jaccard.ngram_jaccard_join(empty).count() == 0 and jaccard.near_duplicate_ids(empty).count() == 0
+
+
+def brute_spans(k=50):
+    first, hit = {}, {}
+    for d in sorted(texts()):
+        w = tokens(texts()[d])
+        for p in range(len(w) - k + 1):
+            g = tuple(w[p : p + k])
+            if g in first:
+                hit.setdefault(d, []).append((p, first[g]))
+            else:
+                first[g] = (d, p)
+    out = set()
+    for d, places in hit.items():
+        start, stop, source = places[0][0], places[0][0] + k, places[0][1]
+        for p, s in places[1:]:
+            if p > stop:
+                out.add((d, start, stop - start, *source))
+                start, source = p, s
+            stop = p + k
+        out.add((d, start, stop - start, *source))
+    return out
+
+
+@pytest.mark.parametrize("find", [recompress.find_repeats, lpf.find_copies])
+@pytest.mark.parametrize("k", [50, 12])
+def test_repeats_are_exact(docs, clashing, empty, find, k):
+    want = brute_spans(k)
+    assert want
+    for frame in (docs, clashing):
+        got = [tuple(r) for r in find(frame, k).select("doc_id", "start", "n_tokens", "first_doc_id", "first_start").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert find(empty, k).count() == 0
+
+
+def test_repeats_in_a_hot_passage(spark):
+    """Thousands of copies of one passage, each in other words."""
+    rows = [(d, " ".join(f"x{d}y{k}" for k in range(8)) + " " + " ".join(f"p{k}" for k in range(60)) + f" z{d}") for d in range(1500)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for find in (recompress.find_repeats, lpf.find_copies):
+        got = {tuple(r) for r in find(frame).select("doc_id", "start", "n_tokens", "first_doc_id", "first_start").collect()}
+        assert got == {(d, 8, 60, 0, 8) for d in range(1, 1500)}
+
+
+def test_lpf_by_hand():
+    import numpy as np
+
+    text = np.array([1, 2, 3, 1, 2, 3, 1, 9, 2, 3, 1, 100])
+    at = np.arange(11)
+    length, source = lpf.longest_previous(text, at, at, 1, 16)
+    brute = []
+    for i in range(11):
+        best = 0
+        for j in range(i):
+            n = 0
+            while i + n < len(text) and text[i + n] == text[j + n]:
+                n += 1
+            best = max(best, n)
+        brute.append(best)
+    assert length.tolist() == brute
+    assert all(text[s] == text[i] for i, s in zip(at, source))
+
+
+def brute_matches(tests, coverage=decontam.COVERAGE, slack=decontam.SLACK):
+    out = {}
+    for d, x in texts().items():
+        w = tokens(x)
+        for item, y in tests:
+            q = tokens(y or "")
+            if not q:
+                continue
+            need = -(-coverage * len(q) // 1)
+            for s in range(-len(q) - slack, len(w) + slack):
+                met = sum(any(0 <= p < len(w) and w[p] == t for p in range(s + j - slack, s + j + slack + 1)) for j, t in enumerate(q))
+                whole = all(0 <= s + j < len(w) and w[s + j] == t for j, t in enumerate(q))
+                if met >= need:
+                    key = (not whole, -met, s)
+                    if (d, item) not in out or key < out[d, item]:
+                        out[d, item] = key
+    return {(d, i, "proximity" if k[0] else "exact", k[2], -k[1]) for (d, i), k in out.items()}
+
+
+def test_decontamination_is_exact(spark, docs, clashing, empty):
+    known = texts()
+    cut = known[9].split()
+    tests = [(1, " ".join(cut[:20]).upper() + "!"), (2, " ".join(cut[3:6] + ["other"] + cut[7:15])), (3, " ".join(cut[5:9] + ["put", "in"] + cut[9:20])), (4, "nothing of it"), (5, None), (6, ""), (7, "one"), (8, " ".join(["same"] * 6)), (None, "one")]
+    bench = spark.createDataFrame(tests, "item_id long, text string")
+    want = brute_matches([t for t in tests if t[0] is not None])
+    for frame in (docs, clashing):
+        got = {(r.doc_id, r.item_id, r.kind, r.start, r.met) for r in decontam.find(frame, bench).collect()}
+        assert got == want
+    assert {k for _, _, k, _, _ in want} == {"exact", "proximity"}
+    assert decontam.find(empty, bench).count() == 0 and decontam.find(docs, bench.limit(0)).count() == 0
+    hit = {d for d, *_ in want}
+    kept = decontam.decontaminate(clashing, bench)
+    assert kept.columns == clashing.columns and rows_of(kept) == rows_of(clashing.where(~clashing.doc_id.isin(*hit) | clashing.doc_id.isNull()))
+
+
+def test_decontamination_in_turns(spark, docs, monkeypatch):
+    tests = spark.createDataFrame([(k, t) for k, t in enumerate(x for x in texts().values() if 5 < len(x.split()) < 60)], "item_id long, text string")
+    want = rows_of(decontam.find(docs, tests))
+    monkeypatch.setattr(decontam, "ITEMS_AT_ONCE", 3)
+    assert rows_of(decontam.find(docs, tests)) == want
+
+
+def test_exact_dedup_and_its_index(spark, docs, clashing, empty, tmp_path):
+    path = f"file://{tmp_path}/index"
+    by_text = {}
+    for r in corpus_rows():
+        if r[1] is not None:
+            by_text.setdefault(r[1], []).append(r[0])
+    want = {(min(i for i in ids if i is not None), len(ids)) for ids in by_text.values()}
+    half = docs.where("doc_id < 50")
+    first = {r.doc_id for r in exact.exact_dedup(half, path, 4).collect()}
+    assert first == {min(i for i in ids if i is not None) for t, ids in by_text.items() if any(i is not None and i < 50 for i in ids)}
+    rest = exact.exact_dedup(docs, path, 4).collect()
+    assert not first & {r.doc_id for r in rest} and first | {r.doc_id for r in rest} == {d for d, _ in want}
+    assert exact.exact_dedup(docs, path, 4).count() == 0
+    assert {(r.doc_id, r.n_copies) for r in exact.exact_dedup(docs).collect()} == want
+    kept = exact.keep_first(clashing)
+    assert kept.columns == clashing.columns
+    assert sorted(r.doc_id for r in kept.where("text is not null").collect()) == sorted(d for d, _ in want)
+    assert kept.where("text is null").count() == 1 and exact.keep_first(empty).count() == 0 and exact.exact_dedup(empty).count() == 0
+
+
+def test_index_plan_is_a_sort_merge_anti_join(spark, docs, tmp_path):
+    index = exact.DigestIndex(spark, f"file://{tmp_path}/i", 4)
+    exact.new_documents(docs, index)
+    plan = index.unseen(docs.select(exact.digest().alias("digest"), "doc_id").where("digest is not null").repartition(4, "digest"))._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "LeftAnti" in plan and "Bucketed: true" in plan
+
+
+def test_pivotal_rounds_by_hand():
+    done, left = mixing.pivotal([1, 2, 3, 4], [0.5, 0.5, 0.25, 0.75], 0, 1)
+    assert sum(done.values()) == 2 and left is None
+    done, left = mixing.pivotal([1, 2], [0.3, 0.3], 0, 1)
+    assert list(done.values()) == [0] and abs(left[1] - 0.6) < 1e-9
+    counts = [0] * 3
+    for seed in range(4000):
+        done, left = mixing.pivotal([10, 11, 12], [0.2, 0.7, 0.1], 0, seed)
+        assert left is None and sum(done.values()) == 1
+        for k, v in done.items():
+            counts[k] += v
+    assert all(abs(c / 4000 - p) < 0.03 for c, p in zip(counts, (0.2, 0.7, 0.1)))
+
+
+def test_mixing_meets_its_targets(spark, docs, clashing, empty, monkeypatch):
+    monkeypatch.setattr(mixing, "LEAF", 6)  # several cells and levels
+    monkeypatch.setattr(mixing, "FAN_IN", 2)
+    weights = {"s0": 2.0, "s1": 1.0, "s2": 1.0, "absent": 4.0}
+    out = mixing.mix_sources(docs, weights, 1.5).collect()
+    assert len(out) == len({(r[0], r[3] or "") for r in corpus_rows() if r[0] is not None})
+    by = {}
+    for r in out:
+        assert int(r.expected) <= r.copies <= int(r.expected) + 1
+        by.setdefault(r.source, [0.0, 0])
+        by[r.source][0] += r.expected
+        by[r.source][1] += r.copies
+    for source, (want, got) in by.items():
+        assert abs(want - got) < 1 + 1e-6, source
+    assert by[""] == [0.0, 0]
+    assert abs(sum(w for w, _ in by.values()) - sum(g for _, g in by.values())) < 1 + 1e-6
+    again = mixing.mix_sources(docs.repartition(7), weights, 1.5).collect()
+    assert sorted(map(tuple, out)) == sorted(map(tuple, again))
+    assert mixing.mix_sources(empty).count() == 0
+    kept = mixing.mixed(clashing, weights, 1.5)
+    assert kept.columns == [*clashing.columns, "mix_copies"]
+    want = {(r.doc_id, r.source): r.copies for r in out if r.copies}
+    assert {(r.doc_id, r.source or ""): r.mix_copies for r in kept.collect()} == want
+
+
+def brute_licenses():
+    out = {}
+    for name, template in license.TEMPLATES.items():
+        out[name] = re.compile(license.as_regex(template))
+    return out
+
+
+def test_license_scan(spark, empty):
+    rows = [
+        (1, "x Released under the MIT License. y"), (2, "Released under the terms of the MIT license, see the file COPYING for details"), (3, "Released under the BSD License"),
+        (4, "This work is licensed under the GNU General Public License, version 3."), (5, "licensed under CC BY-NC 4.0 and Licensed under the Apache License, Version 2.0"),
+        (6, "Copyright (c) 2020 Some Body Inc. All rights reserved."), (7, None), (8, ""), (9, "All rights. Reserved"), (10, "all right reserved"), (1, "nothing"), (None, "All rights reserved"),
+        (11, "All rights reserved " * 3 + "word " * 5000 + "All rights reserved"), (12, "Licensed under the Apache License Version 3"), (13, "this work is this work is licensed under CC BY 4.0"),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.license): (r.first_token, r.n_tokens, r.n_places) for r in license.scan(frame).collect()}
+    want = {}
+    for d, t in rows:
+        if d is None or not t:
+            continue
+        spaced = " " + "  ".join(tokens(t)) + " "
+        for name, pattern in brute_licenses().items():
+            m = pattern.search(spaced)
+            if m:
+                n = len(pattern.findall(spaced))
+                want[d, name] = (spaced[: m.start()].count(" ") // 2, m[0].count(" ") // 2, n)
+    assert {k: v[:2] for k, v in got.items()} == {k: v[:2] for k, v in want.items()}
+    assert got[11, "all-rights-reserved"] == (0, 3, 4) and (12, "Apache-2.0-notice") not in got and (3, "MIT-notice") not in got
+    assert license.scan(empty).count() == 0
+
+
+def test_license_templates_are_checked():
+    for bad in ("a <<beginOptional>> b", "a <<endOptional>>", "<<beginOptional>>a<<endOptional>>", '<<var;name="x";match=".+">> a'):
+        with pytest.raises(ValueError):
+            license.Automaton(bad)
+
+
+def test_warc_round_trip(spark):
+    rows = [
+        (1, "http://a.example/", "<html lang='de'><title>A &amp; B</title><script>x</p></script><p>One<br>two &lt;3 <!-- no --><a href=\"/x?a=1&amp;b=2\">link</a></p></html>", "x"),
+        (2, None, "", "x"), (3, "u", None, "x"), (None, "u", "<p>lone <b", "x"), (4, "u", "plain\r\n\r\ntext é", "x"), (4, "u", "plain\r\n\r\ntext é", "x"), (5, "u", "<p>" + "long " * 300_000, "x"),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, block string")
+    got = [r.asDict() for r in warc.build(pages, with_responses=True).collect()]
+    assert len(got) == 3 * 6
+    responses = {r["record_id"]: r for r in got if r["warc_type"] == "response"}
+    for r in got:
+        assert warc.from_bytes(warc.to_bytes(r)) == [r]
+        if r["warc_type"] != "response":
+            source = responses[r["refers_to"]]
+            assert all(r[k] == source[k] for k in ("target_uri", "warc_date", "payload_digest", "source_headers", "page_id"))
+    one = {r["warc_type"]: r["block"] for r in got if r["page_id"] == 1}
+    assert one["conversion"] == "A & B\nOne\ntwo <3 link"
+    assert one["metadata"].split("\r\n")[:2] == ["title: A & B", "languages: de"] and "outlink: /x?a=1&b=2\r\n" in one["metadata"]
+    whole = b"".join(warc.to_bytes(r) for r in got)
+    assert warc.from_bytes(whole) == got
+    with pytest.raises(ValueError):
+        warc.from_bytes(whole.replace(b"two", b"tw0"))
+    assert warc.build(pages.limit(0)).count() == 0
+
+
+def test_crf_marginals_against_all_labellings():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    doc = np.array([0, 0, 0, 0, 2, 2, 3])
+    score, trans = rng.normal(size=(7, 2)), rng.normal(size=(2, 2))
+    p, _, z = crf.marginals(score, doc, trans)
+    total = 0.0
+    for d in (0, 2, 3):
+        at = np.flatnonzero(doc == d)
+        weight, mass = np.zeros((len(at), 2)), 0.0
+        for y in itertools.product((0, 1), repeat=len(at)):
+            e = np.exp(sum(score[a, k] for a, k in zip(at, y)) + sum(trans[a, b] for a, b in zip(y, y[1:])))
+            mass += e
+            for k, v in enumerate(y):
+                weight[k, v] += e
+        assert np.allclose(p[at], weight / mass)
+        total += np.log(mass)
+    assert np.isclose(z, total)
+
+
+def _labelled(spark, n, seed):
+    import random
+
+    rng = random.Random(seed)
+    rows, labels = [], []
+    for d in range(n):
+        good = rng.random() < 0.6
+        lines = [" ".join("".join(rng.choice("aeioustrnl") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(6, 20))).capitalize() + "." for _ in range(rng.randint(1, 8))]
+        if not good:
+            lines = [" ".join(w.upper() + "###" for w in x.split()) if rng.random() < 0.9 or k == 0 else x for k, x in enumerate(lines)]
+        rows.append((d, "\n".join(lines)))
+        labels.append((d, int(good)))
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+
+
+def test_classifier_on_held_out_documents(spark, docs, clashing, empty):
+    train, labels = _labelled(spark, 300, 1)
+    test, truth = _labelled(spark, 200, 2)
+    both = train.union(test.selectExpr("doc_id + 1000 as doc_id", "text"))
+    got = {r.doc_id: r for r in crf.classify(both, labels).collect()}
+    right = sum(got[r.doc_id + 1000].keep == bool(r.quality) for r in truth.collect())
+    assert right >= 195
+    out = crf.classify(clashing, labels)
+    assert out.count() == docs.count()
+    blank = {r.doc_id: (r.n_lines, r.quality, r.keep) for r in out.where("doc_id in (300, 301, 302)").collect()}
+    assert blank == {d: (0, 0.0, False) for d in (300, 301, 302)}
+    assert crf.classify(empty, labels).count() == 0
+    # nothing to learn from: everything with a line stays
+    kept = crf.reject(clashing, labels.limit(0))
+    assert kept.columns == clashing.columns and kept.count() == docs.where("trim(text) <> ''").count() - docs.where("doc_id = 302").count()
+    keep = {r.doc_id for r in crf.classify(both, labels).collect() if r.keep}
+    assert {r.doc_id for r in crf.reject(both, labels).collect()} == keep
