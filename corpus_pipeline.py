@@ -28,7 +28,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, of the least doc_id, of each group of near duplicates."""
     drop = jaccard.near_duplicate_ids(docs).select(F.col("doc_id").alias("_drop"))
-    return docs.join(drop, F.col("doc_id").cast("long") == F.col("_drop"), "left_anti")
+    return common.join_checked(docs, drop, F.col("doc_id").cast("long") == F.col("_drop"), "left_anti")
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
