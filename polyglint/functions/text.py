@@ -57,7 +57,7 @@ def percent(part: Column, whole: Column) -> Column:
 
 def folded(text: Column) -> Column:
     """For equality of source texts: trimmed, no-break spaces plain, apostrophes straight."""
-    return F.translate(trimmed(text), "  ’‘", "  ''")
+    return F.translate(trimmed(text), "\u00a0\u202f\u2019\u2018", "  ''")
 
 
 def pair_key(a: Column, b: Column) -> Column:

@@ -29,7 +29,8 @@ def _leaves(node: dict, path: tuple[str, ...] = ()):
             here = (*path, kind, case)
             if "variations" in inner:
                 yield from _leaves(inner, here)
-            yield ".".join(here), inner.get("stringUnit")
+            if "stringUnit" in inner or "variations" not in inner:
+                yield ".".join(here), inner.get("stringUnit")
 
 
 def flatten(catalog: str, data: bytes) -> list[dict]:
