@@ -4,26 +4,26 @@ Two passes over the texts. The first makes each document's n-gram set: its size,
 (equal sets share one, so copies collapse into one row of the matrix) and a table of how often
 n-grams occur. The second puts each row's columns into one global order, frequent columns last,
 and sends the part that a pair over the threshold can't avoid sharing, n - ceil(t n) + 1 columns,
-to blocks of columns. A block multiplies its slice of the matrix with its transpose and adds up
-overlaps of pairs whose sizes allow the threshold. Over all blocks, a pair whose overlap so far
-plus the columns not yet seen stays below t/(1+t)(|a|+|b|) is discarded; the survivors' whole
-overlap is counted from their full rows. The result is exact: no pair is capped or sampled.
+to blocks of columns. A block multiplies its slice of the matrix with its transpose and discards
+what sizes rule out: pairs whose sizes differ too much, and pairs whose overlap, were this their
+first common column, couldn't reach t/(1+t)(|a|+|b|) with the columns that are left. Where the
+column before is common too, that one's block has the pair. Pairs whose shared columns over all
+blocks, and the columns not sent, don't add up to the bound go next. The survivors' rows meet in blocks, where their overlaps are counted over all columns. No pair is capped or sampled.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, as_batch, block_of, by_doc, checkpointed, components, concat, id_and_text, mix, n_blocks, runs, shared_table, signed, slices, spread, to_blocks, tokenize
+from .common import U64, as_batch, block_of, by_doc, checkpointed, components, id_and_text, join_checked, mix, n_blocks, runs, shared_table, signed, slices, spread, to_blocks, tokenize
 
 N, THRESHOLD = 3, 0.5
 CELLS = 1 << 20  # of the frequency table; it only orders columns, so collisions cost time, not pairs
 PART = 1 << 15
+BINS, SIGMAS = 256, 4.0  # of the sketch; a pair goes where its estimate is so many deviations below the threshold
 PAIRS_AT_ONCE = 1 << 21
 
 
@@ -71,27 +71,41 @@ def sets_of(batch, n: int):
     return np.asarray(batch.column(0)), sig, size, h, d
 
 
+SKETCH = [f"{kind}{k}" for kind in "vm" for k in range(BINS // 64)]
+
+
+def sketches(h: np.ndarray, d: np.ndarray, rows: int) -> np.ndarray:
+    """One-permutation minhash of each text, (rows, words): a bit of the least hash of each bin, then which bins have one. h sorted within d."""
+    bins = (h >> U64(56)).astype(np.int64) % BINS
+    first = runs(d.astype(np.int64) * BINS + bins)[0]
+    value, there = np.zeros((rows, BINS), np.uint8), np.zeros((rows, BINS), np.uint8)
+    there[d[first], bins[first]] = 1
+    value[d[first], bins[first]] = mix(h[first]) & U64(1)
+    return np.packbits(np.concatenate([value, there], 1), axis=1).view(np.int64)
+
+
 def _cell(h: np.ndarray) -> np.ndarray:
     return (h & U64(CELLS - 1)).astype(np.int64)
 
 
 def profiles(docs: DataFrame, n: int) -> tuple[DataFrame, bytes]:
     """Table (doc_id, sig, n) of the documents with at least one n-gram, and the frequency table."""
-    schema = pa.schema([("doc_id", pa.int64()), ("sig", pa.int64()), ("n", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("sig", pa.int64()), ("n", pa.int64()), *((k, pa.int64()) for k in SKETCH), ("part", pa.int32()), ("counts", pa.binary())])
 
     def work(batches):
         total = np.zeros(CELLS, np.int64)
         for b in slices(batches):
-            ids, sig, size, h, _ = sets_of(b, n)
+            ids, sig, size, h, d = sets_of(b, n)
             total += np.bincount(_cell(h), minlength=CELLS)
             some = size > 0
             k = int(some.sum())
-            yield as_batch(schema, doc_id=ids[some], sig=signed(sig[some]), n=size[some], part=pa.nulls(k, pa.int32()), counts=pa.nulls(k, pa.binary()))
+            drawn = sketches(h, d, b.num_rows)[some]
+            yield as_batch(schema, doc_id=ids[some], sig=signed(sig[some]), n=size[some], **{c: drawn[:, j] for j, c in enumerate(SKETCH)}, part=pa.nulls(k, pa.int32()), counts=pa.nulls(k, pa.binary()))
         if total.any():
             parts = range(CELLS // PART)
-            yield as_batch(schema, doc_id=pa.nulls(len(parts), pa.int64()), sig=pa.nulls(len(parts), pa.int64()), n=pa.nulls(len(parts), pa.int64()), part=list(parts), counts=[total[p * PART : (p + 1) * PART].astype(np.uint32).tobytes() for p in parts])
+            yield as_batch(schema, doc_id=pa.nulls(len(parts), pa.int64()), sig=pa.nulls(len(parts), pa.int64()), n=pa.nulls(len(parts), pa.int64()), **{c: pa.nulls(len(parts), pa.int64()) for c in SKETCH}, part=list(parts), counts=[total[p * PART : (p + 1) * PART].astype(np.uint32).tobytes() for p in parts])
 
-    made = shared_table(id_and_text(docs).mapInArrow(work, "doc_id long, sig long, n long, part int, counts binary"), "profiles")
+    made = shared_table(id_and_text(docs).mapInArrow(work, "doc_id long, sig long, n long, " + "".join(f"{c} long, " for c in SKETCH) + "part int, counts binary"), "profiles")
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(PART, np.int64)
@@ -104,7 +118,7 @@ def profiles(docs: DataFrame, n: int) -> tuple[DataFrame, bytes]:
     for r in summed:  # of fixed size: CELLS counts, whatever the input
         table[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(r["counts"], np.uint32)
     rank = np.minimum(255, np.round(16 * np.log2(1 + table / max(1.0, float(np.median(table)))))).astype(np.uint8)
-    return made.where("part is null").select("doc_id", "sig", "n"), rank.tobytes()
+    return made.where("part is null").select("doc_id", "sig", "n", *SKETCH), rank.tobytes()
 
 
 def _need(t: float, a, b):
@@ -115,7 +129,7 @@ def _need(t: float, a, b):
 def _emit_prefixes(docs: DataFrame, n: int, t: float, rank: bytes) -> DataFrame:
     spark = docs.sparkSession
     blocks, shared = n_blocks(spark), spark.sparkContext.broadcast(rank)
-    schema = pa.schema([("block", pa.int32()), ("h", pa.binary()), ("row", pa.binary()), ("sig", pa.binary()), ("n", pa.binary())])
+    schema = pa.schema([("block", pa.int32())] + [(k, pa.binary()) for k in ("h", "row", "at", "before", "sig", "n")])
 
     def work(batches):
         frequent = np.frombuffer(shared.value, np.uint8)
@@ -126,68 +140,71 @@ def _emit_prefixes(docs: DataFrame, n: int, t: float, rank: bytes) -> DataFrame:
             starts, lengths = runs(d)
             prefix = lengths - np.ceil(t * lengths - 1e-9).astype(np.int64) + 1
             take = spread(starts, prefix)
+            at = take - np.repeat(starts, prefix)
+            before = np.where(at > 0, h[np.maximum(take - 1, 0)], sig[d[take]])
             h, d = h[take], d[take]
             order = np.argsort(h, kind="stable")
-            h, d = h[order], d[order]
+            h, d, at, before = h[order], d[order], at[order], before[order]
+            # within a block 32 bits tell columns apart: a clash only adds a pair to verify, and blocks grow in number with the data
+            low, at, before = h.astype(np.uint32), np.minimum(at, 65_535).astype(np.uint16), mix(before).astype(np.uint32)
             edges = np.searchsorted(block_of(h, blocks), np.arange(blocks + 1, dtype=U64))
             out = {k: [] for k in schema.names}
             for k in np.flatnonzero(np.diff(edges)):
                 part = slice(edges[k], edges[k + 1])
                 used, local = np.unique(d[part], return_inverse=True)
-                for name, v in (("block", int(k)), ("h", h[part].tobytes()), ("row", local.astype(np.uint32).tobytes()), ("sig", sig[used].tobytes()), ("n", size[used].astype(np.uint32).tobytes())):
-                    out[name].append(v)
+                for name, v in (("block", int(k)), ("h", low[part]), ("row", local.astype(np.uint16)), ("at", at[part]), ("before", before[part]), ("sig", sig[used]), ("n", size[used].astype(np.uint32))):
+                    out[name].append(v if name == "block" else v.tobytes())
             yield as_batch(schema, **out)
 
-    return id_and_text(docs).mapInArrow(work, "block int, h binary, row binary, sig binary, n binary")
+    return id_and_text(docs).mapInArrow(work, "block int, h binary, row binary, at binary, before binary, sig binary, n binary")
 
 
 def _multiply(t: float):
-    schema = pa.schema([("sa", pa.int64()), ("sb", pa.int64()), ("na", pa.int64()), ("nb", pa.int64()), ("c", pa.int64())])
+    schema = pa.schema([("sa", pa.int64()), ("sb", pa.int64())])
 
     def work(batches):
-        hs, sigs, sizes = [], [], []
+        found = {k: [] for k in ("h", "sig", "size", "at", "before")}
         for b in batches:
-            for h, row, sig, size in zip(*(b.column(b.schema.get_field_index(c)) for c in ("h", "row", "sig", "n"))):
-                at = np.frombuffer(row.as_buffer(), np.uint32)
-                hs.append(np.frombuffer(h.as_buffer(), U64))
-                sigs.append(np.frombuffer(sig.as_buffer(), U64)[at])
-                sizes.append(np.frombuffer(size.as_buffer(), np.uint32)[at])
-        if not hs:
+            for h, row, at, before, sig, size in zip(*(b.column(b.schema.get_field_index(c)) for c in ("h", "row", "at", "before", "sig", "n"))):
+                of = np.frombuffer(row.as_buffer(), np.uint16)
+                found["h"].append(np.frombuffer(h.as_buffer(), np.uint32))
+                found["sig"].append(np.frombuffer(sig.as_buffer(), U64)[of])
+                found["size"].append(np.frombuffer(size.as_buffer(), np.uint32)[of])
+                found["at"].append(np.frombuffer(at.as_buffer(), np.uint16))
+                found["before"].append(np.frombuffer(before.as_buffer(), np.uint32))
+        if not found["h"]:
             return
-        h, sig, size = np.concatenate(hs), np.concatenate(sigs), np.concatenate(sizes)
-        del hs, sigs, sizes
+        h, sig, size, at, before = (np.concatenate(found.pop(k)) for k in ("h", "sig", "size", "at", "before"))
         order = np.argsort(h, kind="stable")
         starts, lengths = runs(h[order])
-        order = order[np.repeat(lengths > 1, lengths)]  # columns of one row make no pair
-        h, sig, size = h[order], sig[order], size[order]
-        order = np.lexsort((sig, size, h))
-        h, sig, size = h[order], sig[order], size[order]
+        order = order[np.repeat(lengths > 1, lengths)]  # a column of one row makes no pair
+        order = order[np.lexsort((sig[order], size[order], h[order]))]
+        h, sig, size, at, before = h[order], sig[order], size[order], at[order].astype(np.int64), before[order]
         if len(h):
             new = np.concatenate([[True], (h[1:] != h[:-1]) | (sig[1:] != sig[:-1])])
-            h, sig, size = h[new], sig[new], size[new]
+            h, sig, size, at, before = h[new], sig[new], size[new].astype(np.int64), at[new], before[new]
         starts, lengths = runs(h)
         run = np.repeat(np.arange(len(starts), dtype=U64), lengths) << U64(32)
         key = run | size.astype(U64)
         most = np.minimum(np.floor(size / t + 1e-9), 2**32 - 1).astype(U64)
         partners = np.searchsorted(key, run | most, side="right") - np.arange(len(h)) - 1
         done = np.concatenate([[0], np.cumsum(partners)])
-        at = 0
-        while at < len(h):
-            stop = max(at + 1, int(np.searchsorted(done, done[at] + PAIRS_AT_ONCE, side="right")) - 1)
-            left = np.repeat(np.arange(at, stop), partners[at:stop])
-            right = spread(np.arange(at, stop) + 1, partners[at:stop])
-            at = stop
+        here = 0
+        while here < len(h):
+            stop = max(here + 1, int(np.searchsorted(done, done[here] + PAIRS_AT_ONCE, side="right")) - 1)
+            left = np.repeat(np.arange(here, stop), partners[here:stop])
+            right = spread(np.arange(here, stop) + 1, partners[here:stop])
+            here = stop
+            reach = np.minimum(size[left] - at[left], size[right] - at[right])
+            go = (reach >= _need(t, size[left], size[right])) & (before[left] != before[right])
+            left, right = sig[left[go]].view(np.int64), sig[right[go]].view(np.int64)
             if not len(left):
                 continue
-            order = np.lexsort((sig[right], sig[left]))
+            left, right = np.minimum(left, right), np.maximum(left, right)
+            order = np.lexsort((right, left))
             left, right = left[order], right[order]
-            a, b = sig[left], sig[right]
-            first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-            c = np.diff(np.append(first, len(a)))
-            left, right = left[first], right[first]
-            swap = sig[left].view(np.int64) > sig[right].view(np.int64)
-            left, right = np.where(swap, right, left), np.where(swap, left, right)
-            yield as_batch(schema, sa=signed(sig[left]), sb=signed(sig[right]), na=size[left].astype(np.int64), nb=size[right].astype(np.int64), c=c)
+            new = np.concatenate([[True], (left[1:] != left[:-1]) | (right[1:] != right[:-1])])
+            yield as_batch(schema, sa=left[new], sb=right[new])
 
     return work
 
@@ -197,10 +214,16 @@ def set_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tupl
     threshold, and members (doc_id, sig, n), which documents have which set."""
     t, spark = threshold, docs.sparkSession
     members, rank = profiles(docs, n)
-    counted = to_blocks(_emit_prefixes(docs, n, t, rank)).mapInArrow(_multiply(t), "sa long, sb long, na long, nb long, c long")
-    rest = F.ceil(F.lit(t) * F.greatest("na", "nb") - 1e-9) - 1
-    need = F.ceil(F.lit(t / (1 + t)) * (F.col("na") + F.col("nb")) - 1e-9)
-    open_pairs = shared_table(counted.groupBy("sa", "sb").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("c").alias("c")).where(F.col("c") + rest >= need).select("sa", "sb", "na", "nb"), "pairs")
+    holders = checkpointed(members.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in SKETCH]))
+    found = shared_table(to_blocks(_emit_prefixes(docs, n, t, rank)).mapInArrow(_multiply(t), "sa long, sb long").distinct(), "pairs")
+    side = lambda k: holders.select(F.col("sig").alias("s" + k), *[F.col(c).alias(c + k) for c in SKETCH])
+    drawn = join_checked(join_checked(found, side("a"), "sa", "inner"), side("b"), "sb", "inner")
+    count = lambda f: sum((F.bit_count(f(str(k))) for k in range(BINS // 64)), F.lit(0))
+    c = F.col
+    both = count(lambda k: c(f"m{k}a").bitwiseAND(c(f"m{k}b")))
+    unlike = count(lambda k: c(f"m{k}a").bitwiseAND(c(f"m{k}b")).bitwiseAND(c(f"v{k}a").bitwiseXOR(c(f"v{k}b"))))
+    any_ = count(lambda k: c(f"m{k}a").bitwiseOR(c(f"m{k}b")))
+    open_pairs = checkpointed(drawn.where(both - 2 * unlike >= F.lit(t) * any_ - F.lit(SIGMAS) * F.sqrt(any_)).select("sa", "sb"))
 
     # A pair goes where the least set near either end says, so a group of copies meets in one place.
     ends = open_pairs.select("sa", "sb").union(open_pairs.select("sb", "sa")).toDF("sig", "other")
@@ -208,40 +231,51 @@ def set_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tupl
     blocks = n_blocks(spark)
     placed = checkpointed(
         open_pairs.join(least.select(F.col("sig").alias("sa"), F.col("low").alias("la")), "sa").join(least.select(F.col("sig").alias("sb"), F.col("low").alias("lb")), "sb")
-        .select("sa", "sb", "na", "nb", F.pmod(F.xxhash64(F.least("la", "lb")), F.lit(blocks)).cast("int").alias("block"))
+        .select("sa", "sb", F.pmod(F.xxhash64(F.least("la", "lb")), F.lit(blocks)).cast("int").alias("block"))
     )
     wanted = placed.select(F.col("sa").alias("sig"), "block").union(placed.select(F.col("sb").alias("sig"), "block")).distinct()
-    holders = members.groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-    targets = wanted.join(holders, "sig").groupBy("doc_id", "sig").agg(F.collect_set("block").alias("at"))
+    targets = wanted.join(holders.select("sig", "doc_id"), "sig").groupBy("doc_id", "sig").agg(F.collect_set("block").alias("at"))
     row_schema = pa.schema([("block", pa.int32()), ("sig", pa.int64()), ("h", pa.binary())])
 
     def rows(batches):
-        for b in slices(batches):
+        for b in slices(batches, 2 << 20):
             _, sig, size, h, d = sets_of(b, n)
             starts = np.concatenate([[0], np.cumsum(size)])
+            packed = np.ascontiguousarray((h >> U64(16)).view(np.uint8).reshape(-1, 8)[:, :6])  # 48 bits tell n-grams of two documents apart
             out = {k: [] for k in row_schema.names}
             for i, (s, at) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
                 if signed(sig[i : i + 1])[0] == s:
                     for k in at:
-                        out["block"].append(k), out["sig"].append(s), out["h"].append(h[starts[i] : starts[i + 1]].tobytes())
+                        out["block"].append(k), out["sig"].append(s), out["h"].append(packed[starts[i] : starts[i + 1]].tobytes())
             yield as_batch(row_schema, **out)
 
-    full = id_and_text(docs).join(targets, "doc_id").select("doc_id", "text", "sig", "at").mapInArrow(rows, "block int, sig long, h binary")
+    full = join_checked(id_and_text(docs), targets, "doc_id", "inner").select("doc_id", "text", "sig", "at").mapInArrow(rows, "block int, sig long, h binary")
     out_type = "sa long, sb long, overlap long, n_union long"
 
     def verify(left: pa.Table, right: pa.Table) -> pa.Table:
-        have = {s: np.frombuffer(h.as_buffer(), U64) for s, h in zip(right.column("sig").to_pylist(), right.column("h"))}
-        found = {"sa": [], "sb": [], "overlap": [], "n_union": []}
-        for a, b in zip(left.column("sa").to_pylist(), left.column("sb").to_pylist()):
-            x, y = have[a], have[b]
+        have = dict(zip(right.column("sig").to_pylist(), right.column("h")))
+
+        def row(s):
+            wide = np.zeros((len(have[s].as_buffer()) // 6, 8), np.uint8)
+            wide[:, :6] = np.frombuffer(have[s].as_buffer(), np.uint8).reshape(-1, 6)
+            return wide.view(U64).ravel()
+
+        a, b = np.asarray(left.column("sa")), np.asarray(left.column("sb"))
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        overlap, union = np.zeros(len(a), np.int64), np.ones(len(a), np.int64)
+        last, mine = None, None
+        for k in range(len(a)):
+            if a[k] != last:
+                last, mine = a[k], row(int(a[k]))
+            x, y = mine, row(int(b[k]))
             if len(x) > len(y):
                 x, y = y, x
             at = np.searchsorted(y, x)
-            overlap = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-            union = len(x) + len(y) - overlap
-            if overlap >= t * union - 1e-9:
-                found["sa"].append(a), found["sb"].append(b), found["overlap"].append(overlap), found["n_union"].append(union)
-        return pa.table({k: pa.array(v, pa.int64()) for k, v in found.items()})
+            overlap[k] = np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x)
+            union[k] = len(x) + len(y) - overlap[k]
+        ok = overlap >= t * union - 1e-9
+        return pa.table({"sa": a[ok], "sb": b[ok], "overlap": overlap[ok], "n_union": union[ok]})
 
     exact = placed.select("sa", "sb", "block").groupBy("block").cogroup(full.groupBy("block")).applyInArrow(verify, out_type)
     return shared_table(exact, "verified"), members
@@ -257,7 +291,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD
     table gives no rows; extra columns aren't read.
     """
     pairs, members = set_pairs(docs, n, threshold)
-    members = members.distinct()
+    members = members.select("doc_id", "sig", "n").distinct()
     a = members.select(F.col("sig").alias("sa"), F.col("doc_id").alias("da"), F.col("n").alias("n_a"))
     b = members.select(F.col("sig").alias("sb"), F.col("doc_id").alias("db"))
     near = pairs.join(a, "sa").join(b, "sb").where("da <> db").select("da", "db", "overlap", "n_union")
