@@ -197,12 +197,11 @@ def plural_required_missing(spark, sf_dir):
     return membership.bundle_plurals(u)
 
 
-@query("""select 'benchmark' as catalog, b.text as key, count(*) as at_risk from benchmark b join documents d on d.doc_id % 40 = b.item_id % 40 where len(list_filter(string_split_regex(b.text, '\\s+'), lambda w: w <> '')) >= 5 and d.text <> '' group by 2""")
+@query("""select 'conversations' as catalog, a.text as key, count(*) as at_risk from conversations a join conversations b on a.conv_id = b.conv_id and b.turn = a.turn + 1 where a.role = 'user' and b.role = 'assistant'
+and len(list_filter(string_split_regex(a.text, '\\s+'), lambda w: w <> '')) >= 5 and b.text <> '' group by 2""")
 def sentence_keys(spark, sf_dir):
-    b = A.table(spark, sf_dir, "benchmark").select(F.lit("benchmark").alias("catalog"), F.col("text").alias("key"), F.col("item_id"))
-    d = A.table(spark, sf_dir, "documents").select((F.col("doc_id") % 40).alias("m"), F.col("lang").alias("language"), F.col("text").alias("value"))
-    values = b.join(d, F.col("item_id") % 40 == F.col("m")).select("catalog", "key", "language", "value")
-    return consistency.sentence_keys(b.select("catalog", "key").distinct(), values)
+    t = A.turns(spark, sf_dir).select(F.lit("conversations").alias("catalog"), F.col("source").alias("key"), F.lit("de").alias("language"), F.col("translation").alias("value"))
+    return consistency.sentence_keys(t.select("catalog", "key").distinct(), t)
 
 
 GLOSSARY = [("the", "en", "the"), ("der", "de", "der"), ("the", "*", "THE"), ("and", "en", "with")]
@@ -277,14 +276,14 @@ def diff_stranded(spark, sf_dir):
 
 
 def _known(spark, sf_dir):
-    f = A.turns(spark, sf_dir).where(hygiene.newline_count(F.col("source"), F.col("translation"))).select(F.lit("newline-count").alias("rule"), F.lit("conversations").alias("file"), "key", F.lit("de").alias("language"))
-    n = F.substring_index("key", ":", 1).cast("int")
-    old = f.where(n % 2 == 0).unionByName(f.where(n % 5 == 0).withColumn("key", F.concat(F.lit("gone-"), "key")))
+    """Findings, and a baseline of those whose source is the longer text; what was short then has another key now."""
+    f = A.turns(spark, sf_dir).where(hygiene.newline_count(F.col("source"), F.col("translation"))).select(F.lit("newline-count").alias("rule"), F.lit("conversations").alias("file"), "key", F.lit("de").alias("language"), (F.char_length("source") - F.char_length("translation")).alias("more"))
+    old = f.where("more > 0").unionByName(f.where("more < -200").withColumn("key", F.concat(F.lit("gone-"), "key")))
     return f, old
 
 
-_FOUND = """f as (select concat_ws(':', a.conv_id, a.turn) as key, a.conv_id as n from conversations a join conversations b on a.conv_id = b.conv_id and b.turn = a.turn + 1 where a.role = 'user' and b.role = 'assistant'
-and len(a.text) - len(replace(a.text, chr(10), '')) <> len(b.text) - len(replace(b.text, chr(10), ''))), o as (select key from f where n % 2 = 0 union all select 'gone-' || key from f where n % 5 = 0)"""
+_FOUND = """f as (select concat_ws(':', a.conv_id, a.turn) as key, len(a.text) - len(b.text) as more from conversations a join conversations b on a.conv_id = b.conv_id and b.turn = a.turn + 1 where a.role = 'user' and b.role = 'assistant'
+and len(a.text) - len(replace(a.text, chr(10), '')) <> len(b.text) - len(replace(b.text, chr(10), ''))), o as (select key from f where more > 0 union all select 'gone-' || key from f where more < -200)"""
 
 
 @query(f"with {_FOUND} select key from f where key not in (select key from o)")
@@ -336,12 +335,11 @@ def trans_unit_parse(spark, sf_dir):
     return i.select("p_partkey", text.unit_key(F.col("id")).alias("key"), c["kind"].alias("kind"), c["name"].alias("name"), c["category"].alias("category"))
 
 
-@query("""with u as (select p_brand as catalog, p_name as key, min(p_partkey) as low from part group by 1, 2), d as (select * from u where low % 10 = 0 and catalog <> 'Brand#1'), r as (select (select count(*) from d) * 1.0 / (select count(*) from u) as r)
-select catalog, key from u where (select r from r) > 0.25 or not exists (select 1 from d where d.catalog = u.catalog and d.key = u.key)""")
+@query("""with u as (select p_brand as catalog, p_name as key, max(p_size) as size from part group by 1, 2), d as (select * from u where size < 15), r as (select (select count(*) from d) * 1.0 / (select count(*) from u) as r)
+select catalog, key from u where (select r from r) > 0.25 or size >= 15""")
 def write_prune(spark, sf_dir):
-    keys = A.parts(spark, sf_dir).groupBy(F.col("p_brand").alias("catalog"), F.col("p_name").alias("key")).agg(F.min("p_partkey").alias("low"))
-    orphans = keys.where("low % 10 = 0 and catalog <> 'Brand#1'").select("catalog", "key")
-    return writes.prune(keys.select("catalog", "key"), orphans)
+    keys = A.parts(spark, sf_dir).groupBy(F.col("p_brand").alias("catalog"), F.col("p_name").alias("key")).agg(F.max("p_size").alias("size"))
+    return writes.prune(keys.select("catalog", "key"), keys.where("size < 15").select("catalog", "key"))
 
 
 @query("""with u as (select p_brand as catalog, p_name as key, min(p_type) as value from part group by 1, 2), e as (select catalog, key, case when len(key) % 2 = 0 then value when len(key) % 3 = 0 then 'TODO' else value || '!' end as new from u)
