@@ -34,7 +34,7 @@ TEMPLATES = {
     "all-rights-reserved": 'All rights reserved',
     "copyright-notice": 'Copyright <<beginOptional>>(c)<<endOptional>> <<var;name="holder";original="year holder";match=".+">> All rights reserved',
     "BSD-notice": 'Redistribution and use in source and binary forms, with or without modification, are permitted <<beginOptional>>(subject to the limitations in the disclaimer below)<<endOptional>> provided that the following conditions are met',
-    "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files<<beginOptional>> (the "Software")<<endOptional>>, to deal in the Software without restriction',
+    "MIT": 'Permission is hereby granted, free of charge, to any <<var;name="who";original="person";match="person|person or organization">> obtaining a copy of this software and associated documentation files<<beginOptional>> (the "Software")<<endOptional>>, to deal in the Software without restriction',
 }
 
 

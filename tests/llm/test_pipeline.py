@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from polyglint.llm import common, decontam
-from test_operators import brute_matches, brute_pairs
+from test_llm_operators import brute_matches, brute_pairs
 from tests_llm_helpers import rows_of
 
 
