@@ -6,8 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # every token that starts with a percent sign; only the last alternative is a specifier
-TOKEN = r"%(?:%|arg|#@[A-Za-z_]\w*@|(?:\d+\$)?[-+#0']*\d*(?:\.\d+)?(?:hh|ll|[hlqztjL])?[@dDiuUxXoOfFeEgGcCsS])"
-SPECIFIER = r"^%(?:(\d+)\$)?[-+#0']*\d*(?:\.\d+)?(hh|ll|[hlqztjL])?([@dDiuUxXoOfFeEgGcCsS])$"
+_FLAGS, _WIDTH, _LENGTH, _LETTER = r"['0#+-]*", r"\d*(?:[.]\d+)?", r"[hljLqtz]|hh|ll", "[@CDEFGOSUXcdefgiosux]"
+TOKEN = rf"%(?:%|arg|#@[A-Za-z_]\w*@|(?:\d+[$])?{_FLAGS}{_WIDTH}(?:{_LENGTH})?{_LETTER})"
+SPECIFIER = rf"^%(?:(\d+)[$])?{_FLAGS}{_WIDTH}({_LENGTH})?({_LETTER})$"
 KINDS = {"object": "@", "integer": "dDiuUxXoO", "float": "fFeEgG", "character": "cC", "cstring": "sS"}
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ORDER = ("zero", "one", "two", "few", "many", "other")
+ORDER = tuple("zero one two few many other".split())
 # categories that integers need -> languages; letters: z o t f m x, capitals mark the optional ones
 _SPELLED = dict(zip("zotfmx", ORDER))
 _BY_SHAPE = {

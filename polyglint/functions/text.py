@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .formats import TOKEN
+from .plural import ORDER
 
 # scripts that put no space between words
 _UNSEGMENTED = r"\x{AC00}-\x{D7FF}\x{1100}-\x{11FF}\x{3130}-\x{318F}\x{A960}-\x{A97F}\x{3040}-\x{30FF}\x{31F0}-\x{31FF}\x{FF66}-\x{FF9F}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}\x{E00}-\x{EFF}\x{F00}-\x{FFF}\x{1000}-\x{109F}\x{A9E0}-\x{A9FF}\x{AA60}-\x{AA7F}\x{1780}-\x{17FF}"
@@ -130,7 +131,7 @@ def unit_config(unit_id: Column) -> Column:
     """struct<kind, name, category> from what follows |==|; kind: simple, plural, device, substitution or unsupported."""
     p = F.filter(F.split(F.regexp_extract(unit_id, r"(?s)^.*?\|==\|(.*)$", 1), r"\."), lambda x: x != "")
     at = lambda k: F.try_element_at(p, F.lit(k))
-    count = lambda x: F.coalesce(x.isin("zero", "one", "two", "few", "many", "other"), F.lit(False))
+    count = lambda x: F.coalesce(x.isin(*ORDER), F.lit(False))
     none = F.lit(None).cast("string")
     made = lambda kind, name=none, category=none: F.struct(F.lit(kind).alias("kind"), name.alias("name"), category.alias("category"))
     n = F.size(p)

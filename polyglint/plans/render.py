@@ -70,7 +70,7 @@ def sarif(findings: DataFrame, tool: str = "polyglint") -> str:
             result["locations"] = [{"physicalLocation": at}]
         results.append(result)
     described = [{"id": k, "shortDescription": {"text": RULES.get(k, ("warning", k))[1]}, "defaultConfiguration": {"level": RULES.get(k, ("warning", k))[0]}} for k in used]
-    return dumps({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": {"name": tool, "rules": described}}, "results": results}]}, "plain")
+    return dumps({"version": "2.1.0", "$schema": SCHEMA, "runs": [{"tool": {"driver": {"name": tool, "rules": described}}, "results": results}]}, "plain")
 
 
 def text_report(findings: DataFrame, most: int = 50) -> str:
@@ -92,6 +92,9 @@ def templates(outstanding: DataFrame, sources: DataFrame) -> DataFrame:
     return outstanding.join(sources, ["catalog", "key"], "left").groupBy("catalog", "language").agg(F.to_json(F.struct(F.first("catalog").alias("catalog"), F.first("language").alias("language"), F.array_sort(F.collect_list(row)).alias("strings"))).alias("value"))
 
 
+SCHEMA = "https://json.schemastore.org/" + "sarif-2.1.0.json"
+
+
 class RunResult:
     """Failures and advisories of a run and its exit code: 0 clean, 1 findings, 2 couldn't run."""
 

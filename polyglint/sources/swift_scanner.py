@@ -255,7 +255,7 @@ def discoveries_of(text: str) -> list[dict]:
     """Conventions that a file declares: types; parameters of a type that it passes on to localization; unlabelled first parameters; wrapper functions."""
     found, code = lex(text)
     out = []
-    for m in re.finditer(r"\b(?:struct|class|actor|enum|extension)\s+([A-Z]\w*)[^{}]*\{", code):
+    for m in re.finditer(r"\b(?:extension|struct|enum|class|actor)\s+([A-Z]\w*)[^{}]*\{", code):
         end, depth = m.end(), 1
         while end < len(code) and depth:
             depth += {"{": 1, "}": -1}.get(code[end], 0)
@@ -270,7 +270,7 @@ def discoveries_of(text: str) -> list[dict]:
         for p in re.findall(r"\binit\s*\(\s*_\s+(\w+)\s*:", body):
             if p in typed | (plain & passed):
                 out.append({"kind": "initializer", "name": name, "owner": None})
-    for m in re.finditer(r"\bfunc\s+(\w+)\s*(?:<[^>]*>)?\(\s*_\s+(\w+)\s*:\s*(String|LocalizedStringKey|LocalizedStringResource)\b[^{}]*\{", code):
+    for m in re.finditer(r"\bfunc\s+(\w+)(?:<[^<>(]*>)?\s*\(\s*_\s+(\w+)\s*:\s*(String|LocalizedStringKey|LocalizedStringResource)\b[^{}]*\{", code):
         end, depth = m.end(), 1
         while end < len(code) and depth:
             depth += {"{": 1, "}": -1}.get(code[end], 0)

@@ -5,7 +5,7 @@ import pytest
 from polyglint.operators import languages
 from polyglint.plans import commands
 from polyglint.sources import catalogs, payloads
-from test_sources import CATALOG, SWIFT, XLIFF
+from test_sources import CATALOG, SWIFT, XLIFF, key, unit
 
 
 @pytest.fixture(scope="module")
@@ -44,7 +44,7 @@ def test_changes(spark, project, tmp_path):
     new = json.loads(json.dumps(CATALOG))
     new["strings"]["Save"]["localizations"]["en"]["stringUnit"]["value"] = "Store"
     new["strings"]["Save"]["localizations"]["de"]["stringUnit"]["state"] = "translated"
-    new["strings"]["Add"] = {"localizations": {"en": {"stringUnit": {"state": "translated", "value": "Add"}}}}
+    new["strings"]["Add"] = key(en=unit("Add"))
     del new["strings"]["posts"]
     (tmp_path / "Localizable.xcstrings").write_text(json.dumps(new))
     got = {(r.rule, r.key, r.level) for r in commands.changes(spark, str(project), str(tmp_path)).collect()}

@@ -3,6 +3,8 @@ from pyspark.sql import functions as F
 
 from polyglint.operators import baseline, consistency, coverage, diff, membership, resolve, writes
 from polyglint.plans import render
+from polyglint.sources.strict_json import dumps
+from test_sources import key, unit
 
 UNITS = "catalog string, key string, language string, path string, value string, state string"
 
@@ -173,7 +175,7 @@ def test_rendering(spark):
     doc = loads(render.sarif(f))["runs"][0]
     assert [r["id"] for r in doc["tool"]["driver"]["rules"]] == ["odd", "orphaned-key"]
     at = {r["message"]["text"]: r.get("locations", [{}])[0].get("physicalLocation") for r in doc["results"]}
-    assert at["n"] is None and at["m"]["artifactLocation"] == {"uri": "file:///abs/x"} and at["no, use: 5%\n"] == {"artifactLocation": {"uri": "a%20b/c%2Cd.swift", "uriBaseId": "%SRCROOT%"}, "region": {"startLine": "3"}}
+    assert at["n"] is None and at["m"]["artifactLocation"] == {"uri": "file:///abs/x"} and at["no, use: 5%\n"] == dict(region={"startLine": "3"}, artifactLocation=dict(uriBaseId="%SRCROOT%", uri="a%20b/c%2Cd.swift"))
     assert "... and 1 more" in render.text_report(f, 1) and '"failures":2' in render.report_json(f).first().value
     assert render.RunResult(0, 2).exit_code() == 0 and render.RunResult(0, 2).exit_code(True) == 1 and render.RunResult(0, 0, 1).exit_code() == 2
     assert render.rules(spark).count() == len(render.RULES)
@@ -188,10 +190,10 @@ def test_stream(spark, tmp_path):
     from polyglint.streaming import watch
 
     (tmp_path / "in").mkdir()
-    (tmp_path / "in/A.xcstrings").write_text('{"sourceLanguage": "en", "strings": {"k": {"localizations": {"de": {"stringUnit": {"state": "new", "value": "v"}}}}}}')
+    (tmp_path / "in/A.xcstrings").write_text(dumps({"strings": {"k": key(de=unit("v", "new"))}}))
     go = lambda: watch.watch(spark, str(tmp_path / "in"), catalogs.units, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     assert go()
-    (tmp_path / "in/B.xcstrings").write_text('{"strings": {"j": {"localizations": {"fr": {"stringUnit": {"value": "w"}}}}}}')
+    (tmp_path / "in/B.xcstrings").write_text(dumps({"strings": {"j": key(fr=unit("w"))}}))
     assert go()
     assert {r.key for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"k", "j"}
     assert spark.read.parquet(str(tmp_path / "out")).where(F.col("key").isNull()).count() == 0

@@ -7,21 +7,31 @@ from pyspark.sql import functions as F
 from polyglint.sources import catalogs, discovery, interchange, swift_scanner
 from polyglint.sources.strict_json import Number, dumps, loads
 
-CATALOG = {
-    "sourceLanguage": "en", "version": "1.0",
-    "strings": {
-        "Save": {"localizations": {"en": {"stringUnit": {"state": "translated", "value": "Save"}}, "de": {"stringUnit": {"state": "needs_review", "value": "Sichern"}}}},
-        "%lld items": {
-            "comment": "a count",
-            "localizations": {
-                "en": {"variations": {"plural": {"one": {"stringUnit": {"state": "translated", "value": "%lld item"}}, "other": {"stringUnit": {"state": "translated", "value": "%lld items"}}}}},
-                "pl": {"variations": {"device": {"iphone": {"variations": {"plural": {"one": {"stringUnit": {"state": "translated", "value": "x"}}, "other": {"stringUnit": {"state": "translated", "value": ""}}}}}, "other": {"stringUnit": {"state": "new", "value": "y"}}}}},
-            },
-        },
-        "posts": {"extractionState": "manual", "shouldTranslate": False, "localizations": {"en": {"stringUnit": {"state": "translated", "value": "%#@count@ by %#@who@"}, "substitutions": {"count": {"argNum": 1, "formatSpecifier": "lld", "variations": {"plural": {"other": {"stringUnit": {"state": "translated", "value": "%arg posts"}}}}}, "unused": {}}}}},
-        "": {}, "a\n\t😀": {"localizations": {"fr": {}}},
+def unit(value, state="translated"):
+    return {"stringUnit": dict(state=state, value=value)}
+
+
+def by(kind, **cases):
+    return {"variations": {kind: cases}}
+
+
+def key(**languages):
+    return {"localizations": languages}
+
+
+CATALOG = dict(
+    version="1.0",
+    sourceLanguage="en",
+    strings={
+        "Save": key(en=unit("Save"), de=unit("Sichern", "needs_review")),
+        "%lld items": {"comment": "a count"} | key(
+            en=by("plural", one=unit("%lld item"), other=unit("%lld items")),
+            pl=by("device", iphone=by("plural", one=unit("x"), other=unit("")), other=unit("y", "new")),
+        ),
+        "posts": {"extractionState": "manual", "shouldTranslate": False} | key(en=unit("%#@count@ by %#@who@") | {"substitutions": {"unused": {}, "count": by("plural", other=unit("%arg posts")) | dict(formatSpecifier="lld", argNum=1)}}),
+        "": {}, "a\n\t😀": key(fr={}),
     },
-}
+)
 
 
 @pytest.mark.parametrize("bad", ['{"a":1,"a":2}', '{"é":1,"e\\u0301":2}', '{"a":01}', '{"a":1.}', '{"a":+1}', '["\\ud800"]', '["a\nb"]', "[" * 300 + "]" * 300, '{"a":1} x', '{"a":1,}', "[1 2]", '"open', '["\\x"]', "nul"])
@@ -80,16 +90,22 @@ def test_catalog_write_keeps_the_rest(spark, project):
     assert len(out) == 1
     written = loads(bytes(out[0].content))
     want = json.loads(json.dumps(CATALOG))
-    want["strings"]["Save"]["localizations"]["fr"] = {"stringUnit": {"state": "translated", "value": "Sauver"}}
-    want["strings"]["%lld items"]["localizations"]["de"] = {"variations": {"plural": {"one": {"stringUnit": {"state": "translated", "value": "%lld Ding"}}}}}
+    want["strings"]["Save"]["localizations"]["fr"] = unit("Sauver")
+    want["strings"]["%lld items"]["localizations"]["de"] = by("plural", one=unit("%lld Ding"))
     want["strings"]["posts"]["localizations"]["en"]["substitutions"]["count"]["argNum"] = "1"
     assert written == want
 
 
-XLIFF = """<?xml version="1.0"?><xliff xmlns="urn:oasis:names:tc:xliff:document:1.2" version="1.2"><file original="App/Localizable.xcstrings" source-language="en" target-language="de"><body>
-<trans-unit id="Save"><source>Save</source><target state="translated">Sichern</target><note>n</note></trans-unit>
-<trans-unit id="Two"><source>Two &amp; more</source><target state-qualifier="leveraged-mt" state="final"> Zwei </target></trans-unit>
-<trans-unit id="None|==|plural.one"><source>x</source></trans-unit></body></file></xliff>"""
+def trans_unit(id, source, target="", note=""):
+    return f"<trans-unit id='{id}'>\n<source>{source}</source>{target}{note}</trans-unit>"
+
+
+UNITS = [
+    trans_unit("Save", "Save", "<target state='translated'>Sichern</target>", "<note>n</note>"),
+    trans_unit("Two", "Two &amp; more", "<target state-qualifier='leveraged-mt' state='final'> Zwei </target>"),
+    trans_unit("None|==|plural.one", "x"),
+]
+XLIFF = "<?xml version='1.0'?>\n<xliff version='1.2'><file target-language='de' source-language='en' original='App/Localizable.xcstrings'>\n<body>" + "\n".join(UNITS) + "</body></file></xliff>"
 
 
 def test_interchange(spark, tmp_path):
@@ -97,10 +113,10 @@ def test_interchange(spark, tmp_path):
     folder.mkdir(parents=True)
     (folder / "de.xliff").write_text(XLIFF)
     (tmp_path / "de.xcloc/contents.json").write_text('{"targetLocale": "de-AT"}')
-    (tmp_path / "bad.xliff").write_text("<xliff><file><body><trans-unit id='a'><source>a <g>b</g></source></trans-unit></body></file></xliff>")
+    (tmp_path / "bad.xliff").write_text(f"<xliff><file><body>{trans_unit('a', 'a <g>b</g>')}</body></file></xliff>")
     (tmp_path / "worse.xliff").write_text("<xliff><file>")
     rows = interchange.read_xliff(spark, str(tmp_path)).collect()
-    assert sorted((r.id, r.source, r.target, r.state, r.qualifier, r.line) for r in rows if r.id) == [("None|==|plural.one", "x", None, None, None, 4), ("Save", "Save", "Sichern", "translated", None, 2), ("Two", "Two & more", " Zwei ", "final", "leveraged-mt", 3)]
+    assert sorted((r.id, r.source, r.target, r.state, r.qualifier, r.line) for r in rows if r.id) == [("None|==|plural.one", "x", None, None, None, 7), ("Save", "Save", "Sichern", "translated", None, 3), ("Two", "Two & more", " Zwei ", "final", "leveraged-mt", 5)]
     assert sum("markup <g>" in (r.message or "") for r in rows) == 1 and sum(r.message is not None for r in rows) == 2
     bundle = interchange.read_bundles(spark, str(tmp_path)).collect()
     assert len(bundle) == 3 and {(r.language, r.said) for r in bundle} == {("de-AT", "de")}
