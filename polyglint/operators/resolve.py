@@ -53,8 +53,10 @@ def orphans(keys: DataFrame, texts: DataFrame) -> DataFrame:
     inner = keys.withColumn("w", F.when(F.size(words) > 2, F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(1)))))
     long_ = inner.where("w is not null").withColumn("w", F.element_at(F.array_sort("w", lambda x, y: F.length(y) - F.length(x)), 1))
     wanted = long_.select("w").distinct()
-    places = texts.select("text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("w")).join(wanted, "w", "left_semi")
-    found = long_.join(places, "w").where("contains(text, key)").select("id").distinct()
+    named = texts.where("text is not null").select("text", F.xxhash64("text").alias("t"))  # texts travel once, their words as pairs of numbers and words
+    places = named.select("t", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("w")).join(wanted, "w", "left_semi").distinct()
+    tried = long_.join(places, "w").select("id", "key", "t")
+    found = tried.join(named, "t").where("contains(text, key)").select("id").distinct()
     short_found = inner.where("w is null").join(texts, F.expr("contains(text, key)"), "left_semi").select("id")
     return keys.join(found.union(short_found), "id", "left_anti")
 

@@ -13,10 +13,11 @@ UNIT = ["catalog", "key", "language", "path"]
 def plan_add(edits: DataFrame, units: DataFrame, keys: DataFrame, substitutions: DataFrame | None = None, flatten: bool = False) -> DataFrame:
     """edits(catalog, key, language, path, value[, state]) with an action: created, updated, unchanged, or a refusal.
 
-    path is '' for a flat text, plural.<category> for a plural one. Refused: 'todo' placeholders; 'case-conflict'
+    path is '' for a flat text, plural.<category>, device.<name>, or substitutions.<name>.plural.<category>. A device's text is
+    never refused for what is there; it replaces a flat text. Refused: 'todo' placeholders; 'case-conflict'
     with another key of the catalog or an earlier one (in key order) of the same batch; 'has-variations' where a
     flat text would replace variations, unless flatten; 'has-text' where a plural would replace a flat text;
-    'has-substitutions' where the unit's text is made of them. One refused edit of a key and language refuses all of them.
+    'has-substitutions' where the unit's text is made of them; 'no-substitution' where the named one isn't there. One refused edit of a key and language refuses all of them.
     """
     e = edits.withColumn("state", F.lit("translated")) if "state" not in edits.columns else edits
     lowered = F.lower("key")
@@ -27,16 +28,19 @@ def plan_add(edits: DataFrame, units: DataFrame, keys: DataFrame, substitutions:
     shape = units.where("value is not null").groupBy("catalog", "key", "language").agg(F.max(F.col("path") != "").alias("varied"), F.max((F.col("path") == "") & (F.col("value") != "")).alias("flat"))
     e = e.join(shape, ["catalog", "key", "language"], "left")
     if substitutions is not None:
-        e = e.join(substitutions.select("catalog", "key", "language").distinct().withColumn("made", F.lit(True)), ["catalog", "key", "language"], "left")
+        e = e.join(substitutions.groupBy("catalog", "key", "language").agg(F.collect_set("sub_name").alias("made")), ["catalog", "key", "language"], "left")
     else:
-        e = e.withColumn("made", F.lit(False))
+        e = e.withColumn("made", F.lit(None).cast("array<string>"))
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    sub = F.col("path").startswith("substitutions.")
     mine = F.coalesce(F.array_contains("all", F.col("key")), F.lit(False))
     refused = (
         F.when(F.upper("value") == "TODO", "todo")
         .when(F.col("held").isNotNull() & ~mine, "case-conflict")
         .when(F.col("held").isNull() & (F.col("lead") != F.col("key")), "case-conflict")
-        .when(yes("made") & F.lit(not flatten), "has-substitutions")
+        .when(sub & ~F.coalesce(F.array_contains("made", F.regexp_extract("path", r"^substitutions\.([^.]+)\.", 1)), F.lit(False)), "no-substitution")
+        .when(sub | F.col("path").startswith("device."), None)
+        .when(F.col("made").isNotNull() & F.lit(not flatten), "has-substitutions")
         .when((F.col("path") == "") & yes("varied") & F.lit(not flatten), "has-variations")
         .when((F.col("path") != "") & yes("flat"), "has-text")
     )
@@ -48,10 +52,12 @@ def plan_add(edits: DataFrame, units: DataFrame, keys: DataFrame, substitutions:
 
 def apply_plan(units: DataFrame, plan: DataFrame) -> DataFrame:
     """units with the plan's accepted edits merged in: (catalog, key, language, path, value, state). A flat text that was accepted over
-    variations (flatten) removes them."""
+    variations (flatten) removes them; a device's text removes a flat one."""
     done = plan.where("action in ('created', 'updated')").select(*UNIT, F.col("value").alias("new"), F.col("state").alias("new_state"))
     flat = done.where("path = ''").select("catalog", "key", "language").distinct()
+    device = done.where("startswith(path, 'device.')").select("catalog", "key", "language").distinct()
     kept = units.select(*UNIT, "value", "state").join(flat.withColumn("cut", F.lit(True)), ["catalog", "key", "language"], "left").where("path = '' or cut is null").drop("cut")
+    kept = kept.join(device.withColumn("cut", F.lit(True)), ["catalog", "key", "language"], "left").where("path <> '' or cut is null").drop("cut")
     return kept.join(done, UNIT, "full").select(*UNIT, F.coalesce("new", "value").alias("value"), F.coalesce("new_state", "state").alias("state"))
 
 

@@ -157,6 +157,12 @@ def test_guarded_writes(spark):
     assert after["Save", "de", ""] == "Speichern" and after["n", "de", "plural.other"] == "x" and ("zed", "de", "") not in after
     flat = writes.plan_add(e.where("key = 'n'"), u, keys, flatten=True)
     assert {(r.key, r.path): r.value for r in writes.apply_plan(u, flat).collect()} == {("Save", ""): "Sichern", ("n", ""): "flat"}
+    subs = spark.createDataFrame([("c", "n", "fr", "count")], "catalog string, key string, language string, sub_name string")
+    e = spark.createDataFrame([("c", "Save", "de", "device.mac", "M"), ("c", "n", "fr", "substitutions.count.plural.one", "u"), ("c", "new", "fr", "substitutions.count.plural.one", "u"), ("c", "n", "fr", "", "x")], "catalog string, key string, language string, path string, value string")
+    more = writes.plan_add(e.where("path <> ''"), u, keys, subs)
+    assert {(r.key, r.path): r.action for r in more.collect()} == {("Save", "device.mac"): "created", ("n", "substitutions.count.plural.one"): "created", ("new", "substitutions.count.plural.one"): "refused: no-substitution"}
+    assert {r.path: r.value for r in writes.apply_plan(u, more).where("key = 'Save'").collect()} == {"device.mac": "M"}
+    assert writes.plan_add(e.where("path = ''"), u, keys, subs).first().action == "refused: has-substitutions"
     src = spark.createDataFrame([("c", "en")], "catalog string, source_language string")
     renamed = {(r.key, r.language): r.value for r in writes.rename(u, "Save", "Store", src).collect()}
     assert renamed["Store", "en"] == "Save" and renamed["Store", "de"] == "Sichern" and ("Save", "de") not in renamed
