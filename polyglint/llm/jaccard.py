@@ -217,7 +217,7 @@ def set_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tupl
     holders = checkpointed(members.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in SKETCH]))
     found = shared_table(to_blocks(_emit_prefixes(docs, n, t, rank)).mapInArrow(_multiply(t), "sa long, sb long").distinct(), "pairs")
     side = lambda k: holders.select(F.col("sig").alias("s" + k), *[F.col(c).alias(c + k) for c in SKETCH])
-    drawn = join_checked(join_checked(found, side("a"), "sa", "inner"), side("b"), "sb", "inner")
+    drawn = found.join(side("a").hint("merge"), "sa").join(side("b").hint("merge"), "sb")
     count = lambda f: sum((F.bit_count(f(str(k))) for k in range(BINS // 64)), F.lit(0))
     c = F.col
     both = count(lambda k: c(f"m{k}a").bitwiseAND(c(f"m{k}b")))
