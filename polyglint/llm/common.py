@@ -7,6 +7,7 @@ digits removed; words left empty are dropped. Null texts count as empty texts.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -92,6 +93,19 @@ def block_of(h: np.ndarray, blocks: int) -> np.ndarray:
     return ((h >> U64(32)) * U64(blocks)) >> U64(32)
 
 
+def trim() -> None:
+    """Give freed memory back to the system: Python workers live on between stages, beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _TRIM = None
+
+
 def slices(batches, max_bytes: int = SLICE_BYTES):
     """Arrow batches cut so that each piece holds about max_bytes of text (one text at least)."""
     for batch in batches:
@@ -104,6 +118,7 @@ def slices(batches, max_bytes: int = SLICE_BYTES):
             stop = min(max(start + 1, int(np.searchsorted(total, base + max_bytes, side="right"))), start + 65_535)
             yield batch.slice(start, stop - start)
             start = stop
+    trim()
 
 
 def tokenize(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, as_batch, id_and_text, join_checked, runs, shared_table, slices, spread, tokenize
+from .common import U64, as_batch, id_and_text, join_checked, runs, shared_table, slices, spread, tokenize, trim
 
 COVERAGE, SLACK = 0.75, 3
 ITEMS_AT_ONCE = 20_000  # items that are sent to the segments at once; more are taken in turns
@@ -183,6 +183,7 @@ def find(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, slac
                     d, starts, terms, ends, positions = (np.frombuffer(x.as_buffer(), t) for x, t in zip(row, (np.int64, np.int64, U64, np.uint32, np.uint32)))
                     item, text, start, met, exact = answer(items, d, starts, terms, ends.astype(np.int64), positions.astype(np.int64), coverage, slack)
                     yield as_batch(schema, doc_id=d[text], item_id=items.ids[item], start=start, met=met, n_tokens=items.length[item], exact=exact)
+            trim()
 
         found.append(index.select("docs", "starts", "terms", "ends", "positions").mapInArrow(work, kind))
     every = found[0]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, as_batch, block_of, by_doc, checkpointed, components, id_and_text, join_checked, mix, n_blocks, runs, shared_table, signed, slices, spread, to_blocks, tokenize
+from .common import U64, as_batch, block_of, by_doc, checkpointed, components, id_and_text, join_checked, mix, n_blocks, runs, shared_table, signed, slices, spread, to_blocks, tokenize, trim
 
 N, THRESHOLD = 3, 0.5
 CELLS = 1 << 20  # of the frequency table; it only orders columns, so collisions cost time, not pairs
@@ -205,6 +205,8 @@ def _multiply(t: float):
             left, right = left[order], right[order]
             new = np.concatenate([[True], (left[1:] != left[:-1]) | (right[1:] != right[:-1])])
             yield as_batch(schema, sa=left[new], sb=right[new])
+        del h, sig, size, at, before, key, run, most, partners, done, order
+        trim()
 
     return work
 
