@@ -3,8 +3,8 @@
 A word is cut into subwords of a public byte-level BPE vocabulary (a parameter). P(token | before) =
 P(class | before) P(token | class): classes part the vocabulary into bins of about equal mass, and
 P(token | class) comes from counts over all documents. P(class | before) is one block of causal
-self-attention over a window. Training data is a window of every WINDOWS_EVERY tokens of every
-document, stored in the shared folder; in each round every shard trains a copy of the model and the
+self-attention over a window. Training data is all tokens of every document, in windows end to
+end, stored in the shared folder; in each round every shard trains a copy of the model and the
 copies are averaged. To score, a document's windows overlap: all but the first give their first
 WINDOW - STRIDE tokens as context only, so each token is scored once, with that much context at
 least; a mask hides later tokens, and windows go through attention in batches.
@@ -19,15 +19,17 @@ import os
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_batch, id_and_text, mix, runs, shared_table, slices, spread
+from .common import as_batch, id_and_text, mix, runs, shared_table, slices, spread, trim
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 WINDOW, STRIDE, WIDTH, CLASSES, HASHED = 32, 24, 16, 64, 4096
-WINDOWS_EVERY, ROUNDS, RATE, BATCH, SCORED = 2048, 3, 0.01, 64, 96
+ROUNDS, RATE, BATCH, SCORED = 3, 0.01, 64, 96
 SHARD = 64  # batches of training windows that one copy of the model sees in a round
+COPIES = 16  # copies that a task trains one after another and adds up
 _PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
@@ -127,37 +129,70 @@ def forward(w: dict, before: np.ndarray, classes: np.ndarray):
 
 def gradient(w: dict, before: np.ndarray, classes: np.ndarray, target: np.ndarray) -> tuple[float, np.ndarray]:
     """Mean loss of the targets (classes; -1: no token there) and its gradient."""
-    (x, q, k, v, a, mixed, h, f, z, p), logp = forward(w, before, classes)
-    real = target >= 0
-    n = max(1, int(real.sum()))
-    t = np.where(real, target, 0)
-    loss = -float(np.take_along_axis(logp, t[:, :, None], 2)[:, :, 0][real].sum()) / n
+    windows, length = before.shape
+    token, kind, t = (before % HASHED).ravel(), classes.ravel(), target.ravel()
+    real, every = t >= 0, np.arange(t.size)
+    n, t = max(1, int(real.sum())), np.maximum(t, 0)
+    # forward(), in place
+    x = w["token"].take(token, 0)
+    x += w["class"].take(kind, 0)
+    x.reshape(windows, length, WIDTH)[:] += w["place"][:length]
+    wide = np.concatenate([w["q"], w["k"], w["v"]], 1)
+    qkv = (x @ wide).reshape(windows, length, 3, WIDTH)
+    q, k, v = qkv[:, :, 0], qkv[:, :, 1], qkv[:, :, 2]
+    a = q @ k.transpose(0, 2, 1)
+    a *= np.float32(1 / np.sqrt(WIDTH))
+    np.clip(a, -30, 30, out=a)
+    np.exp(a, out=a)
+    a *= _LOWER[:length, :length]
+    a /= a.sum(2, keepdims=True)
+    mixed = (a @ v).reshape(-1, WIDTH)
+    h = mixed @ w["o"]
+    h += x
+    f = h @ w["up"]
+    np.maximum(f, 0, out=f)
+    z = f @ w["down"]
+    z += h
+    dl = z @ w["out"]
+    dl += w["bias"]
+    if max(dl.max(), -dl.min()) > 60:  # keeps exp finite, and sums above zero
+        dl -= dl.max(1, keepdims=True)
+    hit = dl[every, t]
+    np.exp(dl, out=dl)
+    total = dl.sum(1)
+    loss = float((np.log(total) - hit)[real].sum()) / n
+    share = (real / n).astype(np.float32)
+    dl *= (share / total)[:, None]
+    dl[every, t] -= share
     flat = np.zeros(SIZE, np.float32)
     g = parts(flat)
-    dl = p.copy()
-    np.put_along_axis(dl, t[:, :, None], np.take_along_axis(dl, t[:, :, None], 2) - 1, 2)
-    dl *= (real / n).astype(np.float32)[:, :, None]
-    two = lambda y: y.reshape(-1, y.shape[-1])
-    g["out"][:], g["bias"][:] = two(z).T @ two(dl), two(dl).sum(0)
+    g["out"][:], g["bias"][:] = z.T @ dl, dl.sum(0)
     dz = dl @ w["out"].T
-    g["down"][:] = two(f).T @ two(dz)
-    du = (dz @ w["down"].T) * (f > 0)
-    g["up"][:] = two(h).T @ two(du)
-    dh = dz + du @ w["up"].T
-    g["o"][:] = two(mixed).T @ two(dh)
-    dm = dh @ w["o"].T
-    da, dv = dm @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dm
-    ds = a * (da - (da * a).sum(2, keepdims=True)) * np.float32(1 / np.sqrt(WIDTH))
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    dx = dh + dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T
-    for name, d in (("q", dq), ("k", dk), ("v", dv)):
-        g[name][:] = two(x).T @ two(d)
-    for name, index in (("token", before % HASHED), ("class", classes)):
-        order = np.argsort(index, axis=None, kind="stable")
-        value = index.ravel()[order]
+    g["down"][:] = f.T @ dz
+    du = dz @ w["down"].T
+    du *= f > 0
+    g["up"][:] = h.T @ du
+    dh = du @ w["up"].T
+    dh += dz
+    g["o"][:] = mixed.T @ dh
+    dm = (dh @ w["o"].T).reshape(windows, length, WIDTH)
+    ds = dm @ v.transpose(0, 2, 1)
+    dqkv = np.empty((windows, length, 3, WIDTH), np.float32)
+    dqkv[:, :, 2] = a.transpose(0, 2, 1) @ dm
+    ds -= np.einsum("wij,wij->wi", ds, a)[:, :, None]
+    ds *= a
+    ds *= np.float32(1 / np.sqrt(WIDTH))
+    dqkv[:, :, 0], dqkv[:, :, 1] = ds @ k, ds.transpose(0, 2, 1) @ q
+    dqkv = dqkv.reshape(-1, 3 * WIDTH)
+    dx = dqkv @ wide.T
+    dx += dh
+    g["q"][:], g["k"][:], g["v"][:] = np.split(x.T @ dqkv, 3, 1)
+    for name, index in (("token", token), ("class", kind)):
+        order = np.argsort(index.astype(np.uint16), kind="stable")
+        value = index[order]
         head, _ = runs(value)
-        g[name][value[head]] = np.add.reduceat(two(dx)[order], head)
-    g["place"][: before.shape[1]] = dx.sum(0)
+        g[name][value[head]] = np.add.reduceat(dx[order], head)
+    g["place"][:length] = dx.reshape(windows, length, WIDTH).sum(0)
     return loss, flat
 
 
@@ -167,44 +202,57 @@ def shifted(ids: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids, classes
 
 
-def train_windows(ids: np.ndarray, count: np.ndarray, doc_ids: np.ndarray) -> np.ndarray:
-    """Windows of WINDOW + 1 ids (-1: none), one in every WINDOWS_EVERY tokens of a document and one at least; the first id is the one before."""
-    wanted = np.where(count > 0, 1 + count // WINDOWS_EVERY, 0)
+def train_windows(ids: np.ndarray, count: np.ndarray):
+    """Yields windows of WINDOW + 1 ids (-1: none), BATCH at a time: each text from end to end, each token once after the first id, which is
+    the one before. In a mixed order, so that a batch is of many texts."""
+    wanted = -(-count // WINDOW)
     text = np.repeat(np.arange(len(count)), wanted)
     nth = spread(np.zeros(len(count), np.int64), wanted)
-    where = (mix(doc_ids[text].astype(np.uint64) * np.uint64(1000003) + nth.astype(np.uint64)) % np.maximum(1, count[text] - WINDOW + 1).astype(np.uint64)).astype(np.int64)
-    begin = (np.cumsum(count) - count)[text]
-    at = where[:, None] + np.arange(-1, WINDOW)
-    inside = (at >= 0) & (at < count[text][:, None])
-    return np.where(inside, ids[np.minimum(begin[:, None] + np.maximum(at, 0), max(0, len(ids) - 1))] if len(ids) else -1, -1).astype(np.int32)
+    begin = np.cumsum(count) - count
+    order = np.argsort(mix(np.arange(len(text), dtype=np.uint64)))
+    for a in range(0, len(text), BATCH):
+        part = order[a : a + BATCH]
+        at = nth[part, None] * WINDOW + np.arange(-1, WINDOW)
+        inside = (at >= 0) & (at < count[text[part], None])
+        yield np.where(inside, ids[np.minimum(begin[text[part], None] + np.maximum(at, 0), len(ids) - 1)], -1).astype(np.int32)
 
 
 def gather(docs: DataFrame, path: str) -> tuple[np.ndarray, DataFrame, DataFrame]:
     """(counts of every id over all documents, table of training windows, table of the documents' ids: docs, count, data).
 
-    Texts are cut into subwords once. Training windows are dealt to the shards at random, as averaging wants.
+    Texts are cut into subwords once. Batches of training windows are dealt to the shards at random, as averaging wants.
     """
     size = vocabulary_size(path)
     kind = np.uint16 if size <= 1 << 16 else np.uint32
     schema = pa.schema([("part", pa.int32()), ("docs", pa.binary()), ("count", pa.binary()), ("data", pa.binary())])
 
     def work(batches):
-        total = np.zeros(size, np.int64)
+        total = np.zeros(size + 1, np.int64)  # the last: training windows
         for b in slices(batches):
             doc_ids = np.asarray(b.column(0)).astype(np.int64)
             ids, count = subwords(b.column(1), path)
-            total += np.bincount(ids, minlength=size)
+            total += np.bincount(ids, minlength=size + 1)
+            total[size] += int((-(-count // WINDOW)).sum())
             yield as_batch(schema, part=[2], docs=[doc_ids.tobytes()], count=[count.tobytes()], data=[ids.astype(kind).tobytes()])
-            windows = train_windows(ids, count, doc_ids)
-            for at in range(0, len(windows), BATCH):
-                yield as_batch(schema, part=[0], docs=[None], count=[None], data=[windows[at : at + BATCH].tobytes()])
         if total.any():
             yield as_batch(schema, part=[1], docs=[None], count=[None], data=[total.tobytes()])
 
     made = shared_table(id_and_text(docs).mapInArrow(work, "part int, docs binary, count binary, data binary"), "lm")
 
+    def cut(batches):
+        for b in batches:
+            for n, i in zip(b.column(0), b.column(1)):
+                rows = []
+                for w in train_windows(np.frombuffer(i.as_buffer(), kind).astype(np.int32), np.frombuffer(n.as_buffer(), np.int64)):
+                    rows.append(w.tobytes())
+                    if len(rows) == SHARD:
+                        yield pa.RecordBatch.from_pydict({"data": pa.array(rows, pa.binary())})
+                        rows = []
+                yield pa.RecordBatch.from_pydict({"data": pa.array(rows, pa.binary())})
+        trim()
+
     def add(t: pa.Table) -> pa.Table:
-        total = np.zeros(size, np.int64)
+        total = np.zeros(size + 1, np.int64)
         for c in t.column("data"):
             total += np.frombuffer(c.as_buffer(), np.int64)
         return pa.table({"data": pa.array([total.tobytes()], pa.binary())})
@@ -212,9 +260,10 @@ def gather(docs: DataFrame, path: str) -> tuple[np.ndarray, DataFrame, DataFrame
     # two steps, so that no task adds up more than the square root of all tables
     counts = made.where("part = 1").select(F.pmod(F.xxhash64("data"), F.lit(64)).alias("g"), "data").groupBy("g").applyInArrow(add, "data binary")
     rows = counts.withColumn("g", F.lit(0)).groupBy("g").applyInArrow(add, "data binary").collect()
-    windows = made.where("part = 0").select("data")
-    windows = windows.repartition(max(1, -(-windows.count() // SHARD)), F.xxhash64("data"))
-    return (np.frombuffer(rows[0]["data"], np.int64) if rows else np.zeros(size, np.int64)), shared_table(windows, "windows"), made.where("part = 2").select("docs", "count", "data")
+    total = np.frombuffer(rows[0]["data"], np.int64) if rows else np.zeros(size + 1, np.int64)
+    tokens = made.where("part = 2").select("docs", "count", "data")
+    windows = tokens.select("count", "data").mapInArrow(cut, "data binary").repartition(max(1, -(-int(total[size]) // (BATCH * SHARD * COPIES))), F.xxhash64("data"))
+    return total[:size], shared_table(windows, "windows"), tokens
 
 
 def train(windows: DataFrame, classes: Classes, rounds: int = ROUNDS, rate: float = RATE) -> np.ndarray:
@@ -223,23 +272,28 @@ def train(windows: DataFrame, classes: Classes, rounds: int = ROUNDS, rate: floa
     of = sc.broadcast(classes.of)
 
     def shard(batches, sent, k):
-        flat, seen = sent.value.copy(), 0
-        m, v, step = np.zeros(SIZE, np.float32), np.zeros(SIZE, np.float32), 0
+        total, seen, step = np.zeros(SIZE, np.float64), 0, 0
         for b in batches:
             for c in b.column(0):
-                ids = np.frombuffer(c.as_buffer(), np.int32).reshape(-1, WINDOW + 1).astype(np.int64)
-                for at in range(0, len(ids), BATCH):
-                    part = ids[at : at + BATCH]
-                    before, cls = shifted(part[:, :-1], of.value)
-                    target = np.where(part[:, 1:] >= 0, of.value[np.maximum(part[:, 1:], 0)], -1)
-                    _, g = gradient(parts(flat), before, cls, target)
-                    step += 1
-                    m += 0.1 * (g - m)
-                    v += 0.01 * (g * g - v)
-                    flat -= np.float32(rate / (1 + k)) * (m / np.float32(1 - 0.9**step)) / (np.sqrt(v / np.float32(1 - 0.99**step)) + np.float32(1e-8))
-                seen += len(ids)
+                part = np.frombuffer(c.as_buffer(), np.int32).reshape(-1, WINDOW + 1).astype(np.int64)
+                if not step:  # a copy begins
+                    flat, mine = sent.value.copy(), 0
+                    m, v = np.zeros(SIZE, np.float32), np.zeros(SIZE, np.float32)
+                before, cls = shifted(part[:, :-1], of.value)
+                target = np.where(part[:, 1:] >= 0, of.value[np.maximum(part[:, 1:], 0)], -1)
+                _, g = gradient(parts(flat), before, cls, target)
+                step += 1
+                m += np.float32(0.1) * (g - m)
+                v += np.float32(0.01) * (g * g - v)
+                flat -= np.float32(rate / (1 + k)) * (m / np.float32(1 - 0.9**step)) / (np.sqrt(v / np.float32(1 - 0.99**step)) + np.float32(1e-8))
+                mine += len(part)
+                if step == SHARD:
+                    total, seen, step = total + mine * flat.astype(np.float64), seen + mine, 0
+        if step:
+            total, seen = total + mine * flat.astype(np.float64), seen + mine
         if seen:
-            yield pa.RecordBatch.from_pydict({"g": pa.array([seen % 64], pa.int32()), "n": pa.array([seen], pa.int64()), "data": pa.array([flat.tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"g": pa.array([TaskContext.get().partitionId() % 64], pa.int32()), "n": pa.array([seen], pa.int64()), "data": pa.array([(total / seen).astype(np.float32).tobytes()], pa.binary())})
+        trim()
 
     def average(t: pa.Table) -> pa.Table:
         n, total = np.asarray(t.column("n")), np.zeros(SIZE, np.float64)

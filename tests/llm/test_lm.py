@@ -103,3 +103,16 @@ def test_it_learns_order(spark):
     out = {r.doc_id: r.perplexity for r in lm.score(spark.createDataFrame(rows + mixed, "doc_id long, text string")).collect()}
     good, bad = sorted(out[k] for k in range(100))[50], sorted(out[9000 + k] for k in range(20))[10]
     assert good * 1.3 < bad
+
+
+def test_it_trains_on_every_token(spark):
+    """Of texts of all lengths, a very long one too, each token is a target once, after the one before it."""
+    texts = ["one", "", None, " ".join(f"w{k}" for k in range(lm.WINDOW)), " ".join(f"v{k % 977}" for k in range(5000))]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids, count = lm.subwords(pa.array(texts), lm.VOCABULARY)
+    start = np.cumsum(count) - count
+    want = sorted((-1 if i in start[count > 0] else int(ids[i - 1]), int(ids[i])) for i in range(len(ids)))
+    counts, windows, _ = lm.gather(frame, lm.VOCABULARY)
+    got = np.concatenate([np.frombuffer(r.data, np.int32).reshape(-1, lm.WINDOW + 1) for r in windows.collect()])
+    real = got[:, 1:] >= 0
+    assert sorted(zip(got[:, :-1][real].tolist(), got[:, 1:][real].tolist())) == want and counts.sum() == len(ids)
