@@ -3,12 +3,14 @@
 A template is license wording with marked regions, in the manner of the SPDX guidelines:
 
     <<beginOptional>> ... <<endOptional>>      may be there or not, nests
-    <<var;name="who";original="...";match="...">>   replaceable: up to MAX_VAR tokens of any wording,
-                                               or one of the alternatives a|b|c in match
+    <<var;name="who";original="...";match="...">>   replaceable: for .+ any wording, as many tokens as the
+                                               text has, else one of the alternatives a|b|c in match
+    <<notBefore;match="...">>                  at the end: not accepted where this wording follows
 
 It is compiled to an automaton over tokens. A text is accepted where a stretch of its tokens spells
 all mandatory wording exactly, in order, with optional regions whole or absent. Every place where an
-automaton's first tokens occur is tried, in the whole text.
+automaton's first tokens occur is tried, in the whole text. Where a template has wording of any length, one
+pass from a text's end finds the places that lead to acceptance.
 """
 
 from __future__ import annotations
@@ -22,11 +24,12 @@ from pyspark.sql import functions as F
 
 from .common import hash_text, id_and_text, runs, slices, tokenize
 
-MAX_VAR = 12
-_PART = re.compile(r"<<\s*(beginOptional|endOptional|var)\b(.*?)>>", re.S)
+MAX_VAR = 12  # of as_regex(), for SQL
+_PART = re.compile(r"<<\s*(beginOptional|endOptional|var|notBefore)\b(.*?)>>", re.S)
 _MATCH = re.compile(r"match\s*=\s*\"(.*?)\"", re.S)
 
-TEMPLATES = {
+# the query's SQL compares these with regions of MAX_VAR tokens at most
+SQL_TEMPLATES = {
     "MIT-notice": 'Released under the <<beginOptional>>terms of the<<endOptional>> MIT License<<beginOptional>>, see <<var;name="file";original="LICENSE";match=".+">> for details<<endOptional>>.',
     "Apache-2.0-notice": 'Licensed under the Apache License<<beginOptional>>, Version<<endOptional>> 2.0<<beginOptional>> (the "License")<<endOptional>>',
     "GPL-notice": 'This work is licensed under the GNU General Public License, <<beginOptional>>version<<endOptional>> <<var;name="version";original="3";match="2|3|2.0|3.0">>',
@@ -37,6 +40,8 @@ TEMPLATES = {
     "MIT": 'Permission is hereby granted, free of charge, to any <<var;name="who";original="person";match="person|person or organization">> obtaining a copy of this software and associated documentation files<<beginOptional>> (the "Software")<<endOptional>>, to deal in the Software without restriction',
 }
 
+TEMPLATES = dict(SQL_TEMPLATES)
+
 
 def words(text: str) -> list[str]:
     """Tokens as common.tokenize makes them."""
@@ -49,11 +54,15 @@ class Automaton:
     def __init__(self, template: str):
         self.edges: list[list[tuple[str | None, int]]] = [[]]
         self.free: list[set[int]] = [set()]
-        here, opened, at = 0, [], 0
+        here, opened, at, self.refused = 0, [], 0, []
         for m in _PART.finditer(template):
             here = self._words(here, template[at : m.start()])
             at = m.end()
-            if m[1] == "beginOptional":
+            if self.refused:
+                raise ValueError("notBefore isn't at the end")
+            if m[1] == "notBefore":
+                self.refused = words(_MATCH.search(m[2])[1])
+            elif m[1] == "beginOptional":
                 opened.append(here)
                 inner = self._state()
                 self.free[here].add(inner)
@@ -69,6 +78,8 @@ class Automaton:
                 here = self._variable(here, (_MATCH.search(m[2]) or [None, ".+"])[1])
         if opened:
             raise ValueError("an optional region doesn't end")
+        if self.refused and words(template[at:]):
+            raise ValueError("notBefore isn't at the end")
         self.end = self._words(here, template[at:])
         self.closed = [self._closure({k}) for k in range(len(self.edges))]
         if self.end in self.closed[0]:
@@ -92,12 +103,10 @@ class Automaton:
     def _variable(self, here: int, match: str) -> int:
         out = self._state()
         if match.startswith("."):
-            for _ in range(MAX_VAR):
-                self.free[here].add(out)
-                following = self._state()
-                self.edges[here].append((None, following))
-                here = following
-            self.free[here].add(out)
+            any_ = self._state()
+            self.free[here].add(any_)
+            self.edges[any_].append((None, any_))
+            self.free[any_].add(out)
         else:
             for choice in match.split("|"):
                 self.free[self._words(here, choice)].add(out)
@@ -115,8 +124,33 @@ class Automaton:
     def compile(self, code: dict[str, int]) -> "Automaton":
         """Fill in tokens' codes; None stands for any."""
         self.steps = [[(None if t is None else code[t], to) for s in closed for t, to in self.edges[s]] for closed in self.closed]
+        self.into: dict[int | None, list[tuple[int, int]]] = {}  # by token: (state, state after it)
+        for s, steps in enumerate(self.steps):
+            for t, to in steps:
+                self.into.setdefault(t, []).append((s, to))
+        self.done = {s for s, closed in enumerate(self.closed) if self.end in closed}
+        self.no = [code[t] for t in self.refused]
         return self
 
+    def accepts(self, codes, at: int, stop: int) -> bool:
+        """Whether a stretch may end before this place."""
+        k = len(self.no)
+        return not k or at + k > stop or list(codes[at : at + k]) != self.no
+
+    def places(self, codes, start: int, stop: int) -> set[int]:
+        """All places that an accepted stretch begins at: from the end, the states that lead to acceptance."""
+        out, anyway, none = set(), self.into.get(None, []), []
+        good = set(self.done) if self.accepts(codes, stop, stop) else set()
+        for at in range(stop - 1, start - 1, -1):
+            before = {s for s, to in self.into.get(codes[at], none) if to in good}
+            before.update(s for s, to in anyway if to in good)
+            if 0 in before:
+                out.add(at)
+            if self.accepts(codes, at, stop):
+                before |= self.done
+            good = before
+        return out
+
     def longest(self, codes, start: int, stop: int) -> int:
         """End of the longest stretch accepted from start, -1 if none."""
         states, found = {0}, -1
@@ -125,12 +159,15 @@ class Automaton:
             states = {to for s in states for t, to in self.steps[s] if t is None or t == c}
             if not states:
                 return found
-            if any(self.end in self.closed[s] for s in states):
+            if not self.done.isdisjoint(states) and self.accepts(codes, at + 1, stop):
                 found = at + 1
         return found
 
     def vocabulary(self) -> set[str]:
-        return {t for e in self.edges for t, _ in e if t is not None}
+        return {t for e in self.edges for t, _ in e if t is not None}.union(self.refused)
+
+    def free_wording(self) -> bool:
+        return any(t is None for e in self.edges for t, _ in e)
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
@@ -171,6 +208,16 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
                 if not done and None not in second:
                     place = place[place + 1 < len(codes)]
                     place = place[np.isin(codes[place + 1], [code[w] for w in second])]
+                if a.free_wording():  # each text once, whatever the number of places
+                    texts, first_place = np.unique(doc[place], return_index=True)
+                    for k, p in zip(texts.tolist(), place[first_place].tolist()):
+                        stop = int(ends[k])
+                        own = codes[p:stop].tolist()
+                        good = a.places(own, 0, stop - p)
+                        if good:
+                            low = min(good)
+                            seen[k] = [p + low, p + a.longest(own, low, stop - p), len(good)]
+                    place = place[:0]
                 for p in place.tolist():
                     k = int(doc[p])
                     stop = a.longest(codes, p, int(ends[k]))
@@ -190,7 +237,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
 
 
 def as_regex(template: str) -> str:
-    """The template as a regular expression over a text whose every token stands between two spaces of its own: for SQL."""
+    """The template, its free regions of MAX_VAR tokens at most, as a regular expression over a text whose every token stands between two spaces of its own: for SQL."""
     out, at = "", 0
 
     def spell(text: str) -> str:
@@ -203,6 +250,8 @@ def as_regex(template: str) -> str:
             out += "(?:"
         elif m[1] == "endOptional":
             out += ")?"
+        elif m[1] == "notBefore":
+            out += "(?!" + spell(_MATCH.search(m[2])[1]) + ")"
         else:
             match = (_MATCH.search(m[2]) or [None, ".+"])[1]
             out += "(?: [^ ]+ ){0,%d}" % MAX_VAR if match.startswith(".") else "(?:" + "|".join(spell(c) for c in match.split("|")) + ")"

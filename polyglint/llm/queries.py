@@ -60,7 +60,7 @@ select doc_id, min(p) as start, max(p) + {recompress.K} - min(p) as n_tokens, ar
 def _license_sql() -> str:
     each = " union all ".join(
         f"select doc_id, '{name}' as license, regexp_extract(t, '^(.*?)(?:{p})', 1) as before, regexp_extract_all(t, '{p}') as found from norm where regexp_matches(t, '{p}')"
-        for name, p in ((name, license.as_regex(text)) for name, text in license.TEMPLATES.items())
+        for name, p in ((name, license.as_regex(text)) for name, text in license.SQL_TEMPLATES.items())
     )
     return f"""with norm as (select doc_id, ' ' || array_to_string({_WORDS.format('text')}, '  ') || ' ' as t from documents where doc_id is not null and text is not null),
 found as ({each})

@@ -259,6 +259,23 @@ def test_license_scan(spark, empty):
     assert license.scan(empty).count() == 0
 
 
+def test_license_regions_have_any_length(spark):
+    years = "Copyright (c) 1982, 1986, 1990, 1991, 1993, 1994 The Regents of the University of California. All rights reserved"
+    texts = [years, "Copyright " + "holder " * 200 + "All rights reserved", "Copyright " * 3 + "holder " * 13 + "All rights reserved. " * 2 + "end", "All rights reserved. Copyright " + "x " * 20, "Copyright All rights reserved"]
+    texts += ["Released under the MIT License, see " + "the file " * 7 + "for details", "Released under the MIT License, see " + "x " * 200 + "for details", "copyright " * 20_000 + "all rights reserved"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.license): (r.first_token, r.n_tokens, r.n_places) for r in license.scan(frame).collect() if r.license in ("copyright-notice", "MIT-notice")}
+    want = {}
+    for d, t in enumerate(texts):
+        spaced = " " + "  ".join(tokens(t)) + " "
+        for name in ("copyright-notice", "MIT-notice"):
+            pattern = re.compile(license.as_regex(license.TEMPLATES[name]).replace("{0,%d}" % license.MAX_VAR, "*"))
+            if m := pattern.search(spaced):
+                n = spaced[: spaced.rindex(" reserved ")].count(" copyright ") if name == "copyright-notice" else 1
+                want[d, name] = (spaced[: m.start()].count(" ") // 2, m[0].count(" ") // 2, n)
+    assert got == want and got[0, "copyright-notice"][1] == 18 and got[7, "copyright-notice"] == (0, 20_003, 20_000)
+
+
 def test_license_templates_are_checked():
     for bad in ("a <<beginOptional>> b", "a <<endOptional>>", "<<beginOptional>>a<<endOptional>>", '<<var;name="x";match=".+">> a'):
         with pytest.raises(ValueError):
