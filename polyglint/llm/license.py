@@ -28,7 +28,7 @@ MAX_VAR = 12  # of as_regex(), for SQL
 _PART = re.compile(r"<<\s*(beginOptional|endOptional|var|notBefore)\b(.*?)>>", re.S)
 _MATCH = re.compile(r"match\s*=\s*\"(.*?)\"", re.S)
 
-# the query's SQL compares these with regions of MAX_VAR tokens at most
+# what the query's SQL compares: openings only, with regions of MAX_VAR tokens
 SQL_TEMPLATES = {
     "MIT-notice": 'Released under the <<beginOptional>>terms of the<<endOptional>> MIT License<<beginOptional>>, see <<var;name="file";original="LICENSE";match=".+">> for details<<endOptional>>.',
     "Apache-2.0-notice": 'Licensed under the Apache License<<beginOptional>>, Version<<endOptional>> 2.0<<beginOptional>> (the "License")<<endOptional>>',
@@ -40,7 +40,44 @@ SQL_TEMPLATES = {
     "MIT": 'Permission is hereby granted, free of charge, to any <<var;name="who";original="person";match="person|person or organization">> obtaining a copy of this software and associated documentation files<<beginOptional>> (the "Software")<<endOptional>>, to deal in the Software without restriction',
 }
 
-TEMPLATES = dict(SQL_TEMPLATES)
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted <<beginOptional>>(subject to the limitations in the disclaimer below)<<endOptional>> provided that the following conditions are met:
+<<beginOptional>><<var;name="1";original="1";match="1|a|i">><<endOptional>> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+<<beginOptional>><<var;name="2";original="2";match="2|b|ii">><<endOptional>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+%sTHIS SOFTWARE IS PROVIDED BY <<var;name="who";original="THE COPYRIGHT HOLDERS AND CONTRIBUTORS";match=".+">> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<var;name="liable";original="THE COPYRIGHT HOLDER OR CONTRIBUTORS";match=".+">> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE"""
+_BSD_THIRD = """<<beginOptional>><<var;name="3";original="3";match="3|4|c|iii">><<endOptional>> Neither the name of <<var;name="holder";original="the copyright holder";match=".+">> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+"""
+_FSF = """free software<<beginOptional>>:<<endOptional>> you can redistribute it and/or modify it under the terms of the %(name)s as published by the Free Software Foundation<<var;name="only";original="";match="; either|, either||;">> version %(version)s <<beginOptional>>of the License<<endOptional>><<beginOptional>>, or (at your option) any later version<<endOptional>>.
+<<var;name="program";original="This program";match=".+">> is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the %(name)s for more details.
+You should have received a copy of the %(name)s along with"""
+
+
+def _fsf(name: str, versions: str) -> str:
+    return _FSF % {"name": name, "version": f'<<var;name="version";original="{versions.split("|")[-1]}";match="{versions}">>'}
+
+
+_MIT = """Permission is hereby granted, free of charge, to any <<var;name="who";original="person";match="person|person or organization">> obtaining a copy of this software and associated documentation files<<beginOptional>> (the "Software")<<endOptional>>, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice <<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL <<var;name="holders";original="THE AUTHORS OR COPYRIGHT HOLDERS";match=".+">> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+TEMPLATES = {
+    "MIT-notice": 'Released under the <<beginOptional>>terms of the<<endOptional>> MIT License<<beginOptional>>, see <<var;name="file";original="LICENSE";match=".+">> for details<<endOptional>>.',
+    "Apache-2.0-notice": 'Licensed under the Apache License<<beginOptional>>, Version<<endOptional>> 2.0<<beginOptional>> (the "License")<<endOptional>>',
+    "GPL-notice": 'This work is licensed under the GNU General Public License, <<beginOptional>>version<<endOptional>> <<var;name="version";original="3";match="2|3|2.0|3.0">>',
+    "CC-notice": '<<beginOptional>>This work is<<endOptional>> licensed under <<beginOptional>>a Creative Commons<<endOptional>> CC <<var;name="kind";original="BY";match="BY|BY-SA|BY-NC|BY-ND|BY-NC-SA|BY-NC-ND">> <<var;name="version";original="4.0";match="2.0|2.5|3.0|4.0">>',
+    "all-rights-reserved": 'All rights reserved',
+    "copyright-notice": 'Copyright <<beginOptional>>(c)<<endOptional>> <<var;name="holder";original="year holder";match=".+">> All rights reserved',
+    "BSD-2-Clause": _BSD % "",
+    "BSD-3-Clause": _BSD % _BSD_THIRD,
+    "MIT": _MIT + '<<notBefore;match="Except as contained in this notice">>',
+    "X11": _MIT + ' Except as contained in this notice, the name<<var;name="plural";original="";match="|s|(s)">> of <<var;name="holder";original="the X Consortium";match=".+">> shall not be used in advertising or otherwise to promote the sale, use or other dealings in this Software without prior written authorization',
+    "ISC": """Permission to use, copy, modify, <<var;name="and";original="and/or";match="and|and/or">> distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND <<var;name="who";original="THE AUTHOR";match=".+">> <<var;name="s";original="DISCLAIMS";match="DISCLAIMS|DISCLAIM">> ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var;name="liable";original="THE AUTHOR";match=".+">> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE""",
+    "Apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at <<var;name="url";original="http://www.apache.org/licenses/LICENSE-2.0";match="http://www.apache.org/licenses/LICENSE-2.0|https://www.apache.org/licenses/LICENSE-2.0">>
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "GPL": _fsf("GNU General Public License", "1|2|3"),
+    "LGPL": _fsf('GNU <<var;name="kind";original="Lesser";match="Lesser|Library">> General Public License', "2|2.1|3"),
+    "AGPL": _fsf("GNU Affero General Public License", "3"),
+}
 
 
 def words(text: str) -> list[str]:

@@ -276,6 +276,35 @@ def test_license_regions_have_any_length(spark):
     assert got == want and got[0, "copyright-notice"][1] == 18 and got[7, "copyright-notice"] == (0, 20_003, 20_000)
 
 
+MIT_TEXT = """Copyright (c) 2020 A
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+WHOLE = ["BSD-2-Clause", "BSD-3-Clause", "MIT", "X11", "ISC", "Apache-2.0-header", "GPL", "LGPL", "AGPL"]
+
+
+def plain(template):
+    """The template's original wording, its optional regions in."""
+    out = re.sub(r"<<\s*var.*?original=\"(.*?)\".*?>>", r" \1 ", template)
+    return re.sub(r"<<.*?>>", " ", out)
+
+
+def test_whole_licenses_and_late_changes(spark):
+    late = {"MIT": "conditions", "X11": "advertising", "ISC": "tortious", "Apache-2.0-header": "limitations", "GPL": "merchantability", "LGPL": "received", "AGPL": "useful", "BSD-2-Clause": "procurement", "BSD-3-Clause": "endorse"}
+    rows = [(name, plain(license.TEMPLATES[name])) for name in WHOLE]
+    rows += [("not " + name, re.sub(rf"(?i)\b{late[name]}\b", "otherwise", text)) for name, text in rows]
+    rows += [("MIT", MIT_TEXT), ("not MIT", MIT_TEXT.replace("substantial portions", "portions")), ("not MIT", MIT_TEXT[: MIT_TEXT.index("THE SOFTWARE IS")]), ("not MIT", MIT_TEXT.replace("THE SOFTWARE IS", "The Software shall be used for Good, not Evil. THE SOFTWARE IS", 1).replace("portions of the Software.", "portions."))]
+    rows += [("not MIT", re.sub(r"subject to the following conditions:.*?Software\.", "", MIT_TEXT, count=1, flags=re.S)), ("not MIT", plain(license.TEMPLATES["X11"]))]
+    rows += [("GPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program.")]
+    frame = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {(r.doc_id, r.license) for r in license.scan(frame).collect()}
+    for k, (name, _) in enumerate(rows):
+        assert ((k, name.removeprefix("not ")) in got) == (not name.startswith("not ")), (k, name)
+
+
 def test_license_templates_are_checked():
     for bad in ("a <<beginOptional>> b", "a <<endOptional>>", "<<beginOptional>>a<<endOptional>>", '<<var;name="x";match=".+">> a'):
         with pytest.raises(ValueError):
