@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formats, hygiene, text
-from ..functions.plural import is_exact_count
-from ..operators import consistency, coverage, diff, languages, resolve, writes
+from ..functions.plural import base_language, is_exact_count, required_categories
+from ..operators import consistency, coverage, diff, languages, membership, resolve, writes
 from ..sources import catalogs as C
 from ..sources import swift_scanner as S
-from ..sources.interchange import read_bundles, read_strings
-from ..sources.payloads import Configuration
+from ..sources.interchange import development_region, project_settings, read_bundles, read_lines, read_plists, read_strings, read_texts
+from ..sources.payloads import REFERENCE_EXTENSIONS, Configuration
 from .render import RULES
 
 COLUMNS = ["rule", "level", "message", "file", "line", "key", "language"]
@@ -86,7 +86,17 @@ def check(spark: SparkSession, root: str, config: Configuration | None = None, r
         parts.append(finding(near.withColumn("catalog", F.lit(catalog)), "near-duplicate", F.concat_ws(" ", F.col("percent").cast("string"), F.lit("% like"), "b"), key="a"))
     if c.glossary:
         parts.append(finding(consistency.glossary_violations(pairs(mine, sources, False).select("key", "language", "source", "translation"), c.glossary_rows(spark)), "glossary", F.concat_ws(" ", "term", F.lit("is"), "rendering"), file=None, language="language"))
+    lines = read_lines(spark, root, "*.pbxproj")
+    declared = read_plists(spark, root).where(F.col("path").endswith("Info.plist")).select("key", "value").union(project_settings(lines).select("key", "value")).select(F.lit("project").alias("target"), "key", "value")
+    localized = entries.where(text.catalog_kind(F.col("catalog")) == "info-plist").select(F.lit("project").alias("target"), "key")
+    region = development_region(lines).where(F.length(base_language(F.col("region"))).isin(2, 3))
     named = languages.present(units)
+    parts += [
+        finding(texts.select("catalog", "key", F.explode(hygiene.source_rules(F.col("text"))).alias("rule")).join(sources, "catalog"), F.col("rule"), F.col("rule"), language="source_language"),
+        finding(hygiene.same_plurals(mine.where("scope = 'top'"), required_categories(F.col("language"))), "same-plurals", "all plural forms are one text", language="language"),
+        finding(membership.plist_not_localized(declared, localized), "info-plist-not-localized", F.col("detail"), file=None, key=None),
+        finding(membership.region_mismatch(sources, region), "development-region-mismatch", F.concat_ws(" ", "source_language", F.lit("is not"), "region"), key=None),
+    ]
     parts.append(finding(coverage.coverage_gaps(named), "language-coverage-gap", F.col("missing"), key=None))
     return _all(parts)
 
@@ -108,12 +118,24 @@ def scan(spark: SparkSession, root: str, config: Configuration | None = None) ->
     legacy = read_strings(spark, root).select(F.col("table").alias("table_name"), F.col("key").alias("value"))
     absent = absent.join(legacy, ["table_name", "value"], "left_anti")
     used = done.select("value").union(done.select(F.col("format_key").alias("value"))).union(by_pattern.select(F.col("key").alias("value")))
-    mine = entries.where(text.catalog_kind(F.col("catalog")).isin("localizable", "table") & (F.coalesce("extraction_state", F.lit("")) != "stale") & ~text.is_interface_builder_key(F.col("key")) & ~formats.contains_specifier(F.col("key"))).select("catalog", "key")
+    mine = entries.where(text.catalog_kind(F.col("catalog")).isin("localizable", "table") & (F.coalesce("extraction_state", F.lit("")) != "stale") & text.is_translatable(F.col("key")) & ~text.is_interface_builder_key(F.col("key")) & ~formats.contains_specifier(F.col("key"))).select("catalog", "key")
     left = resolve.unreferenced(mine, used)
-    texts = files.where("text is not null").select("text")
+    others = read_texts(spark, root, "*.{%s}" % ",".join(REFERENCE_EXTENSIONS if c.referenceExtensions is None else c.referenceExtensions))
+    texts = files.union(others).where("text is not null").select("text")
+    # keys in use, by value or by pattern, and the languages of their catalog that lack them
+    by_value = found.select("table_name", "value", "format_pattern", "path", "line").distinct().join(hit.where("catalog is not null").select("table_name", "value", "catalog").distinct(), ["table_name", "value"], "left")
+    owner = entries.where(text.catalog_kind(F.col("catalog")).isin("localizable", "table")).groupBy("key").agg(F.min("catalog").alias("catalog"))
+    patterned = by_value.where("catalog is null").drop("catalog").join(by_pattern.select(F.col("pattern").alias("format_pattern"), "key"), "format_pattern").join(owner, "key")
+    present = by_value.where("catalog is not null").withColumn("key", F.col("value")).select("catalog", "key", "path", "line").union(patterned.select("catalog", "key", "path", "line"))
+    units, sources = C.units(rows), C.catalogs(rows).select("catalog", "source_language")
+    states = coverage.status(units.where("scope = 'top'"), coverage.plural_gaps(C.plural_slots(rows)))
+    asked = present.join(entries.where(F.coalesce("should_translate", F.lit(True))).select("catalog", "key"), ["catalog", "key"]).join(languages.present(units), "catalog").join(sources, "catalog").where("language <> source_language")
+    lacking = asked.join(states, ["catalog", "key", "language"], "left").where("status is null or status in ('empty', 'incomplete') or (status = 'unit' and state in ('new', 'stale'))")
+    lacking = lacking.groupBy("catalog", "key", "language").agg(F.min(F.struct("path", "line")).alias("at")).select("catalog", "key", "language", "at.path", "at.line")
     orphan = left.join(resolve.orphans(left.select(F.col("key").alias("id"), "key").distinct(), texts).select(F.col("id").alias("key")), "key", "left_semi")
     return _all([
         finding(absent, "string-not-in-catalog", F.concat(F.lit("not in table "), "table_name"), file="path", key="value", line="line"),
+        finding(lacking, "untranslated-string", F.concat_ws(" ", F.lit("no translation in"), "catalog"), file="path", language="language", line="line"),
         finding(S.bypasses(done), "localization-bypass", "never localized", file="path", key="value", line="line"),
         finding(orphan, "orphaned-key", "nothing refers to it"),
         finding(files.where("text is null"), "configuration", "not UTF-8", file="path", key=None),

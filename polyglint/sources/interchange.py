@@ -142,6 +142,18 @@ def read_plists(spark: SparkSession, root: str) -> DataFrame:
     return _each_file(_files(spark, root, "*.plist"), parse, "path string, key string, value string")
 
 
+def read_texts(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """(path, text) of the files of a name pattern; text is null where a file isn't UTF-8."""
+    content = F.col("content").cast("string")
+    return _files(spark, root, pattern).select("path", F.when(F.is_valid_utf8(content), content).alias("text"))
+
+
+def read_lines(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """(file, line, value) of such files, lines from 1."""
+    lines = read_texts(spark, root, pattern).where("text is not null").select(F.col("path").alias("file"), F.posexplode(F.split("text", r"\R")).alias("at", "value"))
+    return lines.select("file", (F.col("at") + 1).alias("line"), "value")
+
+
 def project_settings(lines: DataFrame) -> DataFrame:
     """lines(file, line, value) of project files: the property-list keys set in build settings, (file, line, key, value)."""
     pattern = r"INFOPLIST_KEY_(\w+)\"?\s*=\s*\"?(.*?)\"?;"

@@ -54,6 +54,7 @@ def edits(spark: SparkSession, data: bytes | str, **where) -> DataFrame:
 
 
 NAME = ".polyglint.json"
+REFERENCE_EXTENSIONS = ("plist", "strings", "stringsdict", "storyboard", "xib", "intentdefinition", "m", "mm", "h", "json", "yaml", "yml")  # searched before a key counts as orphaned
 
 
 @dataclass

@@ -1,4 +1,5 @@
 import json
+import plistlib
 
 import pytest
 
@@ -40,6 +41,34 @@ def test_scan(spark, project):
     assert ("string-not-in-catalog", "Save", None) not in got and ("orphaned-key", "posts", None) in got and ("orphaned-key", "Save", None) not in got
 
 
+@pytest.fixture(scope="module")
+def whole(tmp_path_factory):
+    root = tmp_path_factory.mktemp("w")
+    same = {"variations": {"plural": {c: unit("x") for c in ("one", "few", "many", "other")}}}
+    strings = {"Wait...": key(en=unit("Wait..."), de=unit("Warte")), "%@ of %@": key(en=unit("%@ of %@"), de=unit("%@ von %@")), "many": key(en=unit("many"), pl=same), "only.in.board": key(en=unit("a")), "only.in.note": key(en=unit("b")), "12": key(en=unit("12")), "Used": key(en=unit("Used"), de=unit("Benutzt"))}
+    (root / "Localizable.xcstrings").write_text(json.dumps({"sourceLanguage": "en", "version": "1.0", "strings": strings}))
+    (root / "A.swift").write_text('let s = Text("Used")\n')
+    (root / "Main.storyboard").write_text('<label text="only.in.board"/>')
+    (root / "n.note").write_text("only.in.note")
+    (root / "Info.plist").write_bytes(plistlib.dumps({"NSCameraUsageDescription": "To scan", "CFBundleVersion": "1"}))
+    (root / "project.pbxproj").write_text("x = 1;\n\tdevelopmentRegion = de;\n")
+    return root
+
+
+def test_check_source_side_and_project(spark, whole):
+    got = names(commands.check(spark, str(whole)))
+    assert {("ellipsis-style", "Wait...", "en"), ("unordered-specifiers", "%@ of %@", "en"), ("same-plurals", "many", "pl"), ("info-plist-not-localized", None, None), ("development-region-mismatch", None, None)} <= got
+    assert not {("ellipsis-style", "Used", "en"), ("same-plurals", "Used", "de")} & got
+
+
+def test_scan_other_files_and_untranslated(spark, whole):
+    got = names(commands.scan(spark, str(whole)))
+    assert {k for rule, k, _ in got if rule == "orphaned-key"} == {"Wait...", "many", "only.in.note"}
+    assert ("untranslated-string", "Used", "pl") in got and ("untranslated-string", "Used", "de") not in got
+    other = names(commands.scan(spark, str(whole), payloads.Configuration(root=str(whole), referenceExtensions=["note"])))
+    assert {k for rule, k, _ in other if rule == "orphaned-key"} == {"Wait...", "many", "only.in.board"}
+
+
 def test_changes(spark, project, tmp_path):
     new = json.loads(json.dumps(CATALOG))
     new["strings"]["Save"]["localizations"]["en"]["stringUnit"]["value"] = "Store"
