@@ -7,8 +7,10 @@ and sends the part that a pair over the threshold can't avoid sharing, n - ceil(
 to blocks of columns. A block multiplies its slice of the matrix with its transpose and discards
 what sizes rule out: pairs whose sizes differ too much, and pairs whose overlap, were this their
 first common column, couldn't reach t/(1+t)(|a|+|b|) with the columns that are left. Where the
-column before is common too, that one's block has the pair. Pairs whose shared columns over all
-blocks, and the columns not sent, don't add up to the bound go next. The survivors' rows meet in blocks, where their overlaps are counted over all columns. No pair is capped or sampled.
+column before is common too, that one's block has the pair. Blocks emit candidate pairs only; nothing
+is added up over blocks. Then a one-bit minhash sketch of BINS bins discards candidates that it puts
+SIGMAS deviations below the threshold: the one step that may lose a pair. The rows of the survivors
+meet in blocks, where each pair's overlap is counted from its two rows, over all columns.
 """
 
 from __future__ import annotations
