@@ -4,13 +4,14 @@ Two passes over the texts. The first makes each document's n-gram set: its size,
 (equal sets share one, so copies collapse into one row of the matrix) and a table of how often
 n-grams occur. The second puts each row's columns into one global order, frequent columns last,
 and sends the part that a pair over the threshold can't avoid sharing, n - ceil(t n) + 1 columns,
-to blocks of columns. A block multiplies its slice of the matrix with its transpose and discards
-what sizes rule out: pairs whose sizes differ too much, and pairs whose overlap, were this their
-first common column, couldn't reach t/(1+t)(|a|+|b|) with the columns that are left. Where the
-column before is common too, that one's block has the pair. Blocks emit candidate pairs only; nothing
-is added up over blocks. Then a one-bit minhash sketch of BINS bins discards candidates that it puts
-SIGMAS deviations below the threshold: the one step that may lose a pair. The rows of the survivors
-meet in blocks, where each pair's overlap is counted from its two rows, over all columns.
+to blocks of columns. A block multiplies its slice of the matrix with its transpose and emits, for
+every pair that shares a column in it and whose sizes may go together, how many it shares: a tile of
+partial overlap counts. Tiles are added up by pair over all blocks. A pair shares nothing outside of
+what was added but columns in the rest of one of its rows, so its overlap is at most the sum plus
+the longer rest; pairs for which that is below t/(1+t)(|a|+|b|) are discarded. The rows of the
+survivors, a few in a hundred more than the pairs over the threshold, meet in blocks, where the
+overlap is accumulated over stripes of all columns, and a pair goes as soon as what is left of
+either row can't lift it to the bound. Each step only discards what can't be over the threshold.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from .common import U64, as_batch, block_of, by_doc, checkpointed, components, i
 N, THRESHOLD = 3, 0.5
 CELLS = 1 << 20  # of the frequency table; it only orders columns, so collisions cost time, not pairs
 PART = 1 << 15
-BINS, SIGMAS = 256, 4.0  # of the sketch; a pair goes where its estimate is so many deviations below the threshold
 PAIRS_AT_ONCE = 1 << 21
+STRIPES = 4  # of columns, in the last step
 
 
 def shingles(tok: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,41 +74,26 @@ def sets_of(batch, n: int):
     return np.asarray(batch.column(0)), sig, size, h, d
 
 
-SKETCH = [f"{kind}{k}" for kind in "vm" for k in range(BINS // 64)]
-
-
-def sketches(h: np.ndarray, d: np.ndarray, rows: int) -> np.ndarray:
-    """One-permutation minhash of each text, (rows, words): a bit of the least hash of each bin, then which bins have one. h sorted within d."""
-    bins = (h >> U64(56)).astype(np.int64) % BINS
-    first = runs(d.astype(np.int64) * BINS + bins)[0]
-    value, there = np.zeros((rows, BINS), np.uint8), np.zeros((rows, BINS), np.uint8)
-    there[d[first], bins[first]] = 1
-    value[d[first], bins[first]] = mix(h[first]) & U64(1)
-    return np.packbits(np.concatenate([value, there], 1), axis=1).view(np.int64)
-
-
 def _cell(h: np.ndarray) -> np.ndarray:
     return (h & U64(CELLS - 1)).astype(np.int64)
 
 
 def profiles(docs: DataFrame, n: int) -> tuple[DataFrame, bytes]:
-    """Table (doc_id, sig, n) of the documents with at least one n-gram, and the frequency table."""
-    schema = pa.schema([("doc_id", pa.int64()), ("sig", pa.int64()), ("n", pa.int64()), *((k, pa.int64()) for k in SKETCH), ("part", pa.int32()), ("counts", pa.binary())])
+    """Table (doc_id, sig, n), sig null for a document without an n-gram, and the frequency table."""
+    schema = pa.schema([("doc_id", pa.int64()), ("sig", pa.int64()), ("n", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
 
     def work(batches):
         total = np.zeros(CELLS, np.int64)
         for b in slices(batches):
             ids, sig, size, h, d = sets_of(b, n)
             total += np.bincount(_cell(h), minlength=CELLS)
-            some = size > 0
-            k = int(some.sum())
-            drawn = sketches(h, d, b.num_rows)[some]
-            yield as_batch(schema, doc_id=ids[some], sig=signed(sig[some]), n=size[some], **{c: drawn[:, j] for j, c in enumerate(SKETCH)}, part=pa.nulls(k, pa.int32()), counts=pa.nulls(k, pa.binary()))
+            k = b.num_rows
+            yield as_batch(schema, doc_id=ids, sig=pa.array(signed(sig), mask=size == 0), n=size, part=pa.nulls(k, pa.int32()), counts=pa.nulls(k, pa.binary()))
         if total.any():
             parts = range(CELLS // PART)
-            yield as_batch(schema, doc_id=pa.nulls(len(parts), pa.int64()), sig=pa.nulls(len(parts), pa.int64()), n=pa.nulls(len(parts), pa.int64()), **{c: pa.nulls(len(parts), pa.int64()) for c in SKETCH}, part=list(parts), counts=[total[p * PART : (p + 1) * PART].astype(np.uint32).tobytes() for p in parts])
+            yield as_batch(schema, **{c: pa.nulls(len(parts), pa.int64()) for c in ("doc_id", "sig", "n")}, part=list(parts), counts=[total[p * PART : (p + 1) * PART].astype(np.uint32).tobytes() for p in parts])
 
-    made = shared_table(id_and_text(docs).mapInArrow(work, "doc_id long, sig long, n long, " + "".join(f"{c} long, " for c in SKETCH) + "part int, counts binary"), "profiles")
+    made = shared_table(id_and_text(docs).mapInArrow(work, "doc_id long, sig long, n long, part int, counts binary"), "profiles")
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(PART, np.int64)
@@ -120,7 +106,7 @@ def profiles(docs: DataFrame, n: int) -> tuple[DataFrame, bytes]:
     for r in summed:  # of fixed size: CELLS counts, whatever the input
         table[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(r["counts"], np.uint32)
     rank = np.minimum(255, np.round(16 * np.log2(1 + table / max(1.0, float(np.median(table)))))).astype(np.uint8)
-    return made.where("part is null").select("doc_id", "sig", "n", *SKETCH), rank.tobytes()
+    return made.where("part is null").select("doc_id", "sig", "n"), rank.tobytes()
 
 
 def _need(t: float, a, b):
@@ -131,7 +117,7 @@ def _need(t: float, a, b):
 def _emit_prefixes(docs: DataFrame, n: int, t: float, rank: bytes) -> DataFrame:
     spark = docs.sparkSession
     blocks, shared = n_blocks(spark), spark.sparkContext.broadcast(rank)
-    schema = pa.schema([("block", pa.int32())] + [(k, pa.binary()) for k in ("h", "row", "at", "before", "sig", "n")])
+    schema = pa.schema([("block", pa.int32())] + [(k, pa.binary()) for k in ("h", "row", "sig", "n")])
 
     def work(batches):
         frequent = np.frombuffer(shared.value, np.uint8)
@@ -140,106 +126,195 @@ def _emit_prefixes(docs: DataFrame, n: int, t: float, rank: bytes) -> DataFrame:
             order = by_doc((frequent[_cell(h)].astype(U64) << U64(56)) | (h >> U64(8)), d)
             h, d = h[order], d[order]
             starts, lengths = runs(d)
-            prefix = lengths - np.ceil(t * lengths - 1e-9).astype(np.int64) + 1
-            take = spread(starts, prefix)
-            at = take - np.repeat(starts, prefix)
-            before = np.where(at > 0, h[np.maximum(take - 1, 0)], sig[d[take]])
+            take = spread(starts, lengths - np.ceil(t * lengths - 1e-9).astype(np.int64) + 1)
             h, d = h[take], d[take]
             order = np.argsort(h, kind="stable")
-            h, d, at, before = h[order], d[order], at[order], before[order]
-            # within a block 32 bits tell columns apart: a clash only adds a pair to verify, and blocks grow in number with the data
-            low, at, before = h.astype(np.uint32), np.minimum(at, 65_535).astype(np.uint16), mix(before).astype(np.uint32)
+            h, d = h[order], d[order]
+            # within a block 32 bits tell columns apart: a clash only counts a column too much for a pair, and blocks grow in number with the data
+            low = h.astype(np.uint32)
             edges = np.searchsorted(block_of(h, blocks), np.arange(blocks + 1, dtype=U64))
             out = {k: [] for k in schema.names}
             for k in np.flatnonzero(np.diff(edges)):
                 part = slice(edges[k], edges[k + 1])
                 used, local = np.unique(d[part], return_inverse=True)
-                for name, v in (("block", int(k)), ("h", low[part]), ("row", local.astype(np.uint16)), ("at", at[part]), ("before", before[part]), ("sig", sig[used]), ("n", size[used].astype(np.uint32))):
+                for name, v in (("block", int(k)), ("h", low[part]), ("row", local.astype(np.uint16)), ("sig", sig[used]), ("n", size[used].astype(np.uint32))):
                     out[name].append(v if name == "block" else v.tobytes())
             yield as_batch(schema, **out)
 
-    return id_and_text(docs).mapInArrow(work, "block int, h binary, row binary, at binary, before binary, sig binary, n binary")
+    return id_and_text(docs).mapInArrow(work, "block int, h binary, row binary, sig binary, n binary")
+
+
+TILE = "bucket int, n_sets int, n_pairs int, data binary"
+TILE_SCHEMA = pa.schema([("bucket", pa.int32()), ("n_sets", pa.int32()), ("n_pairs", pa.int32()), ("data", pa.binary())])
+
+
+def pack(sig: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, count: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Tiles of partial counts, one for each bucket of left sets. a and b index sig (ascending) and size; pairs sorted by (a, b).
+    Pairs of a group of alike sets are neighbours, so their differences and counts compress to a byte or so a pair."""
+    codec = pa.Codec("zstd", 1)
+    bucket = block_of(mix(sig.view(U64)), buckets)[a].astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    out = {k: [] for k in TILE_SCHEMA.names}
+    for k, n in zip(*runs(bucket[order])):
+        part = order[k : k + n]
+        used, local = np.unique(np.concatenate([a[part], b[part]]), return_inverse=True)
+        x, y = local[:n], local[n:]
+        step = np.diff(x, prepend=0)
+        ahead = np.where(np.concatenate([[True], step[1:] != 0]), y, np.diff(y, prepend=0))
+        data = b"".join(v.tobytes() for v in (sig[used], size[used].astype(np.uint32), step.astype(np.uint32), ahead.astype(np.uint32), count[part].astype(np.uint32)))
+        for c, v in zip(out, (int(bucket[part[0]]), len(used), int(n), codec.compress(data, asbytes=True))):
+            out[c].append(v)
+    return as_batch(TILE_SCHEMA, **out)
+
 
+def unpack(n_sets: int, n_pairs: int, data: pa.Buffer):
+    """(left set, right set, their sizes, count) of a tile's pairs."""
+    raw = pa.Codec("zstd").decompress(data, 12 * n_sets + 12 * n_pairs)
+    sig, size = np.frombuffer(raw, np.int64, n_sets), np.frombuffer(raw, np.uint32, n_sets, 8 * n_sets).astype(np.int64)
+    step, ahead, count = np.frombuffer(raw, np.uint32, 3 * n_pairs, 12 * n_sets).reshape(3, -1).astype(np.int64)
+    a = np.cumsum(step)
+    head, length = runs(a)
+    total = np.cumsum(ahead)
+    b = total - np.repeat(total[head] - ahead[head], length)
+    return sig[a], sig[b], size[a], size[b], count
 
-def _multiply(t: float):
-    schema = pa.schema([("sa", pa.int64()), ("sb", pa.int64())])
+
+def _multiply(t: float, buckets: int):
+    """A block's slice of the matrix times its transpose: tiles of partial counts."""
 
     def work(batches):
-        found = {k: [] for k in ("h", "sig", "size", "at", "before")}
+        found = {k: [] for k in ("h", "sig", "size")}
         for b in batches:
-            for h, row, at, before, sig, size in zip(*(b.column(b.schema.get_field_index(c)) for c in ("h", "row", "at", "before", "sig", "n"))):
+            for h, row, sig, size in zip(*(b.column(b.schema.get_field_index(c)) for c in ("h", "row", "sig", "n"))):
                 of = np.frombuffer(row.as_buffer(), np.uint16)
                 found["h"].append(np.frombuffer(h.as_buffer(), np.uint32))
-                found["sig"].append(np.frombuffer(sig.as_buffer(), U64)[of])
+                found["sig"].append(np.frombuffer(sig.as_buffer(), np.int64)[of])
                 found["size"].append(np.frombuffer(size.as_buffer(), np.uint32)[of])
-                found["at"].append(np.frombuffer(at.as_buffer(), np.uint16))
-                found["before"].append(np.frombuffer(before.as_buffer(), np.uint32))
         if not found["h"]:
             return
-        h, sig, size, at, before = (np.concatenate(found.pop(k)) for k in ("h", "sig", "size", "at", "before"))
+        h, sig, size = (np.concatenate(found.pop(k)) for k in ("h", "sig", "size"))
         order = np.argsort(h, kind="stable")
         starts, lengths = runs(h[order])
         order = order[np.repeat(lengths > 1, lengths)]  # a column of one row makes no pair
-        order = order[np.lexsort((sig[order], size[order], h[order]))]
-        h, sig, size, at, before = h[order], sig[order], size[order], at[order].astype(np.int64), before[order]
+        h, sig, size = h[order], sig[order], size[order]
+        sets, first, row = np.unique(sig, return_index=True, return_inverse=True)
+        sizes = size[first].astype(np.int64)
+        order = np.lexsort((row, size, h))
+        h, row = h[order], row[order]
         if len(h):
-            new = np.concatenate([[True], (h[1:] != h[:-1]) | (sig[1:] != sig[:-1])])
-            h, sig, size, at, before = h[new], sig[new], size[new].astype(np.int64), at[new], before[new]
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])])
+            h, row = h[new], row[new]
+        size = sizes[row]
         starts, lengths = runs(h)
         run = np.repeat(np.arange(len(starts), dtype=U64), lengths) << U64(32)
-        key = run | size.astype(U64)
-        most = np.minimum(np.floor(size / t + 1e-9), 2**32 - 1).astype(U64)
-        partners = np.searchsorted(key, run | most, side="right") - np.arange(len(h)) - 1
+        most = np.minimum(np.floor(size / t + 1e-9), 2**32 - 1).astype(U64)  # sizes that may go together
+        partners = np.searchsorted(run | size.astype(U64), run | most, side="right") - np.arange(len(h)) - 1
         done = np.concatenate([[0], np.cumsum(partners)])
         here = 0
         while here < len(h):
             stop = max(here + 1, int(np.searchsorted(done, done[here] + PAIRS_AT_ONCE, side="right")) - 1)
-            left = np.repeat(np.arange(here, stop), partners[here:stop])
-            right = spread(np.arange(here, stop) + 1, partners[here:stop])
+            left, right = row[np.repeat(np.arange(here, stop), partners[here:stop])], row[spread(np.arange(here, stop) + 1, partners[here:stop])]
             here = stop
-            reach = np.minimum(size[left] - at[left], size[right] - at[right])
-            go = (reach >= _need(t, size[left], size[right])) & (before[left] != before[right])
-            left, right = sig[left[go]].view(np.int64), sig[right[go]].view(np.int64)
-            if not len(left):
-                continue
-            left, right = np.minimum(left, right), np.maximum(left, right)
-            order = np.lexsort((right, left))
-            left, right = left[order], right[order]
-            new = np.concatenate([[True], (left[1:] != left[:-1]) | (right[1:] != right[:-1])])
-            yield as_batch(schema, sa=left[new], sb=right[new])
-        del h, sig, size, at, before, key, run, most, partners, done, order
+            if len(left):
+                pair = np.sort((np.minimum(left, right) << 32) | np.maximum(left, right))
+                at, count = runs(pair)
+                yield pack(sets, sizes, pair[at] >> 32, pair[at] & 0xFFFFFFFF, count, buckets)
         trim()
 
     return work
 
 
-def set_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(pairs, members): pairs (sa, sb, overlap, n_union) of distinct n-gram sets at or over the
-    threshold, and members (doc_id, sig, n), which documents have which set."""
+PAIR = "sa long, sb long"
+PAIR_SCHEMA = pa.schema([("sa", pa.int64()), ("sb", pa.int64())])
+
+
+def _add(t: float):
+    """Sums of a bucket's partial counts; pairs whose overlap can't reach the bound are discarded."""
+
+    def work(batches):
+        parts = [unpack(n, m, data.as_buffer()) for b in batches for n, m, data in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3))]
+        if not parts:
+            return
+        a, b, na, nb, count = (np.concatenate(x) for x in zip(*parts))
+        del parts
+        order = np.lexsort((b, a))
+        a, b, na, nb, count = a[order], b[order], na[order], nb[order], count[order]
+        at = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        total, na, nb = np.add.reduceat(count, at), na[at], nb[at]
+        rest = np.ceil(t * np.maximum(na, nb) - 1e-9) - 1  # columns of the longer row that weren't sent
+        go = np.minimum(np.minimum(na, nb), total + rest) >= _need(t, na, nb)
+        yield as_batch(PAIR_SCHEMA, sa=a[at[go]], sb=b[at[go]])
+        trim()
+
+    return work
+
+
+def overlaps(a: np.ndarray, b: np.ndarray, offset: np.ndarray, columns: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """(indices of the pairs over the threshold, their overlaps). Pairs of rows a, b; row i has columns[offset[i]:offset[i + 1]], sorted.
+
+    Overlaps are accumulated over stripes of columns; a pair goes when the columns left in either row can't lift it to the bound."""
+    values, code = np.unique(columns, return_inverse=True)
+    width, size = max(1, len(values)), np.diff(offset)
+    key = np.repeat(np.arange(len(size)), size) * width + code
+    cuts = [offset[:-1]]
+    for s in range(1, STRIPES):
+        cuts.append(np.searchsorted(key, np.arange(len(size)) * width + s * width // STRIPES))
+    cuts.append(offset[1:])
+    alive, got = np.arange(len(a)), np.zeros(len(a), np.int64)
+    need = _need(t, size[a], size[b])
+    for s in range(STRIPES):
+        x, y = a[alive], b[alive]
+        swap = (cuts[s + 1] - cuts[s])[x] > (cuts[s + 1] - cuts[s])[y]
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        n = (cuts[s + 1] - cuts[s])[x]
+        done = np.concatenate([[0], np.cumsum(n)])
+        here = 0
+        while here < len(x):
+            stop = max(here + 1, int(np.searchsorted(done, done[here] + PAIRS_AT_ONCE, side="right")) - 1)
+            wanted = code[spread(cuts[s][x[here:stop]], n[here:stop])] + np.repeat(y[here:stop] * width, n[here:stop])
+            hit = np.concatenate([[0], np.cumsum(key[np.minimum(np.searchsorted(key, wanted), len(key) - 1)] == wanted)])
+            edge = done[here : stop + 1] - done[here]
+            got[alive[here:stop]] += hit[edge[1:]] - hit[edge[:-1]]
+            here = stop
+        left = np.minimum(offset[1:][a[alive]] - cuts[s + 1][a[alive]], offset[1:][b[alive]] - cuts[s + 1][b[alive]])
+        alive = alive[got[alive] + left >= need[alive]]
+    return alive, got[alive]
+
+
+def labels_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least node of the connected component of each of n nodes."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        before = label.copy()
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        label = np.minimum(label, label[label])
+        while not np.array_equal(label, label[label]):
+            label = label[label]
+        if np.array_equal(label, before):
+            break
+    return label
+
+
+def _links(docs: DataFrame, n: int, threshold: float, finish, kind: str) -> tuple[DataFrame, DataFrame]:
+    """(finish's rows for each block of pairs, members). members: (doc_id, sig, n) as profiles() makes them."""
     t, spark = threshold, docs.sparkSession
     members, rank = profiles(docs, n)
-    holders = checkpointed(members.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in SKETCH]))
-    found = shared_table(to_blocks(_emit_prefixes(docs, n, t, rank)).mapInArrow(_multiply(t), "sa long, sb long").distinct(), "pairs")
-    side = lambda k: holders.select(F.col("sig").alias("s" + k), *[F.col(c).alias(c + k) for c in SKETCH])
-    drawn = found.join(side("a").hint("merge"), "sa").join(side("b").hint("merge"), "sb")
-    count = lambda f: sum((F.bit_count(f(str(k))) for k in range(BINS // 64)), F.lit(0))
-    c = F.col
-    both = count(lambda k: c(f"m{k}a").bitwiseAND(c(f"m{k}b")))
-    unlike = count(lambda k: c(f"m{k}a").bitwiseAND(c(f"m{k}b")).bitwiseAND(c(f"v{k}a").bitwiseXOR(c(f"v{k}b"))))
-    any_ = count(lambda k: c(f"m{k}a").bitwiseOR(c(f"m{k}b")))
-    open_pairs = checkpointed(drawn.where(both - 2 * unlike >= F.lit(t) * any_ - F.lit(SIGMAS) * F.sqrt(any_)).select("sa", "sb"))
-
-    # A pair goes where the least set near either end says, so a group of copies meets in one place.
-    ends = open_pairs.select("sa", "sb").union(open_pairs.select("sb", "sa")).toDF("sig", "other")
-    least = ends.groupBy("sig").agg(F.least(F.min("other"), F.first("sig")).alias("low"))
     blocks = n_blocks(spark)
+    holders = checkpointed(members.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.countDistinct("doc_id").alias("copies")))
+    tiles = to_blocks(_emit_prefixes(docs, n, t, rank)).mapInArrow(_multiply(t, blocks), TILE)
+    found = shared_table(to_blocks(tiles, "bucket").mapInArrow(_add(t), PAIR), "pairs")
+
+    # A pair goes where the least set near either end says, so a group of alike sets meets in one place.
+    least = checkpointed(found.union(found.select("sb", "sa")).toDF("sig", "other").groupBy("sig").agg(F.least(F.min("other"), F.first("sig")).alias("low")))
     placed = checkpointed(
-        open_pairs.join(least.select(F.col("sig").alias("sa"), F.col("low").alias("la")), "sa").join(least.select(F.col("sig").alias("sb"), F.col("low").alias("lb")), "sb")
+        found.join(least.toDF("sa", "la"), "sa").join(least.toDF("sb", "lb"), "sb")
         .select("sa", "sb", F.pmod(F.xxhash64(F.least("la", "lb")), F.lit(blocks)).cast("int").alias("block"))
     )
     wanted = placed.select(F.col("sa").alias("sig"), "block").union(placed.select(F.col("sb").alias("sig"), "block")).distinct()
-    targets = wanted.join(holders.select("sig", "doc_id"), "sig").groupBy("doc_id", "sig").agg(F.collect_set("block").alias("at"))
-    row_schema = pa.schema([("block", pa.int32()), ("sig", pa.int64()), ("h", pa.binary())])
+    targets = wanted.join(holders, "sig").groupBy("doc_id", "sig", "copies").agg(F.collect_set("block").alias("at"))
+    row_schema = pa.schema([("block", pa.int32()), ("sig", pa.int64()), ("copies", pa.int64()), ("h", pa.binary())])
 
     def rows(batches):
         for b in slices(batches, 2 << 20):
@@ -247,70 +322,71 @@ def set_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tupl
             starts = np.concatenate([[0], np.cumsum(size)])
             packed = np.ascontiguousarray((h >> U64(16)).view(np.uint8).reshape(-1, 8)[:, :6])  # 48 bits tell n-grams of two documents apart
             out = {k: [] for k in row_schema.names}
-            for i, (s, at) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
+            for i, (s, copies, at) in enumerate(zip(*(b.column(k).to_pylist() for k in (2, 3, 4)))):
                 if signed(sig[i : i + 1])[0] == s:
+                    row = packed[starts[i] : starts[i + 1]].tobytes()
                     for k in at:
-                        out["block"].append(k), out["sig"].append(s), out["h"].append(packed[starts[i] : starts[i + 1]].tobytes())
+                        for c, v in zip(out, (k, s, copies, row)):
+                            out[c].append(v)
             yield as_batch(row_schema, **out)
 
-    full = join_checked(id_and_text(docs), targets, "doc_id", "inner").select("doc_id", "text", "sig", "at").mapInArrow(rows, "block int, sig long, h binary")
-    out_type = "sa long, sb long, overlap long, n_union long"
+    full = join_checked(id_and_text(docs), targets, "doc_id", "inner").select("doc_id", "text", "sig", "copies", "at").mapInArrow(rows, "block int, sig long, copies long, h binary")
 
     def verify(left: pa.Table, right: pa.Table) -> pa.Table:
-        have = dict(zip(right.column("sig").to_pylist(), right.column("h")))
-
-        def row(s):
-            wide = np.zeros((len(have[s].as_buffer()) // 6, 8), np.uint8)
-            wide[:, :6] = np.frombuffer(have[s].as_buffer(), np.uint8).reshape(-1, 6)
-            return wide.view(U64).ravel()
-
-        a, b = np.asarray(left.column("sa")), np.asarray(left.column("sb"))
-        order = np.argsort(a, kind="stable")
-        a, b = a[order], b[order]
-        overlap, union = np.zeros(len(a), np.int64), np.ones(len(a), np.int64)
-        last, mine = None, None
-        for k in range(len(a)):
-            if a[k] != last:
-                last, mine = a[k], row(int(a[k]))
-            x, y = mine, row(int(b[k]))
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.searchsorted(y, x)
-            overlap[k] = np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x)
-            union[k] = len(x) + len(y) - overlap[k]
-        ok = overlap >= t * union - 1e-9
-        return pa.table({"sa": a[ok], "sb": b[ok], "overlap": overlap[ok], "n_union": union[ok]})
-
-    exact = placed.select("sa", "sb", "block").groupBy("block").cogroup(full.groupBy("block")).applyInArrow(verify, out_type)
-    return shared_table(exact, "verified"), members
+        sig = np.asarray(right.column("sig"))
+        sets, first = np.unique(sig, return_index=True)
+        right = right.take(pa.array(first))
+        cells = [c.as_buffer() for c in right.column("h")]
+        size = np.array([len(c) // 6 for c in cells], np.int64)
+        columns = np.zeros((int(size.sum()), 8), np.uint8)
+        columns[:, :6] = np.frombuffer(b"".join(cells), np.uint8).reshape(-1, 6)
+        a, b = np.searchsorted(sets, np.asarray(left.column("sa"))), np.searchsorted(sets, np.asarray(left.column("sb")))
+        ok, got = overlaps(a, b, np.concatenate([[0], np.cumsum(size)]), columns.view(U64).ravel(), t)
+        made = finish(sets, size, np.asarray(right.column("copies")), a[ok], b[ok], got)
+        trim()
+        return made
 
+    return shared_table(placed.groupBy("block").cogroup(full.groupBy("block")).applyInArrow(verify, kind), "links"), members
 
-def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """All pairs (doc_a < doc_b, overlap, n_union, jaccard) of documents whose sets of word n-grams
-    have a Jaccard similarity of at least the threshold.
 
-    A text of fewer than n tokens has one n-gram, its whole; a null, empty or token-free text has
-    none and pairs with nothing, nor does a row without doc_id. Rows that repeat a doc_id with the
-    same text count once. Ties don't arise: every pair over the threshold is returned. An empty
-    table gives no rows; extra columns aren't read.
+def set_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): pairs (sa, sb, overlap, n_union) of distinct n-gram sets at or over the
+    threshold, and members (doc_id, sig, n), which documents have which set (null: none)."""
+
+    def finish(sets, size, copies, a, b, got):
+        return pa.table({"sa": sets[a], "sb": sets[b], "overlap": got, "n_union": size[a] + size[b] - got})
+
+    return _links(docs, n, threshold, finish, "sa long, sb long, overlap long, n_union long")
+
+
+def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """One row for each doc_id: doc_id, class_id, n_links. Two documents are linked where their sets of
+    word n-grams have a Jaccard similarity of at least the threshold; n_links is how many others a
+    document is linked to, copies of one text counted each; class_id is the least doc_id of those that
+    links connect, the document's own where it has none. set_pairs() has the pairs of different sets.
+
+    A text of fewer than n tokens has one n-gram, its whole; a null, empty or token-free text has none
+    and no link. Rows without doc_id are left out. Rows that repeat a doc_id with the same text count
+    once; with different texts, the document stands for all of them, and its n_links adds up theirs.
+    Ties don't arise: every link counts. An empty table gives no rows; extra columns aren't read.
     """
-    pairs, members = set_pairs(docs, n, threshold)
-    members = members.select("doc_id", "sig", "n").distinct()
-    a = members.select(F.col("sig").alias("sa"), F.col("doc_id").alias("da"), F.col("n").alias("n_a"))
-    b = members.select(F.col("sig").alias("sb"), F.col("doc_id").alias("db"))
-    near = pairs.join(a, "sa").join(b, "sb").where("da <> db").select("da", "db", "overlap", "n_union")
-    same = a.join(b, F.col("sa") == F.col("sb")).where("da < db").select("da", "db", F.col("n_a").alias("overlap"), F.col("n_a").alias("n_union"))
-    return (
-        near.union(same).select(F.least("da", "db").alias("doc_a"), F.greatest("da", "db").alias("doc_b"), "overlap", "n_union")
-        .withColumn("jaccard", F.col("overlap").cast("double") / F.col("n_union"))
-    )
+
+    def finish(sets, size, copies, a, b, got):
+        links = np.bincount(a, weights=copies[b], minlength=len(sets)) + np.bincount(b, weights=copies[a], minlength=len(sets))
+        some = np.flatnonzero(links)
+        return pa.table({"sig": sets[some], "root": sets[labels_of(len(sets), a, b)][some], "links": links[some].astype(np.int64)})
+
+    found, members = _links(docs, n, threshold, finish, "sig long, root long, links long")
+    have = checkpointed(members.select("doc_id", "sig").distinct())
+    least = checkpointed(have.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("low"), (F.count("*") - 1).alias("copies")))
+    star = have.join(least, "sig").where("doc_id <> low").select(F.col("doc_id").alias("u"), F.col("low").alias("v"))
+    near = found.where("sig <> root").join(least.select("sig", F.col("low").alias("u")), "sig").join(least.select(F.col("sig").alias("root"), F.col("low").alias("v")), "root").where("u <> v").select("u", "v")
+    group = components(star.union(near))
+    links = least.join(found.groupBy("sig").agg(F.sum("links").alias("links")), "sig", "left").select("sig", (F.col("copies") + F.coalesce("links", F.lit(0))).alias("links"))
+    each = have.join(links, "sig", "left").groupBy("doc_id").agg(F.sum(F.coalesce("links", F.lit(0))).alias("n_links"))
+    return each.join(group.toDF("doc_id", "root"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"), "n_links")
 
 
 def near_duplicate_ids(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, root) of the documents to drop: all but the least doc_id of each group connected by
-    pairs over the threshold. Equal sets are joined to their least document by a star."""
-    pairs, members = set_pairs(docs, n, threshold)
-    least = members.groupBy("sig").agg(F.min("doc_id").alias("low"))
-    star = members.join(least, "sig").where("doc_id <> low").select(F.col("doc_id").alias("u"), F.col("low").alias("v"))
-    linked = pairs.join(least.toDF("sa", "u"), "sa").join(least.toDF("sb", "v"), "sb").where("u <> v").select("u", "v")
-    return components(star.union(linked)).where("node <> root").select(F.col("node").alias("doc_id"), "root")
+    """(doc_id, root) of the documents to drop: all but the least doc_id of each class of ngram_jaccard_join(), whose cases hold here too."""
+    return ngram_jaccard_join(docs, n, threshold).where("doc_id <> class_id").select("doc_id", F.col("class_id").alias("root"))

@@ -32,9 +32,14 @@ grams as (select distinct doc_id, unnest(case when len(w) >= {jaccard.N}
     else [array_to_string(w, ' ')] end) as g from words where len(w) > 0),
 sizes as (select doc_id, count(*) as n from grams group by doc_id),
 shared as (select a.doc_id as doc_a, b.doc_id as doc_b, count(*) as overlap from grams a join grams b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2)"""
-JACCARD_SQL = f"""with {_SHINGLES}
-select doc_a, doc_b, overlap, x.n + y.n - overlap as n_union, overlap::double / (x.n + y.n - overlap) as jaccard
-from shared join sizes x on x.doc_id = doc_a join sizes y on y.doc_id = doc_b where overlap >= {jaccard.THRESHOLD} * (x.n + y.n - overlap)"""
+JACCARD_SQL = f"""with recursive {_SHINGLES},
+pairs as (select doc_a, doc_b from shared join sizes x on x.doc_id = doc_a join sizes y on y.doc_id = doc_b where overlap >= {jaccard.THRESHOLD} * (x.n + y.n - overlap)),
+links as (select doc_a as a, doc_b as b from pairs union all select doc_b, doc_a from pairs),
+reach(a, b) as (select distinct a, a from links union select reach.a, links.b from reach join links on links.a = reach.b),
+classes as (select a, min(b) as class_id from reach group by a),
+degrees as (select a, count(*) as n_links from links group by a)
+select doc_id, coalesce(class_id, doc_id) as class_id, coalesce(n_links, 0) as n_links
+from (select distinct doc_id from documents where doc_id is not null) left join classes c on c.a = doc_id left join degrees d on d.a = doc_id"""
 
 DECONTAM_SQL = f"""with
 d as (select doc_id, {_WORDS.format('text')} as w from documents where doc_id is not null and text is not null),

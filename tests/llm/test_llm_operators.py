@@ -36,13 +36,7 @@ def brute_pairs(t=0.5, n=3):
     return out
 
 
-@pytest.mark.parametrize("threshold,n", [(0.5, 3), (0.8, 2), (0.3, 1)])
-def test_jaccard_is_exact(docs, threshold, n):
-    got = {(r.doc_a, r.doc_b): (r.overlap, r.n_union) for r in jaccard.ngram_jaccard_join(docs, n, threshold).collect()}
-    assert got == brute_pairs(threshold, n)
-
-
-def test_jaccard_groups_keep_one(docs, clashing, empty):
+def brute_classes(pairs):
     parent = {d: d for d in texts()}
 
     def find(x):
@@ -50,10 +44,63 @@ def test_jaccard_groups_keep_one(docs, clashing, empty):
             x = parent[x]
         return x
 
-    for a, b in brute_pairs():
+    for a, b in pairs:
         a, b = sorted((find(a), find(b)))
         parent[b] = a
-    want = {d: find(d) for d in parent if find(d) != d}
+    return {d: find(d) for d in parent}
+
+
+@pytest.mark.parametrize("threshold,n", [(0.5, 3), (0.8, 2), (0.3, 1)])
+def test_jaccard_is_exact(docs, clashing, threshold, n):
+    want = brute_pairs(threshold, n)
+    pairs, members = jaccard.set_pairs(docs, n, threshold)
+    holds = {}
+    for r in members.where("sig is not null").collect():
+        holds.setdefault(r.sig, set()).add(r.doc_id)
+    got = {(min(a, b), max(a, b)): (r.overlap, r.n_union) for r in pairs.collect() for a in holds[r.sa] for b in holds[r.sb]}
+    assert len(got) == sum(len(holds[r.sa]) * len(holds[r.sb]) for r in pairs.collect())
+    equal = {(a, b) for h in holds.values() for a in h for b in h if a < b}
+    assert not equal & set(got) and {k: v for k, v in want.items() if k not in equal} == got and equal <= set(want)
+    classes, links = brute_classes(want), [x for pair in want for x in pair]
+    everyone = {r[0] for r in corpus_rows() if r[0] is not None}
+    for frame in (docs, clashing):
+        rows = jaccard.ngram_jaccard_join(frame, n, threshold).collect()
+        assert {r.doc_id: (r.class_id, r.n_links) for r in rows} == {d: (classes.get(d, d), links.count(d)) for d in everyone} and len(rows) == len(everyone)
+
+
+def test_jaccard_of_a_hot_group(spark):
+    """One group of near copies holds a third of all rows; another third is one text; all share a passage. None may be lost."""
+    import random
+
+    rng = random.Random(3)
+    base, passage = [f"b{k}" for k in range(60)], " ".join(f"p{k}" for k in range(30))
+    rows = []
+    for d in range(200):
+        w = list(base)
+        w[rng.randrange(60)] = f"x{d}"
+        rows.append((d, " ".join(w)))
+    rows += [(d, "one text " + passage) for d in range(200, 400)] + [(d, " ".join(f"u{d}v{k}" for k in range(60)) + " " + passage) for d in range(400, 600)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {d: grams(t) for d, t in rows[:200]}
+    for d in range(200):
+        assert got[d] == (0, sum(2 * len(sets[d] & s) >= len(sets[d] | s) for e, s in sets.items() if e != d))
+    assert all(got[d] == (200, 199) for d in range(200, 400)) and all(got[d] == (d, 0) for d in range(400, 600))
+
+
+def test_jaccard_tiles_round_trip():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    sig, size = np.unique(rng.integers(-(2**62), 2**62, 50)), rng.integers(1, 9, 50)
+    pair = np.unique(rng.integers(0, 50 * 50, 400))
+    a, b, count = pair // 50, pair % 50, rng.integers(1, 300, len(pair))
+    made = jaccard.pack(sig, size, a, b, count, 7)
+    got = [np.stack(jaccard.unpack(n, m, d.as_buffer())) for n, m, d in zip(made["n_sets"].to_pylist(), made["n_pairs"].to_pylist(), made["data"])]
+    assert sorted(np.hstack(got).T.tolist()) == sorted(np.stack([sig[a], sig[b], size[a], size[b], count]).T.tolist())
+
+
+def test_jaccard_groups_keep_one(docs, clashing, empty):
+    want = {d: r for d, r in brute_classes(brute_pairs()).items() if r != d}
     for frame in (docs, clashing):
         assert {r.doc_id: r.root for r in jaccard.near_duplicate_ids(frame).collect()} == want
     assert jaccard.ngram_jaccard_join(empty).count() == 0 and jaccard.near_duplicate_ids(empty).count() == 0
