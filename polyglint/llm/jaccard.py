@@ -148,6 +148,11 @@ TILE = "bucket int, n_sets int, n_pairs int, data binary"
 TILE_SCHEMA = pa.schema([("bucket", pa.int32()), ("n_sets", pa.int32()), ("n_pairs", pa.int32()), ("data", pa.binary())])
 
 
+def planes(x: np.ndarray) -> np.ndarray:
+    """The numbers' lowest bytes, then the next, and so on: those that are mostly 0 compress to nothing."""
+    return np.ascontiguousarray(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T)
+
+
 def pack(sig: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, count: np.ndarray, buckets: int) -> pa.RecordBatch:
     """Tiles of partial counts, one for each bucket of left sets. a and b index sig (ascending) and size; pairs sorted by (a, b).
     Pairs of a group of alike sets are neighbours, so their differences and counts compress to a byte or so a pair."""
@@ -161,7 +166,7 @@ def pack(sig: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, count:
         x, y = local[:n], local[n:]
         step = np.diff(x, prepend=0)
         ahead = np.where(np.concatenate([[True], step[1:] != 0]), y, np.diff(y, prepend=0))
-        data = b"".join(v.tobytes() for v in (sig[used], size[used].astype(np.uint32), step.astype(np.uint32), ahead.astype(np.uint32), count[part].astype(np.uint32)))
+        data = b"".join(v.tobytes() for v in (sig[used], *map(planes, (size[used], step, ahead, count[part]))))
         for c, v in zip(out, (int(bucket[part[0]]), len(used), int(n), codec.compress(data, asbytes=True))):
             out[c].append(v)
     return as_batch(TILE_SCHEMA, **out)
@@ -170,8 +175,9 @@ def pack(sig: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, count:
 def unpack(n_sets: int, n_pairs: int, data: pa.Buffer):
     """(left set, right set, their sizes, count) of a tile's pairs."""
     raw = pa.Codec("zstd").decompress(data, 12 * n_sets + 12 * n_pairs)
-    sig, size = np.frombuffer(raw, np.int64, n_sets), np.frombuffer(raw, np.uint32, n_sets, 8 * n_sets).astype(np.int64)
-    step, ahead, count = np.frombuffer(raw, np.uint32, 3 * n_pairs, 12 * n_sets).reshape(3, -1).astype(np.int64)
+    number = lambda n, at: np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, at).reshape(4, n).T).view(np.uint32).ravel().astype(np.int64)
+    sig, size = np.frombuffer(raw, np.int64, n_sets), number(n_sets, 8 * n_sets)
+    step, ahead, count = (number(n_pairs, 12 * n_sets + 4 * n_pairs * k) for k in range(3))
     a = np.cumsum(step)
     head, length = runs(a)
     total = np.cumsum(ahead)
