@@ -18,7 +18,7 @@ QUERIES = {
     "op6_suffix_array_copies": lambda s, d: lpf.find_copies(_table(s, d, "documents")),
     "op7_warc_derivatives": lambda s, d: warc.build(_table(s, d, "pages")),
     "op8_license_scan": lambda s, d: license.scan(_table(s, d, "documents")),
-    "op9_exact_dedup": lambda s, d: exact.exact_dedup(_table(s, d, "documents")),
+    "op9_exact_dedup": lambda s, d: exact.two_loads(_table(s, d, "documents")),
     "op10_lm_scores": lambda s, d: lm.score(_table(s, d, "documents")),
 }
 
@@ -72,7 +72,9 @@ found as ({each})
 select doc_id, license, (len(before) - len(replace(before, ' ', ''))) // 2 as first_token, (len(found[1]) - len(replace(found[1], ' ', ''))) // 2 as n_tokens, len(found) as n_places from found"""
 
 
-EXACT_SQL = "select min(doc_id) as doc_id, sha256(text) as digest, count(*) as n_copies from documents where text is not null group by text"
+EXACT_SQL = """with rows_ as (select doc_id, text, case when coalesce(((doc_id % 2) + 2) % 2 = 1, false) then 1 else 2 end as load from documents where text is not null)
+select load, min(doc_id) as doc_id, sha256(text) as digest, count(*) as n_copies from rows_ r
+where load = 1 or text not in (select text from rows_ where load = 1) group by load, text"""
 
 ORACLE_SQL = {
     "op1_ngram_jaccard_join": JACCARD_SQL,

@@ -219,9 +219,9 @@ def test_exact_dedup_and_its_index(spark, docs, clashing, empty, tmp_path):
     half = docs.where("doc_id < 50")
     first = {r.doc_id for r in exact.exact_dedup(half, path, 4).collect()}
     assert first == {min(i for i in ids if i is not None) for t, ids in by_text.items() if any(i is not None and i < 50 for i in ids)}
-    rest = exact.exact_dedup(docs, path, 4).collect()
+    rest = exact.exact_dedup(docs, path).collect()
     assert not first & {r.doc_id for r in rest} and first | {r.doc_id for r in rest} == {d for d, _ in want}
-    assert exact.exact_dedup(docs, path, 4).count() == 0
+    assert exact.exact_dedup(docs, path).count() == 0
     assert {(r.doc_id, r.n_copies) for r in exact.exact_dedup(docs).collect()} == want
     kept = exact.keep_first(clashing)
     assert kept.columns == clashing.columns
@@ -229,6 +229,45 @@ def test_exact_dedup_and_its_index(spark, docs, clashing, empty, tmp_path):
     assert kept.where("text is null").count() == 1 and exact.keep_first(empty).count() == 0 and exact.exact_dedup(empty).count() == 0
 
 
+def test_index_keeps_its_buckets(spark, tmp_path):
+    """Reopened under another shuffle setting an index still knows every text; another number of buckets is refused."""
+    path = f"file://{tmp_path}/index"
+    frame = spark.range(400).selectExpr("id as doc_id", "concat('text ', id) as text")
+    had = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        assert exact.exact_dedup(frame, path).count() == 400
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+        assert exact.exact_dedup(frame.union(spark.range(400, 410).selectExpr("id as doc_id", "concat('text ', id) as text")), path).count() == 10
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", had)
+    with pytest.raises(ValueError):
+        exact.exact_dedup(frame, path, 5)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("digest_index_")]
+    spark.range(1).write.parquet(f"{tmp_path}/other")
+    with pytest.raises(ValueError):
+        exact.exact_dedup(frame, f"file://{tmp_path}/other")
+
+
+def test_a_load_may_be_repeated(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    frame = spark.range(50).selectExpr("id as doc_id", "concat('text ', id) as text")
+    first = rows_of(exact.exact_dedup(frame.where("doc_id < 20"), path, batch="a"))
+    assert len(first) == 20 and rows_of(exact.exact_dedup(frame.where("doc_id < 20"), path, batch="a")) == first
+    assert exact.exact_dedup(frame, path, batch="b").count() == 30
+    index = exact.DigestIndex(spark, path)
+    assert index.table().count() == 50
+    index.close()
+
+
+def test_two_loads(docs, empty):
+    odd = {r[1] for r in corpus_rows() if r[0] is not None and r[0] % 2}
+    got = exact.two_loads(docs).collect()
+    second = {r[1] for r in corpus_rows() if r[1] is not None} - odd
+    assert sum(r.load == 1 for r in got) == len(odd - {None}) and sum(r.load == 2 for r in got) == len(second)
+    assert exact.two_loads(empty).count() == 0
+
+
 def test_index_plan_is_a_sort_merge_anti_join(spark, docs, tmp_path):
     index = exact.DigestIndex(spark, f"file://{tmp_path}/i", 4)
     exact.new_documents(docs, index)
