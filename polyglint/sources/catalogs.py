@@ -136,36 +136,93 @@ def substitution_problems(units_: DataFrame, subs: DataFrame) -> DataFrame:
     return a.unionByName(subs.select(on).join(used, on, "left_anti").withColumn("problem", F.lit("not referred to")))
 
 
-def merge_units(data: bytes, plan: list[dict]) -> bytes:
-    """A catalog file's bytes with units put in: rows key, language, path, value, state. All other fields stay as they are."""
+def merge_units(data: bytes, plan: list[dict], edits: list[dict] = ()) -> bytes:
+    """A catalog file's bytes with units put in: rows key, language, path, value, state. All other fields stay as they are.
+
+    A flat text takes the place of variations and substitutions (the plan refuses it unless flattening was asked for); a
+    plural's or a device's takes that of a flat text; a substitution's goes into the substitution, which must be there.
+    edits come first: rows action, key, value. 'remove' a key; 'rename' it to value, with all below it; set its
+    'comment' to value; 'register' it, value being its extraction state or null, unless it is there.
+    """
     root = loads(data)
+    strings = root["strings"]
+    for r in edits:
+        key, value = r["key"], r["value"]
+        if r["action"] == "register":
+            strings.setdefault(key, {} if value is None else {"extractionState": value})
+        elif r["action"] == "comment":
+            strings.setdefault(key, {})["comment"] = value
+        elif r["action"] == "remove":
+            strings.pop(key, None)
+        elif r["action"] == "rename":
+            if value in strings and value != key:
+                raise ValueError(f"the key {value!r} exists")
+            if key in strings:
+                root["strings"] = strings = {value if k == key else k: v for k, v in strings.items()}
+                source = root.get("sourceLanguage")
+                if source:  # a key that was its own text keeps that text
+                    strings[value].setdefault("localizations", {}).setdefault(source, {"stringUnit": {"state": "translated", "value": key}})
+        else:
+            raise ValueError(f"unknown action {r['action']!r}")
     for r in plan:
-        loc = root["strings"].setdefault(r["key"], {}).setdefault("localizations", {}).setdefault(r["language"], {})
+        loc = strings.setdefault(r["key"], {}).setdefault("localizations", {}).setdefault(r["language"], {})
         unit = {"state": r["state"] or "translated", "value": r["value"]}
         if not r["path"]:
+            loc.pop("variations", None)
+            loc.pop("substitutions", None)
             loc["stringUnit"] = unit
             continue
         steps = r["path"].split(".")
+        if steps[0] == "substitutions":
+            made = loc.get("substitutions", {})
+            if steps[1] not in made:
+                raise ValueError(f"{r['key']!r} has no substitution {steps[1]!r} in {r['language']}")
+            loc, steps = made[steps[1]], steps[2:]
+        else:
+            loc.pop("stringUnit", None)
         for kind, case in zip(steps[::2], steps[1::2]):
             loc = loc.setdefault("variations", {}).setdefault(kind, {}).setdefault(case, {})
         loc["stringUnit"] = unit
     return dumps(root).encode()
 
 
-def save(spark: SparkSession, root: str, plan: DataFrame) -> DataFrame:
-    """(catalog, content) of the catalogs below root that the plan (catalog, key, language, path, value, state, action) changes."""
+def save(spark: SparkSession, root: str, plan: DataFrame, edits: DataFrame | None = None) -> DataFrame:
+    """(catalog, content) of the catalogs below root that the plan (catalog, key, language, path, value, state, action) or the
+    edits (catalog, action, key, value) change; store() puts them in place."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.xcstrings").load(root).select(F.col("path").alias("catalog"), "content")
-    rows = plan.where("action in ('created', 'updated')").select("catalog", "key", "language", "path", "value", "state")
+    lit = lambda c: F.lit(None).cast("string").alias(c)
+    rows = plan.where("action in ('created', 'updated')").select("catalog", lit("action"), "key", "language", "path", "value", "state")
+    if edits is not None:
+        rows = rows.unionByName(edits.select("catalog", "action", "key", lit("language"), lit("path"), "value", lit("state")))
 
     def put(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"catalog": pd.Series([], dtype=str), "content": pd.Series([], dtype=object)})
-        ordered = right.sort_values(["key", "language", "path"]).to_dict("records")
-        return pd.DataFrame({"catalog": [left["catalog"][0]], "content": [merge_units(bytes(left["content"][0]), ordered)]})
+        right = right.astype(object).where(right.notna(), None).sort_values(["key", "language", "path"], na_position="first")
+        new = right["action"].isna()
+        content = merge_units(bytes(left["content"][0]), right[new].to_dict("records"), right[~new].to_dict("records"))
+        return pd.DataFrame({"catalog": [left["catalog"][0]], "content": [content]})
 
     return files.groupBy("catalog").cogroup(rows.groupBy("catalog")).applyInPandas(put, "catalog string, content binary")
 
 
+def store(contents: DataFrame) -> int:
+    """Write save()'s catalogs over the files they came from, each whole under another name first; how many."""
+
+    def write(batches):
+        from pyarrow import fs
+
+        for b in batches:
+            for path, content in zip(b["catalog"], b["content"]):
+                system, at = fs.FileSystem.from_uri(path)
+                with system.open_output_stream(at + ".new") as out:
+                    out.write(bytes(content))
+                system.move(at + ".new", at)
+            yield pd.DataFrame({"n": [len(b)]})
+
+    return contents.mapInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+
+
 def owner(path: str) -> str:
     """The directory a catalog belongs to, its .lproj folder passed over."""
     folder = posixpath.dirname(path)

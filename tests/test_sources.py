@@ -96,6 +96,34 @@ def test_catalog_write_keeps_the_rest(spark, project):
     assert written == want
 
 
+def test_catalog_writes_by_shape(spark, project, tmp_path):
+    """A plan's file holds what the units hold: substitutions stay where they are, what a text replaces goes."""
+    import shutil
+
+    shutil.copytree(project, tmp_path / "p")
+    root = str(tmp_path / "p")
+    path = catalogs.catalogs(catalogs.read_catalogs(spark, root)).first().catalog
+    rows = [("Save", "de", "device.mac", "Sichern!"), ("posts", "en", "substitutions.count.plural.one", "%arg post"), ("%lld items", "pl", "", "flat")]
+    plan = spark.createDataFrame([(path, *r, "translated", "updated") for r in rows], "catalog string, key string, language string, path string, value string, state string, action string")
+    edits = spark.createDataFrame([(path, "register", "New", "manual"), (path, "comment", "New", "why"), (path, "rename", "Save", "save.title"), (path, "remove", "", None)], "catalog string, action string, key string, value string")
+    before = json.loads(json.dumps(CATALOG["strings"]))
+    assert catalogs.store(catalogs.save(spark, root, plan.where("key <> 'Save'"), edits)) == 1
+    after = catalogs.read_catalogs(spark, root)
+    units = {(r.key, r.language, r.scope, r.path): r.value for r in catalogs.units(after).collect()}
+    assert units["posts", "en", "sub", "plural.one"] == "%arg post" and units["posts", "en", "sub", "plural.other"] == "%arg posts"
+    assert {k[3] for k in units if k[:2] == ("%lld items", "pl")} == {""} and units["%lld items", "pl", "top", ""] == "flat"
+    assert units["save.title", "de", "top", ""] == "Sichern" and units["save.title", "en", "top", ""] == "Save"
+    keys = {r.key: r for r in catalogs.entries(after).collect()}
+    assert set(keys) == set(before) - {"Save", ""} | {"save.title", "New"} and keys["New"].comment == "why" and keys["New"].extraction_state == "manual"
+    data = json.dumps({"sourceLanguage": "en", "version": "1.0", "strings": {"Save": before["Save"]}}).encode()
+    device = loads(catalogs.merge_units(data, [dict(key="Save", language="de", path="device.mac", value="x", state=None)]))
+    assert device["strings"]["Save"]["localizations"]["de"] == {"variations": {"device": {"mac": {"stringUnit": {"state": "translated", "value": "x"}}}}}
+    with pytest.raises(ValueError):
+        catalogs.merge_units(data, [dict(key="Save", language="de", path="substitutions.n.plural.one", value="x", state=None)])
+    with pytest.raises(ValueError):
+        catalogs.merge_units(data, [], [dict(action="rename", key="a", value="Save")])
+
+
 def trans_unit(id, source, target="", note=""):
     return f"<trans-unit id='{id}'>\n<source>{source}</source>{target}{note}</trans-unit>"
 
