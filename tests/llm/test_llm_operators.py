@@ -148,12 +148,66 @@ def test_repeats_in_a_hot_passage(spark):
         assert got == {(d, 8, 60, 0, 8) for d in range(1, 1500)}
 
 
+def test_equal_passages_have_equal_symbols():
+    """Whatever surrounds it, a passage has the same symbols where it holds all that they depend on; so has what Spark names."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    mix = lambda n: rng.integers(1, 9, n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    passage = np.concatenate([mix(120), np.full(30, 5, np.uint64), mix(120)])
+    seen = []
+    for _ in range(2):
+        before = int(rng.integers(5, 90))
+        tok = np.concatenate([mix(before), passage, mix(40)])
+        s = recompress.start(tok, np.zeros(len(tok), np.int32))
+        for j in range(6):
+            s = recompress.step(s, j)
+        inside = (s.left >= before) & (s.right < before + len(passage))
+        seen.append([tuple(x) for x in np.stack([s.name[inside], s.begin[inside] - before]).T.tolist()])
+    assert len(seen[0]) > 10 and seen[0] == seen[1]
+
+
+def test_tokens_decide_where_fingerprints_collide():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    k, a, b = 6, rng.integers(1, 99, 20).astype(np.uint64), rng.integers(1, 99, 20).astype(np.uint64)
+    tok = np.concatenate([a, b, a, b])
+    args = (np.zeros(4, np.uint64), np.arange(4), np.zeros(4, np.int64), np.full(4, 15, np.int64), tok, k)
+    want = recompress.verified(*args)
+    got = recompress.verified(*args, prints=lambda t, n: np.zeros(len(t) - n + 1, np.uint64))
+    assert got.equals(want) and [(r["doc_id"], r["first_doc_id"]) for r in got.to_pylist()] == [(2, 0), (3, 1)]
+
+
+def test_repeats_over_rounds_and_blocks(spark, monkeypatch):
+    """Long texts of few different words, runs among them, cut into many slices: nothing is lost in naming."""
+    import random
+
+    rng = random.Random(2)
+    parts = [" ".join(rng.choice("abcd") if rng.random() < 0.7 else "a a a" for _ in range(rng.randint(20, 200))) for _ in range(12)]
+    rows = [(d, " ".join(rng.choice(parts) for _ in range(rng.randint(1, 5)))) for d in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    k, first, hit = 50, {}, {}
+    for d, t in rows:
+        w = t.split()
+        for p in range(len(w) - k + 1):
+            if tuple(w[p : p + k]) in first:
+                hit.setdefault(d, set()).update(range(p, p + k))
+            else:
+                first[tuple(w[p : p + k])] = d
+    for find in (recompress.find_repeats, lpf.find_copies):
+        got = {}
+        for r in find(frame, k).collect():
+            got.setdefault(r.doc_id, set()).update(range(r.start, r.start + r.n_tokens))
+        assert got == hit
+
+
 def test_lpf_by_hand():
     import numpy as np
 
     text = np.array([1, 2, 3, 1, 2, 3, 1, 9, 2, 3, 1, 100])
     at = np.arange(11)
-    length, source = lpf.longest_previous(text, at, at, 1, 16)
+    length, source = lpf.longest_previous(text, at, at, 1)
     brute = []
     for i in range(11):
         best = 0
@@ -167,6 +221,18 @@ def test_lpf_by_hand():
     assert all(text[s] == text[i] for i, s in zip(at, source))
 
 
+def test_lpf_of_a_long_repeat():
+    """Factors far longer than k are told in full."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    part = rng.integers(0, 50, 700)
+    text = np.concatenate([part, rng.integers(0, 50, 9), part, [1000]])
+    at = np.arange(len(text))
+    length, source = lpf.longest_previous(text, at, at, 50)
+    assert length[709:].tolist()[:651] == list(range(700, 49, -1)) and source[709] == 0 and length[:709].max() == 0
+
+
 def brute_matches(tests, coverage=decontam.COVERAGE, slack=decontam.SLACK):
     out = {}
     for d, x in texts().items():
