@@ -35,12 +35,12 @@ def least_gram(tok: np.ndarray, k: int, gram: int = GRAM) -> tuple[np.ndarray, n
     return h, np.minimum(low[: len(low) - rest], low[rest:])
 
 
-def ranks(symbols: np.ndarray, depth: int) -> dict[int, np.ndarray]:
-    """Rank of each suffix by its first 1, 2, 4, ... depth symbols."""
+def ranks(symbols: np.ndarray) -> dict[int, np.ndarray]:
+    """Rank of each suffix by its first 1, 2, 4, ... symbols, until all ranks differ."""
     _, rank = np.unique(symbols, return_inverse=True)
     rank, size = rank.astype(np.int64), 1
     out = {1: rank.astype(np.int32)}
-    while size < depth:
+    while len(rank) and rank.max() < len(rank) - 1 and size < len(rank):
         following = np.zeros(len(rank), np.int64)
         following[:-size] = rank[size:] + 1
         key = (rank << 32) | following
@@ -54,7 +54,7 @@ def ranks(symbols: np.ndarray, depth: int) -> dict[int, np.ndarray]:
 
 
 def common_prefix(rank: dict[int, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Length of what suffixes a and b share, up to twice the deepest rank less one."""
+    """Length of what suffixes a and b share."""
     n, length = len(rank[1]), np.zeros(len(a), np.int64)
     for size in sorted(rank, reverse=True):
         x, y = np.minimum(a + length, n - 1), np.minimum(b + length, n - 1)
@@ -75,15 +75,13 @@ def smaller_before(key: np.ndarray, group: np.ndarray) -> np.ndarray:
     return before
 
 
-def longest_previous(symbols: np.ndarray, suffixes: np.ndarray, place: np.ndarray, k: int, depth: int | None = None):
+def longest_previous(symbols: np.ndarray, suffixes: np.ndarray, place: np.ndarray, k: int):
     """LPF of the given suffixes: (length, 0 below k; the earliest suffix sharing k symbols). place: each suffix's order in the corpus.
 
-    symbols: texts end to end, each closed by a symbol of its own. Suffixes are sorted by `depth` symbols, k
-    rounded up to a power of two by default; a factor longer than that may be told shorter, by no less than depth.
+    symbols: texts end to end, each closed by a symbol of its own, so factors are told in full length.
     """
-    depth = depth or 1 << (k - 1).bit_length()
-    rank = ranks(symbols, depth)
-    order = np.lexsort((place, rank[depth][suffixes]))
+    rank = ranks(symbols)
+    order = np.argsort(rank[max(rank)][suffixes], kind="stable")
     s, p = suffixes[order], place[order]
     near = common_prefix(rank, s[:-1], s[1:]) if len(s) > 1 else np.zeros(0, np.int64)
     group = np.concatenate([[0], np.cumsum(near < k)]) if len(s) else np.zeros(0, np.int64)
