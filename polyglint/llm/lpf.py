@@ -130,7 +130,7 @@ def find_copies(docs: DataFrame, k: int = K) -> DataFrame:
             size = count + k - 1
             where = spread(first, size)
             again = np.add.reduceat(gram[np.minimum(where, len(gram) - 1)] == np.repeat(anchor, size), np.cumsum(size) - size, dtype=np.int64)
-            yield rows_by_block(blocks, anchor, np.asarray(b.column(0))[doc[first]], first - begins[doc[first]], count, again > 1, (tok[where] >> U64(32)).astype(np.uint32), size, codec)
+            yield rows_by_block(blocks, anchor, np.asarray(b.column(0))[doc[first]], first - begins[doc[first]], count, again > 1, (tok[where] >> U64(32)).astype(np.uint32), size, lambda x: codec.compress(x.tobytes(), asbytes=True))
 
     def meet(batches):
         codec = pa.Codec("zstd")

@@ -9,9 +9,10 @@ knows the tokens its existence depends on; where a window of K tokens holds them
 window holds the same symbol. So a symbol that got no name, being the only one, rules out all windows that
 hold what it depends on, and it is closed: nothing is paired with it or counted on it again. Rounds go
 on until no symbol that a window can hold is new. What is left are windows all of whose interior symbols
-are shared. A window's anchor is the least name among its interior symbols of the highest round that has any (its
-least token's, if none); windows of one anchor meet in a block, with their tokens, and repeats are
-verified token by token.
+are shared. A window's anchor is the least name among its interior symbols in the first round that finds any in it (its
+least token's, if none does); windows of one anchor meet in a block, with their tokens, and repeats are
+verified token by token. Symbols of later rounds only rule out: a window holds few of them, so as anchors they would
+cut what is sent into short pieces.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, block_of, id_and_text, mix, n_blocks, runs, shared_table, slices, spread, to_blocks, tokenize, trim
+from .common import U64, block_of, drop_table, id_and_text, mix, n_blocks, runs, shared_table, slices, spread, to_blocks, tokenize, trim
 from .spans import HITS, K, ROW, hits, rows_by_block, segments, union_spans
 
-FIRST, STEPS = 4, 1  # steps in the first round and in others
+FIRST, STEPS = 4, 2  # steps in the first round and in others
 SLICE = 4 << 20
 _B = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_B, -1, 1 << 64)
@@ -130,7 +131,7 @@ def settle(s: Symbols, alive: np.ndarray, anchor: np.ndarray, k: int) -> tuple[S
     alive = alive & (np.cumsum(change)[:-1] == 0)
     s.shut = s.shut | dead
     live = s.take(~s.shut)
-    windows = np.flatnonzero(alive)
+    windows = np.flatnonzero(alive & (anchor == 0))
     low = np.searchsorted(live.left, windows, side="left")
     width = np.searchsorted(live.right, windows + k - 1, side="right") - low
     has = width > 0
@@ -262,9 +263,19 @@ def advance(state: pa.Table, answers: pa.Table, turn: int, blocks: int, k: int)
     return table_of(stored(row["slice"].as_py(), blocks, docs, count, tok, s, alive, anchor, k))
 
 
+def coded(tok: np.ndarray) -> bytes:
+    words, code = np.unique(tok, return_inverse=True)
+    words = squeeze(words)
+    return len(words).to_bytes(8, "little") + words + squeeze(code.astype(np.uint32))
+
+
+def decoded(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    return expand(data[8 : 8 + n], U64)[expand(data[8 + n :], np.uint32)]
+
+
 def reveal(batches, blocks: int, k: int):
     """Windows still in question after the last round, to blocks by anchor, with their tokens."""
-    codec = pa.Codec("zstd", 1)
     for b in batches:
         for r in range(b.num_rows):
             docs, count, tok, alive, anchor, _, _ = restored({c: b.column(c)[r] for c in b.schema.names}, k)
@@ -278,7 +289,7 @@ def reveal(batches, blocks: int, k: int):
             first, n, name = segments(anchor[windows], windows, doc)
             size = n + k - 1
             begins = np.cumsum(count) - count
-            yield rows_by_block(blocks, name, docs[doc[first]], first - begins[doc[first]], n, np.zeros(len(first)), tok[spread(first, size)], size, codec)
+            yield rows_by_block(blocks, name, docs[doc[first]], first - begins[doc[first]], n, np.zeros(len(first)), tok[spread(first, size)], size, coded)
     trim()
 
 
@@ -319,14 +330,11 @@ def verified(anchor, doc, begin, count, tok, k: int, prints=window_prints):
 
 
 def meet(batches, k: int):
-    codec = pa.Codec("zstd")
     anchor, doc, begin, count, content = [], [], [], [], []
     for b in batches:
         for kind, into, column in ((U64, anchor, 1), (np.int64, doc, 2), (np.int64, begin, 3), (np.uint32, count, 4)):
             into += [np.frombuffer(c.as_buffer(), kind) for c in b.column(column)]
-        for c, n in zip(b.column(6), b.column(4)):
-            size = np.frombuffer(n.as_buffer(), np.uint32).astype(np.int64) + k - 1
-            content.append(np.frombuffer(codec.decompress(c.as_buffer(), int(8 * size.sum())), U64))
+        content += [decoded(c.as_py()) for c in b.column(6)]
     if anchor:
         anchor, doc, begin, count, content = map(np.concatenate, (anchor, doc, begin, count, content))
         found = verified(anchor, doc, begin, count.astype(np.int64), content, k)
@@ -353,7 +361,8 @@ def find_repeats(docs: DataFrame, k: int = K) -> DataFrame:
     while not state.where("kind = 1").isEmpty():  # each round joins symbols, and those that outgrow k tokens are closed, so rounds end
         names = to_blocks(state.where("kind = 1").select("slice", "block", "n", "known", "which")).mapInArrow(naming(turn), "slice long, block int, names binary")
         both = state.where("kind = 0").groupBy("slice").cogroup(names.groupBy("slice"))
-        state = shared_table(both.applyInArrow(advancing(turn), STATE), "recompress")
+        before, state = state, shared_table(both.applyInArrow(advancing(turn), STATE), "recompress")
+        drop_table(before)
         turn += 1
     packed = state.where("kind = 0").mapInArrow(lambda batches: reveal(batches, blocks, k), ROW)
     return union_spans(to_blocks(packed).mapInArrow(lambda batches: meet(batches, k), HITS))

@@ -32,8 +32,8 @@ def segments(anchor: np.ndarray, windows: np.ndarray, doc: np.ndarray) -> tuple[
     return windows[at], np.diff(np.append(at, len(windows))), anchor[at]
 
 
-def rows_by_block(blocks: int, anchor, doc_id, start, windows, flag, content, size, codec=None):
-    """A packed row for each block. content: array whose pieces of `size` elements belong to the segments, in order."""
+def rows_by_block(blocks: int, anchor, doc_id, start, windows, flag, content, size, pack):
+    """A packed row for each block. content: array whose pieces of `size` elements belong to the segments, in order; pack: bytes of such."""
     route = mix(anchor)  # anchors are minima, so small; blocks must be even
     order = np.argsort(route, kind="stable")
     edges = np.searchsorted(block_of(route[order], blocks), np.arange(blocks + 1, dtype=U64))
@@ -41,8 +41,8 @@ def rows_by_block(blocks: int, anchor, doc_id, start, windows, flag, content, si
     out = {k: [] for k in ROW_SCHEMA.names}
     for k in np.flatnonzero(np.diff(edges)):
         part = order[edges[k] : edges[k + 1]]
-        data = content[spread(offsets[part], size[part])].tobytes()
-        for name, v in (("block", int(k)), ("anchor", anchor[part].tobytes()), ("doc", doc_id[part].astype(np.int64).tobytes()), ("start", start[part].astype(np.int64).tobytes()), ("windows", windows[part].astype(np.uint32).tobytes()), ("flag", flag[part].astype(np.uint8).tobytes()), ("content", codec.compress(data, asbytes=True) if codec else data)):
+        data = pack(content[spread(offsets[part], size[part])])
+        for name, v in (("block", int(k)), ("anchor", anchor[part].tobytes()), ("doc", doc_id[part].astype(np.int64).tobytes()), ("start", start[part].astype(np.int64).tobytes()), ("windows", windows[part].astype(np.uint32).tobytes()), ("flag", flag[part].astype(np.uint8).tobytes()), ("content", data)):
             out[name].append(v)
     return pa.RecordBatch.from_pydict({f.name: pa.array(out[f.name], f.type) for f in ROW_SCHEMA}, schema=ROW_SCHEMA)
 
