@@ -23,12 +23,14 @@ SLICE_BYTES = 8 << 20  # text handled at once by a Python worker: bounds its mem
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors see: spark.checkpoint.dir, or a temporary one where that is unset and there is this machine only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if root is None:
         current = sc.getCheckpointDir()
         if current is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="polyglint-"))
             current = sc.getCheckpointDir()
         return current
@@ -76,6 +78,14 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores after it as make it no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def join_checked(big: DataFrame, small: DataFrame, on, how: str, most_rows: int = 500_000) -> DataFrame:
     """Join a table of texts with a narrow one. The narrow side is stored and counted; up to most_rows it is broadcast, so
     texts stay where they are; beyond that both sides are shuffled and merged. The result is the same."""

@@ -4,7 +4,10 @@ Every line gets a label, good or bad. A line's scores come from features of itse
 lines before and after it; neighbouring labels are tied by transition weights. Forward-backward
 marginals P(good), weighted by line length, average to the document's quality. The field is fitted
 in numpy on a bounded sample of labelled documents (max_train of each class, a documented
-parameter), whose lines take their document's label; everything else covers all documents.
+parameter); everything else covers all documents. Labels are of documents, so the sample's lines are labelled first: all
+lines of a good document are good; a bad document's lines are bad where a model of the line alone says so, one at
+least, and the model is fitted to the labels again until they stay. The quality from which a document is
+kept is the one that parts the sample best.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import as_batch, id_and_text, runs, slices
 
-MAX_TRAIN, KEEP_FROM = 1500, 0.5
+MAX_TRAIN, TURNS = 1500, 5
 _KINDS = np.zeros(256, np.uint8)  # of a byte: 0 other, 1 letter, 2 upper case, 3 digit, 4 space, 5 sentence mark, 6 other mark
 for _c in range(256):
     ch = chr(_c)
@@ -125,11 +128,40 @@ def fit(x: np.ndarray, doc: np.ndarray, y: np.ndarray, weight: np.ndarray, steps
     return w, trans
 
 
+def label_lines(x: np.ndarray, doc: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """A label for each line. y: of its document; doc: 0, 1, ... in order; weight: of each document."""
+    own, line, z = x[:, [*range(LOCAL), FEATURES - 1]], np.arange(len(x)), y
+    for _ in range(TURNS):
+        w, _ = fit(own, line, z, weight[doc])
+        score = own @ w
+        worse = score[:, 0] - score[:, 1]
+        new = np.where((y == 1) | (worse <= 0), 1, 0)
+        starts, lengths = runs(doc)
+        worst = np.lexsort((-worse, doc))[starts]  # of each document
+        new[worst[y[worst] == 0]] = 0
+        if np.array_equal(new, z):
+            break
+        z = new
+    return z
+
+
+def best_cut(quality: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """(the quality from which documents are kept that parts the classes best, the mean share of either class told right); of equals the one nearest to 0.5."""
+    cuts = np.unique(np.append(quality, 0.5))
+    cuts = np.append((cuts[1:] + cuts[:-1]) / 2, 0.5)
+    good, bad = np.sort(quality[y == 1]), np.sort(quality[y == 0])
+    right = (1 - np.searchsorted(good, cuts, side="left") / max(1, len(good)) + np.searchsorted(bad, cuts, side="left") / max(1, len(bad))) / 2
+    best = np.flatnonzero(right >= right.max() - 1e-9)
+    k = best[np.argmin(np.abs(cuts[best] - 0.5))]
+    return float(cuts[k]), float(right[k])
+
+
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN):
-    """Fit on at most max_train documents of either class, taken in the order of a hash of their id.
+    """(weights, transitions, quality to keep from), fitted on at most max_train documents of either class, taken in the order of a hash of their id.
 
     A label of null is ignored; a document labelled both ways counts as bad. Without both classes
-    the weights are zero, every quality is 0.5 and nothing is rejected.
+    the weights are zero, every quality is 0.5 and nothing is rejected. Where lines with their documents' labels part the
+    sample's documents better, by more than a hundredth, those are used.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("y"))
     there = known.join(id_and_text(docs).select("doc_id").distinct(), "doc_id", "left_semi")
@@ -138,21 +170,35 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN):
 
     def work(batches):
         for b in slices(batches):
-            x, _, doc = line_features(b.column(1))
+            x, size, doc = line_features(b.column(1))
             starts, lengths = runs(doc)
             ids, y = np.asarray(b.column(0)), np.asarray(b.column(2))
             for s, n in zip(starts, lengths):
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array([ids[doc[s]]], pa.int64()), "y": pa.array([y[doc[s]]], pa.int32()), "x": pa.array([x[s : s + n].astype(np.float32).tobytes()], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array([ids[doc[s]]], pa.int64()), "y": pa.array([y[doc[s]]], pa.int32()), "x": pa.array([x[s : s + n].astype(np.float32).tobytes()], pa.binary()), "size": pa.array([size[s : s + n].tobytes()], pa.binary())})
 
-    rows = sample.mapInArrow(work, "doc_id long, y int, x binary").collect()
+    rows = sample.mapInArrow(work, "doc_id long, y int, x binary, size binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["x"])))
+    nothing = np.zeros((FEATURES, 2)), np.zeros((2, 2)), 0.5
     if not rows:
-        return np.zeros((FEATURES, 2)), np.zeros((2, 2))
+        return nothing
     xs = [np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES) for r in rows]
     lines = np.array([len(x) for x in xs])
     y = np.array([r["y"] for r in rows])
+    if y.min() == y.max():
+        return nothing
+    x, doc, size = np.vstack(xs).astype(float), np.repeat(np.arange(len(xs)), lines), np.concatenate([np.frombuffer(r["size"], np.float64) for r in rows])
     share = np.array([max(1, lines[y == c].sum()) for c in (0, 1)], float)
-    return fit(np.vstack(xs).astype(float), np.repeat(np.arange(len(xs)), lines), np.repeat(y, lines), (lines.sum() / 2 / share)[y])
+    weight = (lines.sum() / 2 / share)[y]
+    tried = []
+    for z in (label_lines(x, doc, np.repeat(y, lines), weight), np.repeat(y, lines)):
+        if tried and (tried[0][3] > 0.99 or np.array_equal(z, tried[0][4])):
+            break
+        w, trans = fit(x, doc, z, weight)
+        p, _, _ = marginals(x @ w, doc, trans)
+        cut, right = best_cut(np.bincount(doc, weights=size * p[:, 1]) / np.bincount(doc, weights=size), y)
+        tried.append((w, trans, cut, right, z))
+    use = tried[-1] if tried[-1][3] > tried[0][3] + 0.01 else tried[0]
+    return use[:3]
 
 
 def judge(texts: pa.Array, w: np.ndarray, trans: np.ndarray):
@@ -166,27 +212,32 @@ def judge(texts: pa.Array, w: np.ndarray, trans: np.ndarray):
     return n, bad, quality
 
 
-def classify(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, keep_from: float = KEEP_FROM) -> DataFrame:
-    """One row for each row of docs: doc_id, n_lines, n_bad, quality, keep (quality >= keep_from).
+def classify(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, keep_from: float | None = None) -> DataFrame:
+    """One row for each row of docs: doc_id, n_lines, n_bad, quality, keep (quality >= keep_from, by default what train() found).
 
     Null, empty and blank texts have no line, quality 0, and aren't kept. Rows that repeat are judged
     one by one and alike; a null doc_id stays null. Empty tables give no rows. Extra columns aren't
     read. A tie, quality equal to keep_from, is kept.
     """
-    w, trans = train(docs, labels, max_train)
+    w, trans, cut = train(docs, labels, max_train)
+    cut = cut if keep_from is None else keep_from
     schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_bad", pa.int64()), ("quality", pa.float64()), ("keep", pa.bool_())])
 
     def work(batches):
         for b in slices(batches):
             n, bad, quality = judge(b.column(1), w, trans)
-            yield as_batch(schema, doc_id=b.column(0), n_lines=n, n_bad=bad, quality=quality, keep=quality >= keep_from)
+            yield as_batch(schema, doc_id=b.column(0), n_lines=n, n_bad=bad, quality=quality, keep=(quality >= cut) & (n > 0))
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, "doc_id long, n_lines long, n_bad long, quality double, keep boolean")
 
 
-def reject(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, keep_from: float = KEEP_FROM) -> DataFrame:
-    """The rows of docs that the classifier keeps, all their columns unchanged; decided row by row, so no join is needed."""
-    w, trans = train(docs, labels, max_train)
+def reject(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, keep_from: float | None = None) -> DataFrame:
+    """The rows of docs that classify() keeps, all their columns unchanged; decided row by row, so no join is needed.
+
+    Null, empty and blank texts go; rows of null doc_id and repeated rows are judged like others. An empty table stays empty.
+    """
+    w, trans, cut = train(docs, labels, max_train)
+    cut = cut if keep_from is None else keep_from
 
     @F.pandas_udf("double")
     def quality(text):
@@ -196,8 +247,9 @@ def reject(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, keep_
         column = pa.RecordBatch.from_pydict({"text": pa.array(text, pa.string(), from_pandas=True)})
         at = 0
         for piece in slices([column]):
-            out[at : at + piece.num_rows] = judge(piece.column(0), w, trans)[2]
+            n, _, q = judge(piece.column(0), w, trans)
+            out[at : at + piece.num_rows] = np.where(n > 0, q, -1.0)
             at += piece.num_rows
         return pd.Series(out)
 
-    return docs.where(quality(F.col("text").cast("string")) >= keep_from)
+    return docs.where(quality(F.col("text").cast("string")) >= cut)

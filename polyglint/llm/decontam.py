@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, as_batch, id_and_text, join_checked, runs, shared_table, slices, spread, tokenize, trim
+from .common import U64, as_batch, id_and_text, join_checked, runs, shared_table, slices, spread, tokenize, trim, unused
 
 COVERAGE, SLACK = 0.75, 3
-ITEMS_AT_ONCE = 20_000  # items that are sent to the segments at once; more are taken in turns
+ITEMS_AT_ONCE, BYTES_AT_ONCE = 20_000, 16 << 20  # items, and bytes of them, that are sent to the segments at once; more are taken in turns
 GAP = 1  # between texts; a start is only ever compared with postings of its own text
 
 
@@ -168,10 +168,11 @@ def find(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, slac
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("met", pa.int64()), ("n_tokens", pa.int64()), ("exact", pa.int64())])
     kind = "doc_id long, item_id long, start long, met long, n_tokens long, exact long"
     tests = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
-    rounds = max(1, math.ceil(tests.count() / ITEMS_AT_ONCE))
+    many = tests.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()
+    rounds = max(1, math.ceil(many["n"] / ITEMS_AT_ONCE), math.ceil(many["size"] / BYTES_AT_ONCE))
     found = []
     for k in range(rounds):
-        rows = tests.where(F.pmod(F.xxhash64("item_id"), F.lit(rounds)) == k).orderBy("item_id", "text").collect()  # about ITEMS_AT_ONCE rows
+        rows = tests.where(F.pmod(F.xxhash64("item_id"), F.lit(rounds)) == k).orderBy("item_id", "text").collect()  # about ITEMS_AT_ONCE rows and BYTES_AT_ONCE bytes
         items = Items([r["item_id"] for r in rows], [r["text"] for r in rows])
         items.by_rarity(*term_frequency(index, np.unique(items.tok)))
         sent = spark.sparkContext.broadcast(items)
@@ -194,6 +195,12 @@ def find(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, slac
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, slack: int = SLACK) -> DataFrame:
-    """The rows of docs, all columns, without the documents that match a test item."""
-    hit = find(docs, benchmark, coverage, slack).select(F.col("doc_id").alias("_hit")).distinct()
-    return join_checked(docs, hit, F.col("doc_id").cast("long") == F.col("_hit"), "left_anti")
+    """The rows of docs, all columns, without the documents that match a test item by find().
+
+    Every row of a doc_id goes where one of its rows matches. Rows of null doc_id, and of null, empty or
+    token-free text, stay. An item of one word takes every document that has the word: leave such items out
+    of benchmark if that isn't meant. Repeated rows stay repeated; empty tables give an empty one, or all rows.
+    """
+    name = unused(docs, "_hit")
+    hit = find(docs, benchmark, coverage, slack).select(F.col("doc_id").alias(name)).distinct()
+    return join_checked(docs, hit, F.col("doc_id").cast("long") == F.col(name), "left_anti")

@@ -145,6 +145,8 @@ class Automaton:
             self.edges[any_].append((None, any_))
             self.free[any_].add(out)
         else:
+            if re.search(r"[\[\]{}*+?^$\\]", match):
+                raise ValueError(f"match is neither .+ nor alternatives: {match}")
             for choice in match.split("|"):
                 self.free[self._words(here, choice)].add(out)
         return out

@@ -12,62 +12,57 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, shared_table
+from .common import U64, checkpointed, mix, shared_table, unused
 
 LEAF, FAN_IN, EPS = 20_000, 64, 1e-9
 
 
-def draw(a: int, b: int, level: int, seed: int) -> float:
-    """A uniform number that depends on who meets, where and the seed alone."""
-    return xxhash.xxh3_64_intdigest(f"{a},{b},{level},{seed}") / 2.0**64
-
-
-def pivotal(ids: list[int], ps: list[float], level: int, seed: int) -> tuple[dict[int, int], tuple[int, float] | None]:
-    """Round the probabilities pairwise, in the order given: ({position: 0 or 1}, the position left over and its probability)."""
-    done: dict[int, int] = {}
-    held, p = -1, 0.0
-    for k, q in enumerate(ps):
-        if q <= EPS or q >= 1 - EPS:
-            done[k] = int(q > 0.5)
-            continue
-        if held < 0:
-            held, p = k, q
-            continue
-        total, u = p + q, draw(ids[held], ids[k], level, seed)
-        if total <= 1:
-            win = u * total < p  # the winner takes all the mass
-            loser, stays = (k, held) if win else (held, k)
-            done[loser] = 0
-            held, p = stays, total
-        else:
-            win = u * (2 - total) < 1 - q  # the winner is filled to 1
-            full, stays = (held, k) if win else (k, held)
-            done[full] = 1
-            held, p = stays, total - 1
-        if p <= EPS or p >= 1 - EPS:
-            done[held] = int(p > 0.5)
-            held, p = -1, 0.0
-    return done, (held, p) if held >= 0 else None
+def draw(a: np.ndarray, b: np.ndarray, level: int, seed: int) -> np.ndarray:
+    """Uniform numbers that depend on who meets, where and the seed alone."""
+    with np.errstate(over="ignore"):
+        salt = mix(np.array([level], U64) * U64(0xD6E8FEB86659FD93) + np.array([seed & (2**64 - 1)], U64))
+        return (mix(mix(mix(a.astype(np.int64).view(U64)) + salt) * U64(0x9E3779B97F4A7C15) + b.astype(np.int64).view(U64)) >> U64(11)) * 2.0**-53
+
+
+def pivotal(ids: np.ndarray, ps: np.ndarray, level: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Round the probabilities by pairs of neighbours, those left over again by pairs, until one at most is left:
+    (0 or 1 for each, -1 for the one left; the probability of the one left, 0 elsewhere)."""
+    ids, p = np.asarray(ids, np.int64), np.array(ps, float)
+    turn = 0
+    while True:
+        open_ = np.flatnonzero((p > EPS) & (p < 1 - EPS))
+        if len(open_) < 2:
+            break
+        a, b = open_[: len(open_) // 2 * 2 : 2], open_[1 : len(open_) // 2 * 2 : 2]
+        x, y, total, u = p[a], p[b], p[a] + p[b], draw(ids[a], ids[b], 64 * level + turn, seed)
+        low = total <= 1
+        # up to 1 the winner takes all the mass; beyond, the winner is filled to 1 and the other keeps the rest
+        first = np.where(low, u * total < x, u * (2 - total) < 1 - y)
+        p[a] = np.where(low, np.where(first, total, 0.0), np.where(first, 1.0, total - 1))
+        p[b] = np.where(low, np.where(first, 0.0, total), np.where(first, total - 1, 1.0))
+        turn += 1
+    up = (p > 0.5).astype(np.int32)
+    up[open_] = -1
+    rest = np.zeros(len(p))
+    rest[open_] = p[open_]
+    return up, rest
+
+
+_ROUND = "source string, doc_id long, uid long, up int, p double"
 
 
 def _round(level: int, seed: int, last: bool):
     def work(t: pa.Table) -> pa.Table:
-        uid, p = np.asarray(t.column("uid")), np.asarray(t.column("p"))
-        order = np.argsort(uid, kind="stable")
-        uid, p = uid[order], p[order]
-        done, left = pivotal(uid.tolist(), p.tolist(), level, seed)
-        if left and last:  # the one residual of the whole is drawn alone
-            k, q = left
-            done[k], left = int(draw(int(uid[k]), -1, level, seed) < q), None
-        up = np.array([done.get(k, -1) for k in range(len(uid))], np.int32)
-        rest = np.zeros(len(uid))
-        if left:
-            rest[left[0]] = left[1]
-        return pa.table({"source": t.column("source").take(pa.array(order)), "uid": pa.array(uid, pa.int64()), "up": pa.array(up, pa.int32()), "p": pa.array(rest, pa.float64())})
+        uid, doc = np.asarray(t.column("uid")), np.asarray(t.column("doc_id"))
+        order = np.lexsort((doc, uid))
+        up, rest = pivotal(uid[order], np.asarray(t.column("p"))[order], level, seed)
+        if last:  # the one residual of the whole is drawn alone
+            k = np.flatnonzero(up < 0)
+            up[k], rest[k] = draw(uid[order][k], np.full(len(k), -1), 64 * level + 63, seed) < rest[k], 0
+        return pa.table({"source": t.column("source").take(pa.array(order)), "doc_id": pa.array(doc[order], pa.int64()), "uid": pa.array(uid[order], pa.int64()), "up": pa.array(up, pa.int32()), "p": pa.array(rest, pa.float64())})
 
     return work
 
@@ -97,30 +92,37 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, size:
     rates = checkpointed(per.select("source", rate.alias("expected"), F.ceil(F.col("n_s") / LEAF).alias("leaves")))
     uid = F.xxhash64("doc_id", "source")
     asked = rows.join(rates, "source").withColumn("uid", uid)
-    frac = asked.select("source", "uid", (F.col("expected") - F.floor("expected")).alias("p"), F.pmod(F.xxhash64(F.lit(seed), "uid"), F.col("leaves")).alias("cell"))
+    frac = asked.select("source", "doc_id", "uid", (F.col("expected") - F.floor("expected")).alias("p"), F.pmod(F.xxhash64(F.lit(seed), "uid"), F.col("leaves")).alias("cell"))
     widest = rates.agg(F.max("leaves")).first()[0] or 1
-    kind = "source string, uid long, up int, p double"
     level, settled = 0, []
     while True:
         across = widest == 0
         keys = [F.lit(0).alias("one")] if across else [F.col("source"), F.col("cell")]
-        done = shared_table(frac.groupBy(*keys).applyInArrow(_round(level, seed, across), kind), f"round-{level}")
-        settled.append(done.where("up >= 0").select("source", "uid", "up"))
+        done = shared_table(frac.groupBy(*keys).applyInArrow(_round(level, seed, across), _ROUND), f"round-{level}")
+        settled.append(done.where("up >= 0").select("source", "doc_id", "up"))
         if across:
             break
         widest = 0 if widest <= 1 else -(-widest // FAN_IN)
         level += 1
         cells = F.greatest(F.lit(1), F.ceil(F.col("leaves") / float(FAN_IN**level)))
-        frac = done.where("up < 0").join(rates.select("source", "leaves"), "source").select("source", "uid", "p", F.pmod(F.xxhash64(F.lit(seed + level), "uid"), cells).alias("cell"))
+        frac = done.where("up < 0").join(rates.select("source", "leaves"), "source").select("source", "doc_id", "uid", "p", F.pmod(F.xxhash64(F.lit(seed + level), "uid"), cells).alias("cell"))
     ups = settled[0]
     for s in settled[1:]:
         ups = ups.union(s)
-    out = asked.select("doc_id", "source", "uid", "expected").join(ups.select("uid", "up"), "uid")
+    out = asked.select("doc_id", "source", "expected").join(ups, ["doc_id", "source"])
     return out.select("doc_id", "source", "expected", (F.floor("expected") + F.col("up")).cast("long").alias("copies"))
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, size: float = 1.0, seed: int = 17) -> DataFrame:
-    """The rows of docs that get a copy at all, all columns, with the number of copies in the added column mix_copies."""
-    drawn = mix_sources(docs, weights, size, seed).where("copies > 0").select(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("copies").alias("mix_copies"))
-    on = (F.col("doc_id").cast("long") == F.col("_mix_id")) & (F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col("_mix_source"))
-    return docs.join(drawn, on).drop("_mix_id", "_mix_source")
+    """The rows of docs that get a copy at all by mix_sources(), all columns, with the number of copies in the added column mix_copies,
+    which takes the place of an input column of that name.
+
+    Rows of null doc_id can't be drawn and are left out. A null source is the source ''. Rows that repeat a doc_id within a source are
+    one document: each of them comes with its copies. Texts that are null or empty get their source's rate. An empty table gives no rows.
+    """
+    if "mix_copies" in docs.columns:
+        docs = docs.drop("mix_copies")
+    one, two = unused(docs, "_mix_id"), unused(docs, "_mix_source")
+    drawn = mix_sources(docs, weights, size, seed).where("copies > 0").select(F.col("doc_id").alias(one), F.col("source").alias(two), F.col("copies").alias("mix_copies"))
+    on = (F.col("doc_id").cast("long") == F.col(one)) & (F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col(two))
+    return docs.join(drawn, on).drop(one, two)

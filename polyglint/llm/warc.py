@@ -10,6 +10,7 @@ written to, and read from, WARC/1.1 bytes.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import html
 import re
@@ -23,8 +24,9 @@ from .common import slices
 
 DATE = "2024-01-01T00:00:00Z"
 _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|main|title|head|body|html|blockquote|pre|hr|td|th|form)\b[^>]*>", re.I)
-_TAG = re.compile(r"</?[a-zA-Z][^>]*>|<![^>]*>|<\?[^>]*>")
+_REST = r"""(?:(?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+>|[^>]*>)"""  # of a tag; a quoted > doesn't end it
+_BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|main|title|head|body|html|blockquote|pre|hr|td|th|form)\b" + _REST, re.I)
+_TAG = re.compile(r"</?[a-zA-Z]" + _REST + r"|<![^>]*>|<\?[^>]*>")
 _SPACE, _LINES = re.compile(r"[^\S\n]+"), re.compile(r" ?\n[ \n]*")
 _TITLE, _LANG = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I), re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([\w-]+)", re.I)
 _LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -95,10 +97,15 @@ def build(pages: DataFrame, with_responses: bool = False) -> DataFrame:
 _NAMES = (("record_id", "WARC-Record-ID"), ("refers_to", "WARC-Refers-To"), ("target_uri", "WARC-Target-URI"), ("warc_date", "WARC-Date"), ("content_type", "Content-Type"), ("payload_digest", "WARC-Payload-Digest"), ("block_digest", "WARC-Block-Digest"))
 
 
+def field(v) -> str:
+    """A header's value: what would end its line, or isn't printable, percent-encoded."""
+    return re.sub(r"[\x00-\x1f\x7f\x85\u2028\u2029]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), str(v))
+
+
 def to_bytes(r: dict) -> bytes:
-    """A record in WARC/1.1. The response's HTTP head goes in X-Source-Headers, base64."""
+    """A record in WARC/1.1. The response's HTTP head goes in X-Source-Headers, base64. Line ends in a url come out percent-encoded."""
     data = r["block"].encode("utf-8", "surrogatepass")
-    head = [f"WARC-Type: {r['warc_type']}", *(f"{name}: {r[k]}" for k, name in _NAMES if r[k] is not None), "X-Source-Headers: " + base64.b64encode(r["source_headers"].encode()).decode()]
+    head = [f"WARC-Type: {r['warc_type']}", *(f"{name}: {field(r[k])}" for k, name in _NAMES if r[k] is not None), "X-Source-Headers: " + base64.b64encode(r["source_headers"].encode()).decode()]
     if r["page_id"] is not None:
         head.append(f"X-Page-ID: {r['page_id']}")
     return ("WARC/1.1\r\n" + "\r\n".join(head) + f"\r\nContent-Length: {len(data)}\r\n\r\n").encode() + data + b"\r\n\r\n"
@@ -122,6 +129,68 @@ def from_bytes(data: bytes) -> list[dict]:
     return out
 
 
+def parse(data: bytes):
+    """Records of any WARC/1.x bytes, gzip members or plain: (fields by lower-case name, block's bytes). Damaged bytes are an error."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)  # all members
+    at = 0
+    while at < len(data):
+        end = data.find(b"\r\n\r\n", at)
+        first, *lines = data[at : max(at, end)].decode("utf-8", "replace").split("\r\n")
+        if end < 0 or not first.startswith("WARC/1."):
+            raise ValueError(f"no record at {at}")
+        fields: dict[str, str] = {}
+        for x in lines:
+            name, _, value = x.partition(":")
+            fields[name.strip().lower()] = value.strip()
+        n = int(fields["content-length"])
+        if end + 4 + n > len(data):
+            raise ValueError(f"the record at {at} is cut off")
+        yield fields, data[end + 4 : end + 4 + n]
+        at = end + 4 + n
+        while data[at : at + 2] == b"\r\n":
+            at += 2
+
+
+def read(spark, path: str) -> DataFrame:
+    """The response records (RECORD's columns) of the *.warc and *.warc.gz files below path. A payload that isn't UTF-8 is read by the charset
+    its HTTP head names, bytes that don't fit replaced; page_id is null unless the record has X-Page-ID."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{warc,warc.gz}").load(path).select("content")
+
+    def work(batches):
+        for b in batches:
+            for c in b.column(0):
+                out = []
+                for f, block in parse(c.as_py()):
+                    if f.get("warc-type") != "response":
+                        continue
+                    head, _, body = block.partition(b"\r\n\r\n")
+                    charset = re.search(rb"charset=[\"']?([\w-]+)", head, re.I)
+                    try:
+                        page = body.decode(charset[1].decode() if charset else "utf-8", "replace")
+                    except LookupError:
+                        page = body.decode("utf-8", "replace")
+                    top = head.decode("latin-1")
+                    out.append({
+                        "page_id": int(f["x-page-id"]) if "x-page-id" in f else None, "warc_type": "response", "record_id": f.get("warc-record-id"), "refers_to": None, "target_uri": f.get("warc-target-uri"), "warc_date": f.get("warc-date"),
+                        "content_type": f.get("content-type"), "payload_digest": f.get("warc-payload-digest") or digest(body), "block_digest": f.get("warc-block-digest") or digest(block), "source_headers": top, "content_length": len(block), "block": top + "\r\n\r\n" + page,
+                    })
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, schema=SCHEMA)
+
+    return files.mapInArrow(work, RECORD)
+
+
+def derive(responses: DataFrame) -> DataFrame:
+    """The metadata and conversion records of response records, such as read() gives; rows of null block give nothing."""
+
+    def work(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pylist([d for r in b.to_pylist() for d in derivatives(r)], schema=SCHEMA)
+
+    return responses.where("warc_type = 'response' and block is not null").select(*SCHEMA.names).mapInArrow(work, RECORD)
+
+
 def write(records: DataFrame, path: str) -> None:
     """Store records as WARC/1.1 bytes, a Parquet row (page_id, warc) each: joined end to end, the cells are a WARC file."""
     names = [f.name for f in SCHEMA]

@@ -23,5 +23,5 @@ def clashing(docs):
     """The documents with extra columns named like what operators make."""
     from pyspark.sql import functions as F
 
-    names = ["digest", "sig", "n", "h", "block", "source_", "copies", "keep", "row", "rank", "uid", "node", "root", "_x", "u", "v", "start"]
+    names = ["digest", "sig", "n", "h", "block", "source_", "copies", "keep", "row", "rank", "uid", "node", "root", "_x", "u", "v", "start", "_drop", "_hit", "_mix_id", "_mix_source", "mix_copies", "label", "quality"]
     return docs.select("*", *[F.lit(k).alias(n) for k, n in enumerate(names)])

@@ -342,19 +342,33 @@ def test_index_plan_is_a_sort_merge_anti_join(spark, docs, tmp_path):
 
 
 def test_pivotal_rounds_by_hand():
-    done, left = mixing.pivotal([1, 2, 3, 4], [0.5, 0.5, 0.25, 0.75], 0, 1)
-    assert sum(done.values()) == 2 and left is None
-    done, left = mixing.pivotal([1, 2], [0.3, 0.3], 0, 1)
-    assert list(done.values()) == [0] and abs(left[1] - 0.6) < 1e-9
+    up, rest = mixing.pivotal([1, 2, 3, 4], [0.5, 0.5, 0.25, 0.75], 0, 1)
+    assert sum(up) == 2 and min(up) == 0 and not rest.any()
+    up, rest = mixing.pivotal([1, 2], [0.3, 0.3], 0, 1)
+    assert sorted(up) == [-1, 0] and abs(rest.sum() - 0.6) < 1e-9
+    assert mixing.pivotal([], [], 0, 1)[0].tolist() == [] and mixing.pivotal([1, 2], [0.0, 1.0], 0, 1)[0].tolist() == [0, 1]
     counts = [0] * 3
     for seed in range(4000):
-        done, left = mixing.pivotal([10, 11, 12], [0.2, 0.7, 0.1], 0, seed)
-        assert left is None and sum(done.values()) == 1
-        for k, v in done.items():
-            counts[k] += v
+        up, rest = mixing.pivotal([10, 11, 12], [0.2, 0.7, 0.1], 0, seed)
+        assert sum(up) == 1 and min(up) == 0
+        counts = [c + v for c, v in zip(counts, up)]
     assert all(abs(c / 4000 - p) < 0.03 for c, p in zip(counts, (0.2, 0.7, 0.1)))
 
 
+def test_pivotal_expectations_over_many():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    p = rng.random(301)
+    total = np.zeros(301)
+    for seed in range(3000):
+        up, rest = mixing.pivotal(np.arange(301), p, 2, seed)
+        k = np.flatnonzero(up < 0)
+        assert len(k) < 2 and abs(np.maximum(up, 0).sum() + rest.sum() - p.sum()) < 1e-6
+        total += np.maximum(up, 0) + rest
+    assert abs(total / 3000 - p).max() < 0.05 and abs((total / 3000 - p).mean()) < 1e-6
+
+
 def test_mixing_meets_its_targets(spark, docs, clashing, empty, monkeypatch):
     monkeypatch.setattr(mixing, "LEAF", 6)  # several cells and levels
     monkeypatch.setattr(mixing, "FAN_IN", 2)
@@ -375,7 +389,7 @@ def test_mixing_meets_its_targets(spark, docs, clashing, empty, monkeypatch):
     assert sorted(map(tuple, out)) == sorted(map(tuple, again))
     assert mixing.mix_sources(empty).count() == 0
     kept = mixing.mixed(clashing, weights, 1.5)
-    assert kept.columns == [*clashing.columns, "mix_copies"]
+    assert kept.columns == [*[c for c in clashing.columns if c != "mix_copies"], "mix_copies"]
     want = {(r.doc_id, r.source): r.copies for r in out if r.copies}
     assert {(r.doc_id, r.source or ""): r.mix_copies for r in kept.collect()} == want
 
@@ -458,7 +472,7 @@ def test_whole_licenses_and_late_changes(spark):
 
 
 def test_license_templates_are_checked():
-    for bad in ("a <<beginOptional>> b", "a <<endOptional>>", "<<beginOptional>>a<<endOptional>>", '<<var;name="x";match=".+">> a'):
+    for bad in ('a <<var;name="x";match="[0-9.]+">>', "a <<beginOptional>> b", "a <<endOptional>>", "<<beginOptional>>a<<endOptional>>", '<<var;name="x";match=".+">> a'):
         with pytest.raises(ValueError):
             license.Automaton(bad)
 
@@ -487,6 +501,35 @@ def test_warc_round_trip(spark):
     assert warc.build(pages.limit(0)).count() == 0
 
 
+def test_warc_fields_stay_in_their_lines():
+    r = warc.response(1, "http://a/\r\nWARC-Type: request\r\n\u2028x", "<p title='a>b' class=\"c>d\">it's <b>5 > 4</b>")
+    back = warc.from_bytes(warc.to_bytes(r))
+    assert len(back) == 1 and back[0]["warc_type"] == "response" and back[0]["target_uri"] == "http://a/%0D%0AWARC-Type: request%0D%0A%E2%80%A8x"
+    assert warc.plain_text(r["block"].partition("\r\n\r\n")[2]) == "it's 5 > 4"
+
+
+def test_warc_files_as_a_source(spark, tmp_path):
+    """Files in gzip members or plain, with foreign fields, give the derivatives that the pages give."""
+    import gzip
+
+    pages = [(1, "http://a/", "<title>One</title>text"), (2, "http://b/", "<p>zwei ü</p>")]
+    made = [warc.response(*p) for p in pages]
+    info = b"WARC/1.0\r\nwarc-type: warcinfo\r\nContent-Length: 3\r\n\r\nx\ry\r\n\r\n"
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(info) + gzip.compress(warc.to_bytes(made[0])))
+    (tmp_path / "b.warc").write_bytes(info + warc.to_bytes(made[1]))
+    latin = "caf\u00e9".encode("latin-1")
+    head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=ISO-8859-1\r\n\r\n"
+    (tmp_path / "c.warc").write_bytes(b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x>\r\nContent-Length: %d\r\n\r\n" % (len(head) + len(latin)) + head + latin + b"\r\n\r\n")
+    rows = {r.record_id: r for r in warc.read(spark, f"file://{tmp_path}").collect()}
+    assert rows["<urn:x>"].block.endswith("caf\u00e9") and rows["<urn:x>"].page_id is None and len(rows) == 3
+    got = {(r.refers_to, r.warc_type): r.block for r in warc.derive(warc.read(spark, f"file://{tmp_path}")).collect()}
+    for r in made:
+        assert [got[r["record_id"], d["warc_type"]] for d in warc.derivatives(r)] == [d["block"] for d in warc.derivatives(r)]
+        assert rows[r["record_id"]].payload_digest == r["payload_digest"]
+    with pytest.raises(ValueError):
+        list(warc.parse(warc.to_bytes(made[0])[:-20]))
+
+
 def test_crf_marginals_against_all_labellings():
     import itertools
 
@@ -537,8 +580,37 @@ def test_classifier_on_held_out_documents(spark, docs, clashing, empty):
     blank = {r.doc_id: (r.n_lines, r.quality, r.keep) for r in out.where("doc_id in (300, 301, 302)").collect()}
     assert blank == {d: (0, 0.0, False) for d in (300, 301, 302)}
     assert crf.classify(empty, labels).count() == 0
-    # nothing to learn from: everything with a line stays
+    # nothing to learn from: everything with a line stays; a tie is kept
+    assert all(r.quality == 0.5 and r.keep for r in crf.classify(clashing, labels.limit(0)).where("n_lines > 0").collect())
     kept = crf.reject(clashing, labels.limit(0))
     assert kept.columns == clashing.columns and kept.count() == docs.where("trim(text) <> ''").count() - docs.where("doc_id = 302").count()
     keep = {r.doc_id for r in crf.classify(both, labels).collect() if r.keep}
     assert {r.doc_id for r in crf.reject(both, labels).collect()} == keep
+
+
+def test_lines_of_mixed_documents_get_mixed_labels(spark):
+    """Bad documents of which half the lines are good: labels are learned by line, though given by document."""
+    import random
+
+    rng = random.Random(4)
+    rows, labels, truth = [], [], {}
+    for d in range(400):
+        good = d % 2 == 0
+        lines = [" ".join("".join(rng.choice("aeioustrnl") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(6, 20))).capitalize() + "." for _ in range(rng.randint(4, 10))]
+        bad = set() if good else set(rng.sample(range(len(lines)), (len(lines) + 1) // 2))
+        rows.append((d, "\n".join(" ".join(w.upper() + "###" for w in x.split()) if k in bad else x for k, x in enumerate(lines))))
+        truth[d] = len(bad)
+        if d < 300:
+            labels.append((d, int(good)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    got = {r.doc_id: r for r in crf.classify(docs, labels).collect()}
+    assert sum(got[d].n_bad == truth[d] for d in range(300, 400)) >= 90
+    assert sum(0 < got[d].n_bad < got[d].n_lines for d in range(301, 400, 2)) >= 45
+    assert sum(got[d].keep == (d % 2 == 0) for d in range(300, 400)) >= 95
+
+
+def test_a_text_of_very_many_lines(spark):
+    docs, labels = _labelled(spark, 100, 5)
+    long = spark.createDataFrame([(1000, "\n".join(["A line of words here."] * 20_000)), (1001, None), (1001, "\n" * 50_000)], "doc_id long, text string")
+    got = {(r.doc_id, r.n_lines) for r in crf.classify(docs.union(long), labels).where("doc_id >= 1000").collect()}
+    assert got == {(1000, 20_000), (1001, 0)}
