@@ -313,31 +313,32 @@ def train(windows: DataFrame, classes: Classes, rounds: int = ROUNDS, rate: floa
 
 
 def target_log_probs(w: dict, before: np.ndarray, classes: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """log P(target class) at each place: forward() without what only training needs, as few passes over memory as will do."""
+    """log P(target class) at each place: forward() without what only training needs, as few passes over memory as will do.
+    Products are by window, so that equal windows get equal numbers wherever they stand: how a large product rounds depends on a row's place."""
     windows, length = before.shape
-    x = w["token"].take((before & (HASHED - 1)).ravel(), 0)
-    x += w["class"].take(classes.ravel(), 0)
-    x.reshape(windows, length, WIDTH)[:] += w["place"][:length]
+    x = w["token"].take(before & (HASHED - 1), 0)
+    x += w["class"].take(classes, 0)
+    x += w["place"][:length]
     qkv = (x @ w["qkv"]).reshape(windows, length, 3, WIDTH)
     a = qkv[:, :, 0] @ qkv[:, :, 1].transpose(0, 2, 1)  # q was scaled with its weights
-    np.minimum(a, 30, out=a)
+    np.clip(a, -30, 30, out=a)
     np.exp(a, out=a)
     a *= _LOWER[:length, :length]
     mixed = a @ qkv[:, :, 2]
     mixed /= a.sum(2, keepdims=True)
-    h = mixed.reshape(-1, WIDTH) @ w["o"]
+    h = mixed @ w["o"]
     h += x
     f = h @ w["up"]
     np.maximum(f, 0, out=f)
     z = f @ w["down"]
     z += h
-    logits = z @ w["out"]
+    logits = (z @ w["out"]).reshape(windows * length, -1)
     logits += w["bias"]
-    hit = logits[np.arange(len(logits)), target.ravel()]
-    top = logits.max()
-    if top > 60:  # far from any trained model; keeps exp finite all the same
-        logits -= logits.max(1, keepdims=True) - 60
-        hit = logits[np.arange(len(logits)), target.ravel()]
+    every = np.arange(len(logits))
+    top = logits.max(1, keepdims=True)
+    if top.max() > 60:  # far from any trained model; keeps exp finite all the same
+        logits -= np.maximum(top - 60, 0)
+    hit = logits[every, target.ravel()]
     np.exp(logits, out=logits)
     return (hit - np.log(logits.sum(1))).reshape(windows, length)
 
