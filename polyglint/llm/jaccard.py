@@ -12,22 +12,30 @@ the longer rest; pairs for which that is below t/(1+t)(|a|+|b|) are discarded. T
 survivors, a few in a hundred more than the pairs over the threshold, meet in blocks, where the
 overlap is accumulated over stripes of all columns, and a pair goes as soon as what is left of
 either row can't lift it to the bound. Each step only discards what can't be over the threshold.
+
+Pairs of a column grow as the square of its rows, so a column of more than HOT rows emits its rows
+instead. Rows that have such a column are put into chunks, alike ones together, and wherever two
+chunks have one in common, all of their rows meet in full: a dense product counts every overlap in
+place, and no pair is written. Pairs of such chunks aren't taken from the tiles.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, as_batch, block_of, by_doc, checkpointed, components, id_and_text, join_checked, mix, n_blocks, runs, shared_table, signed, slices, spread, to_blocks, tokenize, trim
+from .common import SLICE_BYTES, U64, as_batch, block_of, by_doc, checkpointed, components, id_and_text, join_checked, mix, n_blocks, runs, shared_table, signed, slices, spread, to_blocks, tokenize, trim
 
 N, THRESHOLD = 3, 0.5
 CELLS = 1 << 20  # of the frequency table; it only orders columns, so collisions cost time, not pairs
 PART = 1 << 15
 PAIRS_AT_ONCE = 1 << 21
 STRIPES = 4  # of columns, in the last step
+HOT = 128  # rows of a column beyond which they are compared chunk by chunk instead of pair by pair
+CHUNK_ROWS, CHUNK_CELLS = 1024, 1 << 20  # of a chunk at most, but for one row that has more
+DENSE = 1 << 14  # pairs of rows in a column beyond which adding it up densely is faster
 
 
 def shingles(tok: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -185,12 +193,29 @@ def unpack(n_sets: int, n_pairs: int, data: pa.Buffer):
     return sig[a], sig[b], size[a], size[b], count
 
 
+def pack_column(column: int, sig: np.ndarray, size: np.ndarray, buckets: int):
+    """The rows of a hot column, told from tiles by having no pairs."""
+    codec = pa.Codec("zstd", 1)
+    for at in range(0, len(sig), PART):
+        part = slice(at, at + PART)
+        data = b"".join((np.int64(column).tobytes(), sig[part].tobytes(), size[part].astype(np.uint32).tobytes()))
+        yield as_batch(TILE_SCHEMA, bucket=[column % buckets], n_sets=[len(sig[part])], n_pairs=[0], data=[codec.compress(data, asbytes=True)])
+
+
+def unpack_column(n_sets: int, data: pa.Buffer):
+    """(rows, their sizes, the column of each)."""
+    raw = pa.Codec("zstd").decompress(data, 8 + 12 * n_sets)
+    return np.frombuffer(raw, np.int64, n_sets, 8), np.frombuffer(raw, np.uint32, n_sets, 8 + 8 * n_sets).astype(np.int64), np.repeat(np.frombuffer(raw, np.int64, 1), n_sets)
+
+
 def _multiply(t: float, buckets: int):
-    """A block's slice of the matrix times its transpose: tiles of partial counts."""
+    """A block's slice of the matrix times its transpose: tiles of partial counts, and the rows of hot columns."""
 
     def work(batches):
-        found = {k: [] for k in ("h", "sig", "size")}
+        found, block = {k: [] for k in ("h", "sig", "size")}, 0
         for b in batches:
+            if b.num_rows:
+                block = b.column(b.schema.get_field_index("block"))[0].as_py()
             for h, row, sig, size in zip(*(b.column(b.schema.get_field_index(c)) for c in ("h", "row", "sig", "n"))):
                 of = np.frombuffer(row.as_buffer(), np.uint16)
                 found["h"].append(np.frombuffer(h.as_buffer(), np.uint32))
@@ -210,6 +235,15 @@ def _multiply(t: float, buckets: int):
         if len(h):
             new = np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])])
             h, row = h[new], row[new]
+        starts, lengths = runs(h)
+        hot = np.flatnonzero(lengths > HOT)
+        shares = np.full(len(sets), -1)  # a hot column of each row
+        for k in hot[::-1]:
+            of = row[starts[k] : starts[k] + lengths[k]]
+            shares[of] = k
+            yield from pack_column((block << 32) | int(h[starts[k]]), sets[of], sizes[of], buckets)
+        cold = np.repeat(lengths <= HOT, lengths)
+        h, row = h[cold], row[cold]
         size = sizes[row]
         starts, lengths = runs(h)
         run = np.repeat(np.arange(len(starts), dtype=U64), lengths) << U64(32)
@@ -221,6 +255,8 @@ def _multiply(t: float, buckets: int):
             stop = max(here + 1, int(np.searchsorted(done, done[here] + PAIRS_AT_ONCE, side="right")) - 1)
             left, right = row[np.repeat(np.arange(here, stop), partners[here:stop])], row[spread(np.arange(here, stop) + 1, partners[here:stop])]
             here = stop
+            apart = (shares[left] < 0) | (shares[left] != shares[right])  # others meet by their hot column
+            left, right = left[apart], right[apart]
             if len(left):
                 pair = np.sort((np.minimum(left, right) << 32) | np.maximum(left, right))
                 at, count = runs(pair)
@@ -230,15 +266,22 @@ def _multiply(t: float, buckets: int):
     return work
 
 
-PAIR = "sa long, sb long"
-PAIR_SCHEMA = pa.schema([("sa", pa.int64()), ("sb", pa.int64())])
+PAIR = "sa long, sb long, hot long"
+PAIR_SCHEMA = pa.schema([("sa", pa.int64()), ("sb", pa.int64()), ("hot", pa.int64())])
 
 
 def _add(t: float):
-    """Sums of a bucket's partial counts; pairs whose overlap can't reach the bound are discarded."""
+    """Sums of a bucket's partial counts; pairs whose overlap can't reach the bound are discarded. Rows of a hot column come through as (row, size, column)."""
 
     def work(batches):
-        parts = [unpack(n, m, data.as_buffer()) for b in batches for n, m, data in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3))]
+        parts = []
+        for b in batches:
+            for n, m, data in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
+                if m:
+                    parts.append(unpack(n, m, data.as_buffer()))
+                else:
+                    sig, size, column = unpack_column(n, data.as_buffer())
+                    yield as_batch(PAIR_SCHEMA, sa=sig, sb=size, hot=column)
         if not parts:
             return
         a, b, na, nb, count = (np.concatenate(x) for x in zip(*parts))
@@ -249,7 +292,7 @@ def _add(t: float):
         total, na, nb = np.add.reduceat(count, at), na[at], nb[at]
         rest = np.ceil(t * np.maximum(na, nb) - 1e-9) - 1  # columns of the longer row that weren't sent
         go = np.minimum(np.minimum(na, nb), total + rest) >= _need(t, na, nb)
-        yield as_batch(PAIR_SCHEMA, sa=a[at[go]], sb=b[at[go]])
+        yield as_batch(PAIR_SCHEMA, sa=a[at[go]], sb=b[at[go]], hot=pa.nulls(int(go.sum()), pa.int64()))
         trim()
 
     return work
@@ -287,6 +330,45 @@ def overlaps(a: np.ndarray, b: np.ndarray, offset: np.ndarray, columns: np.ndarr
     return alive, got[alive]
 
 
+def dense_overlaps(left: np.ndarray, right: np.ndarray, offset: np.ndarray, columns: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows a, rows b, overlaps) of the pairs of a row of left and one of right that are over the threshold. Row i has columns[offset[i]:offset[i + 1]]."""
+    size = np.diff(offset)
+    total = np.zeros((len(left), len(right)), np.float32)  # counts to 2 ** 24 are exact
+    ends = []
+    for side in (left, right):
+        code = columns[spread(offset[side], size[side])]
+        row = np.repeat(np.arange(len(side)), size[side])
+        order = np.argsort(code, kind="stable")
+        ends.append((code[order], row[order]))
+    (x, x_row), (y, y_row) = ends
+    x_at, x_n = runs(x)
+    y_at, y_n = runs(y)
+    _, i, j = np.intersect1d(x[x_at], y[y_at], assume_unique=True, return_indices=True)
+    x_at, x_n, y_at, y_n = x_at[i], x_n[i], y_at[j], y_n[j]
+    many = x_n * y_n > DENSE
+    for a in range(0, int(many.sum()), CHUNK_ROWS):
+        dense = []
+        for at, n, row, rows in ((x_at, x_n, x_row, len(left)), (y_at, y_n, y_row, len(right))):
+            at, n = at[many][a : a + CHUNK_ROWS], n[many][a : a + CHUNK_ROWS]
+            m = np.zeros((rows, len(at)), np.float32)
+            m[row[spread(at, n)], np.repeat(np.arange(len(at)), n)] = 1
+            dense.append(m)
+        total += dense[0] @ dense[1].T
+    x_at, x_n, y_at, y_n = x_at[~many], x_n[~many], y_at[~many], y_n[~many]
+    done = np.concatenate([[0], np.cumsum(x_n * y_n)])
+    here = 0
+    while here < len(x_n):
+        stop = max(here + 1, int(np.searchsorted(done, done[here] + PAIRS_AT_ONCE, side="right")) - 1)
+        part = slice(here, stop)
+        each = spread(x_at[part], x_n[part])
+        times = np.repeat(y_n[part], x_n[part])
+        cell = np.repeat(x_row[each], times) * len(right) + y_row[spread(np.repeat(y_at[part], x_n[part]), times)]
+        total += np.bincount(cell, minlength=total.size).reshape(total.shape)
+        here = stop
+    i, j = np.nonzero(total >= _need(t, size[left][:, None], size[right][None, :]))
+    return left[i], right[j], total[i, j].astype(np.int64)
+
+
 def labels_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The least node of the connected component of each of n nodes."""
     label = np.arange(n)
@@ -303,6 +385,27 @@ def labels_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+def _chunks(hot: DataFrame, t: float) -> tuple[DataFrame, DataFrame | None]:
+    """(sig, n, chunk) of the rows with a hot column, and (block, x, y): the chunks x <= y that have a hot column in common and sizes that
+    may go together, numbered from 0. No meetings (None) where no column is hot.
+
+    Rows go by the least column that their columns' rows have, which brings alike rows together, then by size. That only orders
+    them: whichever chunk a row is in, that chunk meets all that share a hot column with it."""
+    if hot.isEmpty():
+        return hot, None
+    first = hot.groupBy("sig").agg(F.min("hot").alias("first"))
+    reach = hot.join(first, "sig").groupBy("hot").agg(F.min("first").alias("reach"))
+    keyed = hot.join(reach, "hot").groupBy("sig", "n").agg(F.min("reach").alias("key"))
+    up_to = Window.partitionBy("key").orderBy("n", "sig").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = [F.floor((F.count("*").over(up_to) - 1) / CHUNK_ROWS), F.floor(F.sum("n").over(up_to) / CHUNK_CELLS)]
+    chunks = checkpointed(keyed.select("sig", "n", F.xxhash64("key", *cut).alias("chunk")))
+    has = checkpointed(hot.join(chunks.select("sig", "chunk"), "sig").select("hot", "chunk").distinct())
+    range_ = chunks.groupBy("chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    meet = has.toDF("hot", "x").join(has.toDF("hot", "y"), "hot").where("x <= y").select("x", "y").distinct()
+    meet = meet.join(range_.toDF("x", "xl", "xh"), "x").join(range_.toDF("y", "yl", "yh"), "y").where((F.col("xh") >= t * F.col("yl") - 1e-9) & (F.col("yh") >= t * F.col("xl") - 1e-9))
+    return chunks, checkpointed(meet.select((F.row_number().over(Window.orderBy("x", "y")) - 1).alias("block"), "x", "y"))
+
+
 def _links(docs: DataFrame, n: int, threshold: float, finish, kind: str) -> tuple[DataFrame, DataFrame]:
     """(finish's rows for each block of pairs, members). members: (doc_id, sig, n) as profiles() makes them."""
     t, spark = threshold, docs.sparkSession
@@ -310,7 +413,14 @@ def _links(docs: DataFrame, n: int, threshold: float, finish, kind: str) -> tupl
     blocks = n_blocks(spark)
     holders = checkpointed(members.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.countDistinct("doc_id").alias("copies")))
     tiles = to_blocks(_emit_prefixes(docs, n, t, rank)).mapInArrow(_multiply(t, blocks), TILE)
-    found = shared_table(to_blocks(tiles, "bucket").mapInArrow(_add(t), PAIR), "pairs")
+    made = shared_table(to_blocks(tiles, "bucket").mapInArrow(_add(t), PAIR), "pairs")
+    chunks, meetings = _chunks(made.where("hot is not null").select(F.col("sa").alias("sig"), F.col("sb").alias("n"), "hot"), t)
+    found = made.where("hot is null").select("sa", "sb")
+    if meetings is not None:
+        where = chunks.select("sig", "chunk")
+        pair = found.join(where.toDF("sa", "ca"), "sa", "left").join(where.toDF("sb", "cb"), "sb", "left").withColumn("low", F.least("ca", "cb")).withColumn("high", F.greatest("ca", "cb"))
+        covered = (F.col("low") == F.col("x")) & (F.col("high") == F.col("y")) & F.col("ca").isNotNull() & F.col("cb").isNotNull()
+        found = checkpointed(pair.join(meetings.select("x", "y"), covered, "left_anti").select("sa", "sb"))
 
     # A pair goes where the least set near either end says, so a group of alike sets meets in one place.
     least = checkpointed(found.union(found.select("sb", "sa")).toDF("sig", "other").groupBy("sig").agg(F.least(F.min("other"), F.first("sig")).alias("low")))
@@ -319,8 +429,16 @@ def _links(docs: DataFrame, n: int, threshold: float, finish, kind: str) -> tupl
         .select("sa", "sb", F.pmod(F.xxhash64(F.least("la", "lb")), F.lit(blocks)).cast("int").alias("block"))
     )
     wanted = placed.select(F.col("sa").alias("sig"), "block").union(placed.select(F.col("sb").alias("sig"), "block")).distinct()
-    targets = wanted.join(holders, "sig").groupBy("doc_id", "sig", "copies").agg(F.collect_set("block").alias("at"))
-    row_schema = pa.schema([("block", pa.int32()), ("sig", pa.int64()), ("copies", pa.int64()), ("h", pa.binary())])
+    if meetings is not None:  # a meeting is a block of its own; instead of pairs it has the numbers of its chunks
+        numbered = meetings.select((F.col("block") + blocks).cast("int").alias("block"), "x", "y")
+        goes = numbered.select(F.col("x").alias("chunk"), "block").union(numbered.select(F.col("y").alias("chunk"), "block")).distinct()
+        wanted = wanted.union(chunks.join(goes, "chunk").select("sig", "block"))
+        placed = placed.union(numbered.select("x", "y", "block"))
+        holders = holders.join(chunks.select("sig", "chunk"), "sig", "left")
+    else:
+        holders = holders.withColumn("chunk", F.lit(None).cast("long"))
+    targets = wanted.join(holders, "sig").groupBy("doc_id", "sig", "copies", "chunk").agg(F.collect_set("block").alias("at"))
+    row_schema = pa.schema([("block", pa.int32()), ("sig", pa.int64()), ("copies", pa.int64()), ("chunk", pa.int64()), ("h", pa.binary())])
 
     def rows(batches):
         for b in slices(batches, 2 << 20):
@@ -328,15 +446,20 @@ def _links(docs: DataFrame, n: int, threshold: float, finish, kind: str) -> tupl
             starts = np.concatenate([[0], np.cumsum(size)])
             packed = np.ascontiguousarray((h >> U64(16)).view(np.uint8).reshape(-1, 8)[:, :6])  # 48 bits tell n-grams of two documents apart
             out = {k: [] for k in row_schema.names}
-            for i, (s, copies, at) in enumerate(zip(*(b.column(k).to_pylist() for k in (2, 3, 4)))):
+            filled = 0
+            for i, (s, copies, chunk, at) in enumerate(zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5)))):
                 if signed(sig[i : i + 1])[0] == s:
                     row = packed[starts[i] : starts[i + 1]].tobytes()
                     for k in at:
-                        for c, v in zip(out, (k, s, copies, row)):
+                        for c, v in zip(out, (k, s, copies, chunk, row)):
                             out[c].append(v)
+                        filled += len(row)
+                        if filled > SLICE_BYTES:  # a row of a large group goes to many blocks
+                            yield as_batch(row_schema, **out)
+                            out, filled = {k: [] for k in row_schema.names}, 0
             yield as_batch(row_schema, **out)
 
-    full = join_checked(id_and_text(docs), targets, "doc_id", "inner").select("doc_id", "text", "sig", "copies", "at").mapInArrow(rows, "block int, sig long, copies long, h binary")
+    full = join_checked(id_and_text(docs), targets, "doc_id", "inner").select("doc_id", "text", "sig", "copies", "chunk", "at").mapInArrow(rows, "block int, sig long, copies long, chunk long, h binary")
 
     def verify(left: pa.Table, right: pa.Table) -> pa.Table:
         sig = np.asarray(right.column("sig"))
@@ -346,9 +469,19 @@ def _links(docs: DataFrame, n: int, threshold: float, finish, kind: str) -> tupl
         size = np.array([len(c) // 6 for c in cells], np.int64)
         columns = np.zeros((int(size.sum()), 8), np.uint8)
         columns[:, :6] = np.frombuffer(b"".join(cells), np.uint8).reshape(-1, 6)
-        a, b = np.searchsorted(sets, np.asarray(left.column("sa"))), np.searchsorted(sets, np.asarray(left.column("sb")))
-        ok, got = overlaps(a, b, np.concatenate([[0], np.cumsum(size)]), columns.view(U64).ravel(), t)
-        made = finish(sets, size, np.asarray(right.column("copies")), a[ok], b[ok], got)
+        offset, columns = np.concatenate([[0], np.cumsum(size)]), columns.view(U64).ravel()
+        if left.num_rows and left.column("block")[0].as_py() >= blocks:
+            chunk = np.asarray(right.column("chunk"))
+            x, y = (np.flatnonzero(chunk == left.column(c)[0].as_py()) for c in ("sa", "sb"))
+            a, b, got = dense_overlaps(x, y, offset, columns, t)
+            if left.column("sa")[0] == left.column("sb")[0]:
+                once = a < b
+                a, b, got = a[once], b[once], got[once]
+        else:
+            a, b = np.searchsorted(sets, np.asarray(left.column("sa"))), np.searchsorted(sets, np.asarray(left.column("sb")))
+            ok, got = overlaps(a, b, offset, columns, t)
+            a, b = a[ok], b[ok]
+        made = finish(sets, size, np.asarray(right.column("copies")), a, b, got)
         trim()
         return made
 

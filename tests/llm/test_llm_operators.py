@@ -87,6 +87,60 @@ def test_jaccard_of_a_hot_group(spark):
     assert all(got[d] == (200, 199) for d in range(200, 400)) and all(got[d] == (d, 0) for d in range(400, 600))
 
 
+def test_jaccard_of_hot_columns(spark):
+    """A group of alike sets beyond a chunk's rows, beside two smaller ones that share columns with it, and pairs between chunks."""
+    import random
+
+    rng = random.Random(5)
+    base, rows = [f"b{k}" for k in range(40)], []
+    for d in range(jaccard.CHUNK_ROWS + 700):
+        w = list(base)
+        for _ in range(rng.randrange(1, 6)):
+            w[rng.randrange(40)] = f"x{d}" if rng.random() < 0.5 else f"y{rng.randrange(9)}"
+        rows.append((d, " ".join(w)))
+    for d in range(2000, 2000 + 2 * jaccard.HOT):
+        rows.append((d, " ".join((base[:20] if d % 2 else []) + [f"c{k}" for k in range(30)] + [f"z{d}"])))
+    rows += [(5000 + d, t) for d, t in rows[:40]]
+    sets = {d: grams(t) for d, t in rows}
+    ids = list(sets)
+    links = {d: 0 for d in ids}
+    for k, d in enumerate(ids):
+        for e in ids[k + 1 :]:
+            both = len(sets[d] & sets[e])
+            if 2 * both >= len(sets[d]) + len(sets[e]) - both:
+                links[d] += 1
+                links[e] += 1
+    got = {r.doc_id: r.n_links for r in jaccard.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == links and max(links.values()) > jaccard.CHUNK_ROWS
+
+
+def test_jaccard_multiplies_hot_columns_in_bounds():
+    """A column's pairs don't grow as the square of its rows: beyond HOT the rows are told, each once for each column."""
+    import numpy as np
+    import pyarrow as pa
+
+    rows, columns = 6 * jaccard.HOT, 5
+    row, h = np.repeat(np.arange(rows, dtype=np.uint16), columns), np.tile(np.arange(columns, dtype=np.uint32), rows)
+    cells = {"h": h, "row": row, "sig": np.arange(rows, dtype=np.int64), "n": np.full(rows, 9, np.uint32)}
+    batch = pa.RecordBatch.from_pydict({"block": pa.array([3], pa.int32()), **{k: pa.array([v.tobytes()], pa.binary()) for k, v in cells.items()}})
+    made = [(n, m, d.as_buffer()) for b in jaccard._multiply(0.5, 4)([batch]) for n, m, d in zip(b["n_sets"].to_pylist(), b["n_pairs"].to_pylist(), b["data"])]
+    assert sum(m for _, m, _ in made) <= rows * columns * jaccard.HOT // 2
+    told = {(int(c), int(s)) for n, m, d in made if not m for s, _, c in zip(*jaccard.unpack_column(n, d))}
+    assert told == {((3 << 32) | c, r) for c in range(columns) for r in range(rows)}
+
+
+def test_jaccard_dense_overlaps():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    sets = [np.unique(np.concatenate([rng.choice(60, 40, replace=False), rng.integers(100, 400, 10)])).astype(np.uint64) for _ in range(500)]
+    offset, columns = np.concatenate([[0], np.cumsum([len(s) for s in sets])]), np.concatenate(sets)
+    left, right = np.arange(0, 260), np.arange(230, 500)
+    a, b, got = jaccard.dense_overlaps(left, right, offset, columns, 0.5)
+    want = {(int(x), int(y)): n for x in left for y in right if 3 * (n := len(np.intersect1d(sets[x], sets[y], assume_unique=True))) >= len(sets[x]) + len(sets[y])}
+    assert dict(zip(zip(a.tolist(), b.tolist()), got.tolist())) == want and 0 < len(want) < 260 * 270
+
+
 def test_jaccard_tiles_round_trip():
     import numpy as np
 
