@@ -76,3 +76,23 @@ def test_empty_tables(spark, sf, tmp_path):
         spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     assert decontam.find(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/benchmark.parquet")).count() == 0
+
+
+def test_near_dedup_of_a_hot_group_writes_no_pairs(spark, monkeypatch):
+    """One document of a group of alike texts stays, and what is written on the way doesn't grow as the square of the group."""
+    import random
+
+    from polyglint.llm import jaccard
+
+    rng, size, written = random.Random(7), 600, {}
+    rows = []
+    for d in range(size):
+        w = [f"b{k}" for k in range(40)]
+        w[rng.randrange(40)] = f"x{d}"
+        rows.append((d, " ".join(w)))
+    rows += [(d, " ".join(f"u{d}v{k}" for k in range(40))) for d in range(size, size + 20)]
+    keep = jaccard.shared_table
+    monkeypatch.setattr(jaccard, "shared_table", lambda df, tag: written.setdefault(tag, keep(df, tag)))
+    left = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in left.collect()) == [0, *range(size, size + 20)]
+    assert written["pairs"].count() < size * (size - 1) / 4
