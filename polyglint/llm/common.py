@@ -8,6 +8,7 @@ digits removed; words left empty are dropped. Null texts count as empty texts.
 from __future__ import annotations
 
 import ctypes
+import functools
 import tempfile
 import uuid
 
@@ -43,10 +44,14 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/polyglint/{tag}-{uuid.uuid4().hex}"
 
 
-def shared_table(df: DataFrame, tag: str) -> DataFrame:
-    """Write a frame to the shared folder and read it again: cuts lineage, survives executors."""
+#: Parquet otherwise looks at a page's and a row group's size every 100 rows, which for cells of MBs come to far more than a task can hold.
+PACKED = {"parquet.page.size.row.check.min": 1, "parquet.block.size.row.check.min": 1, "parquet.block.size": 16 << 20}
+
+
+def shared_table(df: DataFrame, tag: str, packed: bool = False) -> DataFrame:
+    """Write a frame to the shared folder and read it again: cuts lineage, survives executors. packed: its cells are large."""
     path = shared_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.options(**(PACKED if packed else {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -63,6 +68,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def in_small_batches(operator):
+    """What operator(docs, ...) runs itself gets Arrow batches of about SLICE_BYTES. Otherwise a batch is all texts of a task, which
+    the JVM holds outside of its heap, twice over as buffers grow, and the Python worker beside the slice at hand."""
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **kwargs):
+        spark, name = docs.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+        conf, before = spark.conf, spark.conf.get(name)
+        if 0 < spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() <= SLICE_BYTES:
+            return operator(docs, *args, **kwargs)
+        conf.set(name, str(SLICE_BYTES))
+        try:
+            return operator(docs, *args, **kwargs)
+        finally:
+            conf.set(name, before)
+
+    return run
+
+
 def n_blocks(spark: SparkSession) -> int:
     """Blocks follow spark.sql.shuffle.partitions, which is sized with the data."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

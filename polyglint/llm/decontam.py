@@ -23,13 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, as_batch, id_and_text, join_checked, runs, shared_table, slices, spread, tokenize, trim, unused
+from .common import U64, as_batch, id_and_text, in_small_batches, join_checked, runs, shared_table, slices, spread, tokenize, trim, unused
 
 COVERAGE, SLACK = 0.75, 3
 ITEMS_AT_ONCE, BYTES_AT_ONCE = 20_000, 16 << 20  # items, and bytes of them, that are sent to the segments at once; more are taken in turns
 GAP = 1  # between texts; a start is only ever compared with postings of its own text
 
 
+@in_small_batches
 def build_index(docs: DataFrame) -> DataFrame:
     """The stored index: a row for each segment (docs, starts, terms, ends, positions), all packed arrays."""
     schema = pa.schema([(k, pa.binary()) for k in ("docs", "starts", "terms", "ends", "positions")])
@@ -49,7 +50,7 @@ def build_index(docs: DataFrame) -> DataFrame:
                 terms=[tok[order][at].tobytes()], ends=[(at + n).astype(np.uint32).tobytes()], positions=[where[order].astype(np.uint32).tobytes()],
             )
 
-    return shared_table(id_and_text(docs).mapInArrow(work, "docs binary, starts binary, terms binary, ends binary, positions binary"), "postings")
+    return shared_table(id_and_text(docs).mapInArrow(work, "docs binary, starts binary, terms binary, ends binary, positions binary"), "postings", packed=True)
 
 
 class Items:
@@ -153,6 +154,7 @@ def answer(items: Items, docs, starts, terms, ends, positions, coverage: float,
     return item[alive], text[alive], start[alive] - starts[text[alive]], (size - lost)[alive], whole[alive].astype(np.int64)
 
 
+@in_small_batches
 def find(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, slack: int = SLACK) -> DataFrame:
     """One row for each document and test item that match: doc_id, item_id, kind ('exact' where a start
     has every token in its place, else 'proximity'), start (token offset in the document of the best
@@ -194,6 +196,7 @@ def find(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, slac
     return best.select("doc_id", "item_id", F.when(F.col("b.e") == -1, "exact").otherwise("proximity").alias("kind"), F.col("b.start").alias("start"), (-F.col("b.m")).alias("met"), F.col("b.n_tokens").alias("n_tokens"))
 
 
+@in_small_batches
 def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, slack: int = SLACK) -> DataFrame:
     """The rows of docs, all columns, without the documents that match a test item by find().
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, U64, as_batch, block_of, by_doc, checkpointed, components, id_and_text, join_checked, mix, n_blocks, runs, shared_table, signed, slices, spread, to_blocks, tokenize, trim
+from .common import SLICE_BYTES, U64, as_batch, block_of, by_doc, checkpointed, components, id_and_text, in_small_batches, join_checked, mix, n_blocks, runs, shared_table, signed, slices, spread, to_blocks, tokenize, trim
 
 N, THRESHOLD = 3, 0.5
 CELLS = 1 << 20  # of the frequency table; it only orders columns, so collisions cost time, not pairs
@@ -406,6 +406,7 @@ def _chunks(hot: DataFrame, t: float) -> tuple[DataFrame, DataFrame | None]:
     return chunks, checkpointed(meet.select((F.row_number().over(Window.orderBy("x", "y")) - 1).alias("block"), "x", "y"))
 
 
+@in_small_batches
 def _links(docs: DataFrame, n: int, threshold: float, finish, kind: str) -> tuple[DataFrame, DataFrame]:
     """(finish's rows for each block of pairs, members). members: (doc_id, sig, n) as profiles() makes them."""
     t, spark = threshold, docs.sparkSession

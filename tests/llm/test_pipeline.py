@@ -1,5 +1,7 @@
 """The corpus pipeline, stage by stage and whole, against brute force."""
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +98,17 @@ def test_near_dedup_of_a_hot_group_writes_no_pairs(spark, monkeypatch):
     left = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert sorted(r.doc_id for r in left.collect()) == [0, *range(size, size + 20)]
     assert written["pairs"].count() < size * (size - 1) / 4
+
+
+def test_a_task_holds_a_part_of_its_texts(spark, tmp_path):
+    """Batches, and the row groups and pages of the index, are cut by bytes: neither is all texts of a task."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    texts = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(1500)), lambda k: F.conv(F.xxhash64("id", k).cast("string"), 10, 36))).alias("text"))
+    texts.write.parquet(f"{tmp_path}/texts")
+    before, texts = spark.conf.get(name), spark.read.parquet(f"{tmp_path}/texts").coalesce(1)
+    sizes = common.in_small_batches(lambda docs: docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": pa.array([b.nbytes], pa.int64())}) for b in batches), "n long").collect())(texts)
+    assert sum(r.n for r in sizes) > 6 * common.SLICE_BYTES and max(r.n for r in sizes) < 1.5 * common.SLICE_BYTES
+    index = decontam.build_index(texts)
+    assert spark.conf.get(name) == before and index.count() > 6
+    groups = [f.metadata.row_group(k) for f in (pq.ParquetFile(p.removeprefix("file://")) for p in index.inputFiles()) for k in range(f.metadata.num_row_groups)]
+    assert len(groups) > 2 and max(g.total_byte_size for g in groups) < 6 * common.SLICE_BYTES
