@@ -5,7 +5,7 @@ P(class | before) P(token | class): classes part the vocabulary into bins of abo
 P(token | class) comes from counts over all documents. P(class | before) is one block of causal
 self-attention over a window. Training data is all tokens of every document, in windows end to
 end, stored in the shared folder; in each round every shard trains a copy of the model and the
-copies are averaged. To score, a document's windows overlap: all but the first give their first
+copies are averaged. Ids are stored as 16 bits where the vocabulary allows it, in windows too. To score, a document's windows overlap: all but the first give their first
 WINDOW - STRIDE tokens as context only, so each token is scored once, with that much context at
 least; a mask hides later tokens, and windows go through attention in batches.
 """
@@ -196,12 +196,6 @@ def gradient(w: dict, before: np.ndarray, classes: np.ndarray, target: np.ndarra
     return loss, flat
 
 
-def shifted(ids: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The id before each place of a window, and its class; -1 and CLASSES at a document's start or padding."""
-    classes = np.where(ids >= 0, of[np.maximum(ids, 0)], CLASSES)
-    return ids, classes
-
-
 def train_windows(ids: np.ndarray, count: np.ndarray):
     """Yields windows of WINDOW + 1 ids (-1: none), BATCH at a time: each text from end to end, each token once after the first id, which is
     the one before. In a mixed order, so that a batch is of many texts."""
@@ -217,13 +211,32 @@ def train_windows(ids: np.ndarray, count: np.ndarray):
         yield np.where(inside, ids[np.minimum(begin[text[part], None] + np.maximum(at, 0), len(ids) - 1)], -1).astype(np.int32)
 
 
+def kept_as(size: int):
+    """The type that ids are stored in. Its greatest value is no id, as it stands for none."""
+    return np.uint16 if size < 1 << 16 else np.uint32
+
+
 def gather(docs: DataFrame, path: str) -> tuple[np.ndarray, DataFrame, DataFrame]:
+    """stored(), but windows of int32, -1: none."""
+    counts, windows, tokens = stored(docs, path)
+    kind = kept_as(len(counts))
+
+    def widen(batches):
+        for b in batches:
+            rows = [np.frombuffer(c.as_buffer(), kind) for c in b.column(0)]
+            yield pa.RecordBatch.from_pydict({"data": pa.array([np.where(r == np.iinfo(kind).max, -1, r.astype(np.int32)).astype(np.int32).tobytes() for r in rows], pa.binary())})
+
+    return counts, windows.mapInArrow(widen, "data binary"), tokens
+
+
+def stored(docs: DataFrame, path: str) -> tuple[np.ndarray, DataFrame, DataFrame]:
     """(counts of every id over all documents, table of training windows, table of the documents' ids: docs, count, data).
 
     Texts are cut into subwords once. Batches of training windows are dealt to the shards at random, as averaging wants.
+    Ids are of the type kept_as() tells, in windows with its greatest value for none.
     """
     size = vocabulary_size(path)
-    kind = np.uint16 if size <= 1 << 16 else np.uint32
+    kind = kept_as(size)
     schema = pa.schema([("part", pa.int32()), ("docs", pa.binary()), ("count", pa.binary()), ("data", pa.binary())])
 
     def work(batches):
@@ -244,7 +257,7 @@ def gather(docs: DataFrame, path: str) -> tuple[np.ndarray, DataFrame, DataFrame
             for n, i in zip(b.column(0), b.column(1)):
                 rows = []
                 for w in train_windows(np.frombuffer(i.as_buffer(), kind).astype(np.int32), np.frombuffer(n.as_buffer(), np.int64)):
-                    rows.append(w.tobytes())
+                    rows.append(w.astype(kind).tobytes())
                     if len(rows) == SHARD:
                         yield pa.RecordBatch.from_pydict({"data": pa.array(rows, pa.binary())})
                         rows = []
@@ -267,21 +280,20 @@ def gather(docs: DataFrame, path: str) -> tuple[np.ndarray, DataFrame, DataFrame
 
 
 def train(windows: DataFrame, classes: Classes, rounds: int = ROUNDS, rate: float = RATE) -> np.ndarray:
-    """The model's weights. A round: each shard goes once over its windows from the same weights, by Adam; weights are averaged by the shards' windows."""
-    sc, weights = windows.sparkSession.sparkContext, start_weights()
-    of = sc.broadcast(classes.of)
+    """The model's weights. windows: stored()'s. A round: each shard goes once over its windows from the same weights, by Adam; weights are averaged by the shards' windows."""
+    sc, weights, size = windows.sparkSession.sparkContext, start_weights(), len(classes.of)
+    kind_of, target_of = (sc.broadcast(np.append(classes.of, none)) for none in (CLASSES, -1))
 
     def shard(batches, sent, k):
         total, seen, step = np.zeros(SIZE, np.float64), 0, 0
         for b in batches:
             for c in b.column(0):
-                part = np.frombuffer(c.as_buffer(), np.int32).reshape(-1, WINDOW + 1).astype(np.int64)
+                part = np.frombuffer(c.as_buffer(), kept_as(size)).reshape(-1, WINDOW + 1)
+                known = np.minimum(part, size)
                 if not step:  # a copy begins
                     flat, mine = sent.value.copy(), 0
                     m, v = np.zeros(SIZE, np.float32), np.zeros(SIZE, np.float32)
-                before, cls = shifted(part[:, :-1], of.value)
-                target = np.where(part[:, 1:] >= 0, of.value[np.maximum(part[:, 1:], 0)], -1)
-                _, g = gradient(parts(flat), before, cls, target)
+                _, g = gradient(parts(flat), part[:, :-1], kind_of.value.take(known[:, :-1]), target_of.value.take(known[:, 1:]))
                 step += 1
                 m += np.float32(0.1) * (g - m)
                 v += np.float32(0.01) * (g * g - v)
@@ -386,8 +398,8 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, rounds: int = ROUNDS) -
     scored one by one and alike. An empty table gives no rows. Extra columns aren't read.
     """
     spark = docs.sparkSession
-    counts, windows, tokens = gather(docs, vocabulary)
-    kind = np.uint16 if len(counts) <= 1 << 16 else np.uint32
+    counts, windows, tokens = stored(docs, vocabulary)
+    kind = kept_as(len(counts))
     classes = Classes(counts)
     weights = train(windows, classes, rounds)
     sent = spark.sparkContext.broadcast((weights, classes.of.astype(np.int64), classes.within))

@@ -116,3 +116,13 @@ def test_it_trains_on_every_token(spark):
     got = np.concatenate([np.frombuffer(r.data, np.int32).reshape(-1, lm.WINDOW + 1) for r in windows.collect()])
     real = got[:, 1:] >= 0
     assert sorted(zip(got[:, :-1][real].tolist(), got[:, 1:][real].tolist())) == want and counts.sum() == len(ids)
+
+
+def test_stored_windows_are_as_narrow_as_ids(spark):
+    """An id takes two bytes in the table of windows, and so on the way there, as in that of documents; none is told apart from every id."""
+    frame = spark.createDataFrame([(k, " ".join(f"w{k * i}" for i in range(50 * k))) for k in range(8)], "doc_id long, text string")
+    _, count = lm.subwords(pa.array([r.text for r in frame.orderBy("doc_id").collect()]), lm.VOCABULARY)
+    _, windows, _ = lm.gather(frame, lm.VOCABULARY)
+    held = sum(len(r.data) for r in spark.read.parquet(*windows.inputFiles()).collect())
+    assert held == 2 * (lm.WINDOW + 1) * int((-(-count // lm.WINDOW)).sum())
+    assert lm.kept_as(65_535) is np.uint16 and lm.kept_as(65_536) is np.uint32
