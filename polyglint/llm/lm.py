@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_batch, id_and_text, mix, runs, shared_table, slices, spread, trim
+from .common import as_batch, id_and_text, keep_memory, mix, shared_table, slices, spread, trim
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 WINDOW, STRIDE, WIDTH, CLASSES, HASHED = 32, 24, 16, 64, 4096
@@ -85,6 +85,7 @@ class Classes:
 
 SHAPES = {"token": (HASHED, WIDTH), "class": (CLASSES + 1, WIDTH), "place": (WINDOW, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "o": (WIDTH, WIDTH), "up": (WIDTH, 2 * WIDTH), "down": (2 * WIDTH, WIDTH), "out": (WIDTH, CLASSES), "bias": (1, CLASSES)}
 SIZE = sum(a * b for a, b in SHAPES.values())
+_PAIRS = np.arange(max(HASHED, CLASSES + 1) * (WIDTH // 2)).reshape(-1, WIDTH // 2)
 _LOWER = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 _MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
 
@@ -127,75 +128,115 @@ def forward(w: dict, before: np.ndarray, classes: np.ndarray):
     return (x, q, k, v, a, mixed, h, f, z, e / total), logits - np.log(total)
 
 
+def product_over_rows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a.T @ b of tall arrays, in stretches of rows, which is twice as fast."""
+    if len(a) % 256:
+        return a.T @ b
+    return (a.reshape(-1, 256, a.shape[1]).transpose(0, 2, 1) @ b.reshape(-1, 256, b.shape[1])).sum(0)
+
+
+def add_rows(to: np.ndarray, index: np.ndarray, rows: np.ndarray) -> None:
+    """to[index] += rows, where indices repeat. Pairs of numbers are added as one complex number."""
+    np.add.at(to.reshape(-1).view(np.complex64), _PAIRS.take(index, 0).ravel(), rows.reshape(-1).view(np.complex64))
+
+
 def gradient(w: dict, before: np.ndarray, classes: np.ndarray, target: np.ndarray) -> tuple[float, np.ndarray]:
     """Mean loss of the targets (classes; -1: no token there) and its gradient."""
     windows, length = before.shape
-    token, kind, t = (before % HASHED).ravel(), classes.ravel(), target.ravel()
-    real, every = t >= 0, np.arange(t.size)
-    n, t = max(1, int(real.sum())), np.maximum(t, 0)
-    # forward(), in place
+    token, kind, t = (before & (HASHED - 1)).ravel().astype(np.int64), classes.ravel(), target.ravel()
+    real = t >= 0
+    n = max(1, int(real.sum()))
+    spot = np.arange(0, t.size * CLASSES, CLASSES)
+    spot += np.maximum(t, 0)
+    # forward(), in place; q is scaled with its weights, and attention is divided by its sums after it has met v
     x = w["token"].take(token, 0)
     x += w["class"].take(kind, 0)
-    x.reshape(windows, length, WIDTH)[:] += w["place"][:length]
-    wide = np.concatenate([w["q"], w["k"], w["v"]], 1)
+    x.reshape(windows, -1)[:] += w["place"][:length].ravel()
+    scale = np.float32(1 / np.sqrt(WIDTH))
+    wide = np.concatenate([w["q"] * scale, w["k"], w["v"]], 1)
     qkv = (x @ wide).reshape(windows, length, 3, WIDTH)
     q, k, v = qkv[:, :, 0], qkv[:, :, 1], qkv[:, :, 2]
-    a = q @ k.transpose(0, 2, 1)
-    a *= np.float32(1 / np.sqrt(WIDTH))
+    a = q @ np.ascontiguousarray(k.transpose(0, 2, 1))  # products of small matrices take twice as long otherwise
     np.clip(a, -30, 30, out=a)
     np.exp(a, out=a)
     a *= _LOWER[:length, :length]
-    a /= a.sum(2, keepdims=True)
+    over = 1 / (a.reshape(-1, length) @ np.ones(length, np.float32))[:, None]
     mixed = (a @ v).reshape(-1, WIDTH)
+    mixed *= over
     h = mixed @ w["o"]
     h += x
     f = h @ w["up"]
-    np.maximum(f, 0, out=f)
+    np.clip(f, 0, np.inf, out=f)  # faster than maximum
     z = f @ w["down"]
     z += h
     dl = z @ w["out"]
-    dl += w["bias"]
+    dl.reshape(windows, -1)[:] += np.tile(w["bias"][0], length)
     if max(dl.max(), -dl.min()) > 60:  # keeps exp finite, and sums above zero
         dl -= dl.max(1, keepdims=True)
-    hit = dl[every, t]
+    each = dl.reshape(-1)
+    hit = each.take(spot)
     np.exp(dl, out=dl)
-    total = dl.sum(1)
+    total = dl @ np.ones(CLASSES, np.float32)
     loss = float((np.log(total) - hit)[real].sum()) / n
-    share = (real / n).astype(np.float32)
-    dl *= (share / total)[:, None]
-    dl[every, t] -= share
+    # dl times share is the loss's gradient; what it meets is multiplied, which is narrower
+    each[spot] -= total
+    share = real * np.float32(1 / n) / total
     flat = np.zeros(SIZE, np.float32)
     g = parts(flat)
-    g["out"][:], g["bias"][:] = z.T @ dl, dl.sum(0)
+    g["out"][:], g["bias"][:] = product_over_rows(z * share[:, None], dl), share @ dl
     dz = dl @ w["out"].T
-    g["down"][:] = f.T @ dz
+    dz *= share[:, None]
+    g["down"][:] = product_over_rows(f, dz)
     du = dz @ w["down"].T
     du *= f > 0
-    g["up"][:] = h.T @ du
+    g["up"][:] = product_over_rows(h, du)
     dh = du @ w["up"].T
     dh += dz
-    g["o"][:] = mixed.T @ dh
-    dm = (dh @ w["o"].T).reshape(windows, length, WIDTH)
-    ds = dm @ v.transpose(0, 2, 1)
-    dqkv = np.empty((windows, length, 3, WIDTH), np.float32)
-    dqkv[:, :, 2] = a.transpose(0, 2, 1) @ dm
-    ds -= np.einsum("wij,wij->wi", ds, a)[:, :, None]
+    g["o"][:] = product_over_rows(mixed, dh)
+    dm = dh @ w["o"].T
+    dm *= over
+    away = ((dm * mixed) @ np.ones(WIDTH, np.float32)).reshape(windows, length, 1)
+    dm = dm.reshape(windows, length, WIDTH)
+    ds = dm @ np.ascontiguousarray(v.transpose(0, 2, 1))
+    ds -= away
     ds *= a
-    ds *= np.float32(1 / np.sqrt(WIDTH))
-    dqkv[:, :, 0], dqkv[:, :, 1] = ds @ k, ds.transpose(0, 2, 1) @ q
+    dqkv = np.empty((windows, length, 3, WIDTH), np.float32)
+    np.matmul(ds, k, out=dqkv[:, :, 0])
+    np.matmul(ds.transpose(0, 2, 1), q, out=dqkv[:, :, 1])
+    np.matmul(a.transpose(0, 2, 1), dm, out=dqkv[:, :, 2])
     dqkv = dqkv.reshape(-1, 3 * WIDTH)
     dx = dqkv @ wide.T
     dx += dh
-    g["q"][:], g["k"][:], g["v"][:] = np.split(x.T @ dqkv, 3, 1)
-    for name, index in (("token", token), ("class", kind)):
-        order = np.argsort(index.astype(np.uint16), kind="stable")
-        value = index[order]
-        head, _ = runs(value)
-        g[name][value[head]] = np.add.reduceat(dx[order], head)
+    g["q"][:], g["k"][:], g["v"][:] = np.split(product_over_rows(x, dqkv), 3, 1)
+    g["q"][:] *= scale
+    add_rows(g["token"], token, dx)
+    add_rows(g["class"], kind, dx)
     g["place"][:length] = dx.reshape(windows, length, WIDTH).sum(0)
     return loss, flat
 
 
+class Adam:
+    """Steps by running means of the gradient and its square. The means are kept without the factors 0.1 and 0.01, all in place."""
+
+    def __init__(self):
+        self.m, self.v, self.work, self.step = np.zeros(SIZE, np.float32), np.zeros(SIZE, np.float32), np.empty(SIZE, np.float32), 0
+
+    def take(self, flat: np.ndarray, g: np.ndarray, rate: float) -> None:
+        """One step from flat, in place; overwrites g."""
+        self.step += 1
+        self.m *= np.float32(0.9)
+        self.m += g
+        np.multiply(g, g, out=g)
+        self.v *= np.float32(0.99)
+        self.v += g
+        root = np.sqrt(0.01 / (1 - 0.99**self.step))
+        np.sqrt(self.v, out=self.work)
+        self.work += np.float32(1e-8 / root)
+        np.divide(self.m, self.work, out=self.work)
+        self.work *= np.float32(rate * 0.1 / (1 - 0.9**self.step) / root)
+        flat -= self.work
+
+
 def train_windows(ids: np.ndarray, count: np.ndarray):
     """Yields windows of WINDOW + 1 ids (-1: none), BATCH at a time: each text from end to end, each token once after the first id, which is
     the one before. In a mixed order, so that a batch is of many texts."""
@@ -285,23 +326,20 @@ def train(windows: DataFrame, classes: Classes, rounds: int = ROUNDS, rate: floa
     kind_of, target_of = (sc.broadcast(np.append(classes.of, none)) for none in (CLASSES, -1))
 
     def shard(batches, sent, k):
-        total, seen, step = np.zeros(SIZE, np.float64), 0, 0
+        keep_memory()
+        total, seen, adam = np.zeros(SIZE, np.float64), 0, None
         for b in batches:
             for c in b.column(0):
                 part = np.frombuffer(c.as_buffer(), kept_as(size)).reshape(-1, WINDOW + 1)
                 known = np.minimum(part, size)
-                if not step:  # a copy begins
-                    flat, mine = sent.value.copy(), 0
-                    m, v = np.zeros(SIZE, np.float32), np.zeros(SIZE, np.float32)
+                if adam is None:  # a copy begins
+                    flat, mine, adam = sent.value.copy(), 0, Adam()
                 _, g = gradient(parts(flat), part[:, :-1], kind_of.value.take(known[:, :-1]), target_of.value.take(known[:, 1:]))
-                step += 1
-                m += np.float32(0.1) * (g - m)
-                v += np.float32(0.01) * (g * g - v)
-                flat -= np.float32(rate / (1 + k)) * (m / np.float32(1 - 0.9**step)) / (np.sqrt(v / np.float32(1 - 0.99**step)) + np.float32(1e-8))
+                adam.take(flat, g, rate / (1 + k))
                 mine += len(part)
-                if step == SHARD:
-                    total, seen, step = total + mine * flat.astype(np.float64), seen + mine, 0
-        if step:
+                if adam.step == SHARD:
+                    total, seen, adam = total + mine * flat.astype(np.float64), seen + mine, None
+        if adam:
             total, seen = total + mine * flat.astype(np.float64), seen + mine
         if seen:
             yield pa.RecordBatch.from_pydict({"g": pa.array([TaskContext.get().partitionId() % 64], pa.int32()), "n": pa.array([seen], pa.int64()), "data": pa.array([(total / seen).astype(np.float32).tobytes()], pa.binary())})
@@ -324,35 +362,33 @@ def train(windows: DataFrame, classes: Classes, rounds: int = ROUNDS, rate: floa
     return weights
 
 
-def target_log_probs(w: dict, before: np.ndarray, classes: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """log P(target class) at each place: forward() without what only training needs, as few passes over memory as will do.
+def target_log_probs(w: dict, before: np.ndarray, classes: np.ndarray, target: np.ndarray, skip: int = 0) -> np.ndarray:
+    """log P(target class) at each place from skip on: forward() without what only training needs, as few passes over memory as will do.
     Products are by window, so that equal windows get equal numbers wherever they stand: how a large product rounds depends on a row's place."""
     windows, length = before.shape
     x = w["token"].take(before & (HASHED - 1), 0)
     x += w["class"].take(classes, 0)
-    x += w["place"][:length]
+    x.reshape(windows, -1)[:] += w["place"][:length].ravel()
     qkv = (x @ w["qkv"]).reshape(windows, length, 3, WIDTH)
-    a = qkv[:, :, 0] @ qkv[:, :, 1].transpose(0, 2, 1)  # q was scaled with its weights
+    a = qkv[:, skip:, 0] @ np.ascontiguousarray(qkv[:, :, 1].transpose(0, 2, 1))  # q was scaled with its weights
     np.clip(a, -30, 30, out=a)
     np.exp(a, out=a)
-    a *= _LOWER[:length, :length]
+    a *= _LOWER[skip:length, :length]
     mixed = a @ qkv[:, :, 2]
-    mixed /= a.sum(2, keepdims=True)
+    mixed /= a @ np.ones((length, 1), np.float32)
     h = mixed @ w["o"]
-    h += x
+    h += x[:, skip:]
     f = h @ w["up"]
-    np.maximum(f, 0, out=f)
+    np.clip(f, 0, np.inf, out=f)
     z = f @ w["down"]
     z += h
-    logits = (z @ w["out"]).reshape(windows * length, -1)
-    logits += w["bias"]
-    every = np.arange(len(logits))
-    top = logits.max(1, keepdims=True)
-    if top.max() > 60:  # far from any trained model; keeps exp finite all the same
-        logits -= np.maximum(top - 60, 0)
-    hit = logits[every, target.ravel()]
+    logits = z @ w["out"]
+    logits.reshape(windows, -1)[:] += np.tile(w["bias"][0], length - skip)
+    if logits.max() > 60:  # far from any trained model; keeps exp finite all the same
+        logits -= np.maximum(logits.max(2, keepdims=True) - 60, 0)
+    hit = logits.reshape(-1).take(np.arange(0, logits.size, CLASSES) + target[:, skip:].ravel())
     np.exp(logits, out=logits)
-    return (hit - np.log(logits.sum(1))).reshape(windows, length)
+    return hit.reshape(windows, -1) - np.log(logits @ np.ones((CLASSES, 1), np.float32))[:, :, 0]
 
 
 def for_scoring(w: dict) -> dict:
@@ -374,17 +410,18 @@ def score_texts(ids: np.ndarray, count: np.ndarray, w: dict, classes: Classes) -
     cls = classes.of.astype(np.int32)[ids]
     value = classes.within[ids].astype(np.float64)
     steps = np.arange(WINDOW)
-    for a in range(0, len(text), SCORED):
-        part = slice(a, a + SCORED)
-        at = np.minimum(begin[part, None] + steps, len(ids) - 1)
-        inside = steps < left[part, None]
-        earlier = np.maximum(at - 1, 0)
-        before, kind = ids[earlier], cls[earlier]
-        head = nth[part] == 0
-        before[head, 0], kind[head, 0] = -1, CLASSES  # nothing is before a text's first token
-        new = inside & ((steps >= context) | head[:, None])
-        logp = target_log_probs(w, before, kind, cls[at])
-        value[at[new]] += logp[new]
+    for head in (True, False):  # first windows of their texts, all of which is new, and others
+        chosen, skip = np.flatnonzero((nth == 0) == head), 0 if head else context
+        for a in range(0, len(chosen), SCORED):
+            part = chosen[a : a + SCORED]
+            at = np.minimum(begin[part, None] + steps, len(ids) - 1)
+            earlier = np.maximum(at - 1, 0)
+            before, kind = ids.take(earlier), cls.take(earlier)
+            if head:
+                before[:, 0], kind[:, 0] = -1, CLASSES  # nothing is before a text's first token
+            logp = target_log_probs(w, before, kind, cls.take(at), skip)
+            new = steps[skip:] < left[part, None]
+            value[at[:, skip:][new]] += logp[new]
     some = np.flatnonzero(count > 0)
     total = np.zeros(len(count))
     total[some] = np.add.reduceat(value, (np.cumsum(count) - count)[some])
@@ -406,6 +443,7 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, rounds: int = ROUNDS) -
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("log_prob", pa.float64()), ("perplexity", pa.float64())])
 
     def work(batches):
+        keep_memory()
         flat, of, within = sent.value
         w, classes = for_scoring(parts(flat)), Classes.__new__(Classes)
         classes.of, classes.within = of, within
