@@ -29,7 +29,10 @@ from pyspark.sql import functions as F
 from .common import SLICE_BYTES, U64, as_batch, block_of, by_doc, checkpointed, components, id_and_text, in_small_batches, join_checked, mix, n_blocks, runs, shared_table, signed, slices, spread, to_blocks, tokenize, trim
 
 N, THRESHOLD = 3, 0.5
-CELLS = 1 << 20  # of the frequency table; it only orders columns, so collisions cost time, not pairs
+# Cells of the frequency table: so many a block, as blocks grow in number with the data, and from LEAST to MOST. It only orders columns, so
+# collisions cost time and disk, not pairs: in a table too small for its data common columns look like any other, and get into prefixes.
+CELLS, LEAST_CELLS, MOST_CELLS = 1 << 18, 1 << 20, 1 << 26
+CELLS_PART = 1 << 18  # counted together
 PART = 1 << 15
 PAIRS_AT_ONCE = 1 << 21
 STRIPES = 4  # of columns, in the last step
@@ -82,39 +85,65 @@ def sets_of(batch, n: int):
     return np.asarray(batch.column(0)), sig, size, h, d
 
 
-def _cell(h: np.ndarray) -> np.ndarray:
-    return (h & U64(CELLS - 1)).astype(np.int64)
+def n_cells(blocks: int) -> int:
+    """A power of two."""
+    return min(MOST_CELLS, max(LEAST_CELLS, 1 << (blocks * CELLS - 1).bit_length()))
+
+
+def _cell(h: np.ndarray, cells: int) -> np.ndarray:
+    return (h & U64(cells - 1)).astype(np.uint32)
+
+
+def pack_counts(counts: np.ndarray) -> bytes:
+    """A part of a task's table, mostly zeros: steps between the cells in use, and their counts."""
+    at = np.flatnonzero(counts)
+    return len(at).to_bytes(4, "little") + pa.Codec("zstd", 1).compress(planes(np.diff(at, prepend=0)).tobytes() + counts[at].tobytes(), asbytes=True)
+
+
+def unpack_counts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(cells in use, their counts)."""
+    n = int.from_bytes(data[:4], "little")
+    raw = np.frombuffer(pa.Codec("zstd").decompress(data[4:], 5 * n), np.uint8)
+    step = np.ascontiguousarray(raw[: 4 * n].reshape(4, n).T).view(np.uint32).ravel()
+    return np.cumsum(step, dtype=np.int64), raw[4 * n :]
 
 
 def profiles(docs: DataFrame, n: int) -> tuple[DataFrame, bytes]:
-    """Table (doc_id, sig, n), sig null for a document without an n-gram, and the frequency table."""
+    """Table (doc_id, sig, n), sig null for a document without an n-gram, and a byte for each cell: how frequent its n-grams are."""
     schema = pa.schema([("doc_id", pa.int64()), ("sig", pa.int64()), ("n", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
+    cells = n_cells(n_blocks(docs.sparkSession))
 
     def work(batches):
-        total = np.zeros(CELLS, np.int64)
+        total = np.zeros(cells, np.uint8)  # up to 255 a task; more is frequent enough
         for b in slices(batches):
             ids, sig, size, h, d = sets_of(b, n)
-            total += np.bincount(_cell(h), minlength=CELLS)
+            used = np.sort(_cell(h, cells))
+            at, times = runs(used)
+            used = used[at]
+            total[used] = np.minimum(total[used] + times, 255)
             k = b.num_rows
             yield as_batch(schema, doc_id=ids, sig=pa.array(signed(sig), mask=size == 0), n=size, part=pa.nulls(k, pa.int32()), counts=pa.nulls(k, pa.binary()))
-        if total.any():
-            parts = range(CELLS // PART)
-            yield as_batch(schema, **{c: pa.nulls(len(parts), pa.int64()) for c in ("doc_id", "sig", "n")}, part=list(parts), counts=[total[p * PART : (p + 1) * PART].astype(np.uint32).tobytes() for p in parts])
+        for p in range(cells // CELLS_PART):
+            part = total[p * CELLS_PART : (p + 1) * CELLS_PART]
+            if part.any():
+                yield as_batch(schema, **{c: pa.nulls(1, pa.int64()) for c in ("doc_id", "sig", "n")}, part=[p], counts=[pack_counts(part)])
 
     made = shared_table(id_and_text(docs).mapInArrow(work, "doc_id long, sig long, n long, part int, counts binary"), "profiles")
+    load = max(1.0, (made.where("part is null").agg(F.sum("n")).first()[0] or 0) / cells)
 
     def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(PART, np.int64)
+        total = np.zeros(CELLS_PART, np.int64)
         for c in table.column("counts"):
-            total += np.frombuffer(c.as_buffer(), np.uint32)
-        return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
+            at, times = unpack_counts(c.as_py())
+            total[at] += times
+        rank = np.minimum(255, np.round(16 * np.log2(1 + total / load))).astype(np.uint8)
+        return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "rank": pa.array([rank.tobytes()], pa.binary())})
 
-    summed = made.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
-    table = np.zeros(CELLS, np.uint32)
-    for r in summed:  # of fixed size: CELLS counts, whatever the input
-        table[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(r["counts"], np.uint32)
-    rank = np.minimum(255, np.round(16 * np.log2(1 + table / max(1.0, float(np.median(table)))))).astype(np.uint8)
-    return made.where("part is null").select("doc_id", "sig", "n"), rank.tobytes()
+    summed = made.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(add, "part int, rank binary")
+    rank = bytearray(cells)
+    for r in summed.collect():  # a byte a cell, MOST_CELLS at most, whatever the input
+        rank[r["part"] * CELLS_PART : (r["part"] + 1) * CELLS_PART] = r["rank"]
+    return made.where("part is null").select("doc_id", "sig", "n"), bytes(rank)
 
 
 def _need(t: float, a, b):
@@ -131,7 +160,7 @@ def _emit_prefixes(docs: DataFrame, n: int, t: float, rank: bytes) -> DataFrame:
         frequent = np.frombuffer(shared.value, np.uint8)
         for b in slices(batches):
             _, sig, size, h, d = sets_of(b, n)
-            order = by_doc((frequent[_cell(h)].astype(U64) << U64(56)) | (h >> U64(8)), d)
+            order = by_doc((frequent[_cell(h, len(frequent))].astype(U64) << U64(56)) | (h >> U64(8)), d)
             h, d = h[order], d[order]
             starts, lengths = runs(d)
             take = spread(starts, lengths - np.ceil(t * lengths - 1e-9).astype(np.int64) + 1)

@@ -668,3 +668,18 @@ def test_a_text_of_very_many_lines(spark):
     long = spark.createDataFrame([(1000, "\n".join(["A line of words here."] * 20_000)), (1001, None), (1001, "\n" * 50_000)], "doc_id long, text string")
     got = {(r.doc_id, r.n_lines) for r in crf.classify(docs.union(long), labels).where("doc_id >= 1000").collect()}
     assert got == {(1000, 20_000), (1001, 0)}
+
+
+def test_jaccard_frequency_table_grows(spark):
+    """Common columns stay apart from others only where the table grows with the data, and its cells count all documents."""
+    import numpy as np
+
+    assert jaccard.n_cells(1) == jaccard.n_cells(4) and jaccard.n_cells(600) >= 32 * jaccard.n_cells(4)
+    counts = np.zeros(jaccard.CELLS_PART, np.uint8)
+    counts[[0, 5, 70_000, jaccard.CELLS_PART - 1]] = 1, 255, 7, 2
+    at, times = jaccard.unpack_counts(jaccard.pack_counts(counts))
+    assert at.tolist() == np.flatnonzero(counts).tolist() and times.tolist() == [1, 255, 7, 2]
+    rows = [(d, "one and all " + " ".join(f"w{d}x{i}" for i in range(20))) for d in range(400)]
+    _, rank = jaccard.profiles(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3)
+    assert len(rank) == jaccard.n_cells(4) and max(rank) >= round(16 * np.log2(401)) and sum(x > 100 for x in rank) == 1
+    assert sum(x > 0 for x in rank) > 7900  # 400 x 20 and one, but for a few that share a cell
