@@ -23,12 +23,24 @@ def turns(spark, sf_dir) -> DataFrame:
     return a.join(b, ["conv_id", "turn"]).select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("key"), "source", "translation")
 
 
-def neighbours(spark, sf_dir) -> DataFrame:
-    """documents k and k + 1 as (source, translation), language from the second."""
-    d = table(spark, sf_dir, "documents")
-    a = d.select("doc_id", F.col("text").alias("source"))
-    b = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("translation"), F.col("lang").alias("language"))
-    return a.join(b, "doc_id").select(F.lit("documents").alias("catalog"), F.col("doc_id").cast("string").alias("key"), "language", F.lit("").alias("path"), "source", "translation")
+#: With as many partitions at most, texts are shuffled without being held in memory (spark.shuffle.sort.bypassMergeThreshold).
+STREAMED = 200
+
+
+def neighbours(spark, sf_dir, features) -> DataFrame:
+    """documents k and k + 1 as (source, translation), language from the second. features(text, language): what is kept of each text, as a struct.
+
+    Texts are spread over tasks, whatever their file's row groups, read once, and never sorted or joined; k and k + 1 meet by what is kept."""
+    n = min(STREAMED, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    d = table(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", "text", "lang").repartition(n, "doc_id")
+    kept = d.select("doc_id", F.col("lang").alias("language"), features(F.col("text"), F.col("lang")).alias("of"))
+    sides = F.array(
+        F.struct(F.col("doc_id").alias("k"), F.struct(F.col("of")).alias("source"), F.when(F.lit(False), F.struct("language", "of")).alias("translation")),
+        F.struct((F.col("doc_id") - 1).alias("k"), F.when(F.lit(False), F.struct(F.col("of"))).alias("source"), F.struct("language", "of").alias("translation")),
+    )
+    met = kept.select(F.explode(sides).alias("x")).select("x.*").groupBy("k").agg(F.collect_list("source").alias("s"), F.collect_list("translation").alias("t"))
+    pairs = met.where((F.size("s") > 0) & (F.size("t") > 0)).select("k", F.explode("s").alias("s"), "t").select("k", "s", F.explode("t").alias("t"))
+    return pairs.select(F.lit("documents").alias("catalog"), F.col("k").cast("string").alias("key"), F.col("t.language").alias("language"), F.lit("").alias("path"), F.col("s.of").alias("source"), F.col("t.of").alias("translation"))
 
 
 def parts(spark, sf_dir) -> DataFrame:
